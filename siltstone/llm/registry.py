@@ -7,11 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import neighbours
 from . import pack as packing
 from . import split as splitting
 from .common import TOKEN, read
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.linked(neighbours.nearest(read(spark, sf_dir, "vectors"), k=10, min_similarity=0.9))
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over the stated query set: every id divisible by 20, against all rows."""
+    return neighbours.nearest(read(spark, sf_dir, "vectors"), k=10, queries_every=20, probes=48)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).select(F.col("chunk_id").cast("long").alias("chunk_id")).distinct()
 
@@ -33,7 +43,7 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p6_found, p6_pack, p6_containers)}
+    return {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_pieces, p6_found, p6_pack, p6_containers)}
 
 
 SIZE = f"len(regexp_extract_all({{0}}, '{TOKEN}'))"
