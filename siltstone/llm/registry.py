@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neighbours
+from . import authorship, neighbours
 from . import pack as packing
 from . import split as splitting
 from .common import TOKEN, read
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_files(spark, sf_dir).select(F.col("file_id").cast("long").alias("file_id"))
+
+
+def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return authorship.not_hand_written(read(spark, sf_dir, "files"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.linked(neighbours.nearest(read(spark, sf_dir, "vectors"), k=10, min_similarity=0.9))
 
@@ -43,7 +51,7 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_pieces, p6_found, p6_pack, p6_containers)}
+    return {f.__name__: f for f in (p1_found, p1_files, p2_found, p2_neighbours, p3_found, p3_pieces, p6_found, p6_pack, p6_containers)}
 
 
 SIZE = f"len(regexp_extract_all({{0}}, '{TOKEN}'))"
