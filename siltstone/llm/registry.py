@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import authorship, neighbours
 from . import pack as packing
 from . import split as splitting
+from . import secrets
 from .common import TOKEN, read
 
 
@@ -38,6 +39,18 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(read(spark, sf_dir, "chunks"), read(spark, sf_dir, "window_limits"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_secrets(spark, sf_dir).select(F.col("chunk_id").cast("long").alias("chunk_id"), "line_no").distinct()
+
+
+def p4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, sf_dir, "chunks"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redact(read(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pack(spark, sf_dir).filter("n_pieces > 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
@@ -51,7 +64,7 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_files, p2_found, p2_neighbours, p3_found, p3_pieces, p6_found, p6_pack, p6_containers)}
+    return {f.__name__: f for f in (p1_found, p1_files, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_secrets, p4_redacted, p6_found, p6_pack, p6_containers)}
 
 
 SIZE = f"len(regexp_extract_all({{0}}, '{TOKEN}'))"
