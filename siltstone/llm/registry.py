@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import authorship, neighbours
 from . import pack as packing
 from . import split as splitting
-from . import secrets
+from . import secrets, validity
 from .common import TOKEN, read
 
 
@@ -51,6 +51,18 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redact(read(spark, sf_dir, "chunks"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_files(spark, sf_dir).filter("not valid").select(F.col("file_id").cast("long").alias("file_id"))
+
+
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.check_files(read(spark, sf_dir, "files"), read(spark, sf_dir, "window_limits"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.rates(p5_files(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pack(spark, sf_dir).filter("n_pieces > 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
@@ -64,7 +76,7 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_files, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_secrets, p4_redacted, p6_found, p6_pack, p6_containers)}
+    return {f.__name__: f for f in (p1_found, p1_files, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_secrets, p4_redacted, p5_found, p5_files, p5_rates, p6_found, p6_pack, p6_containers)}
 
 
 SIZE = f"len(regexp_extract_all({{0}}, '{TOKEN}'))"
