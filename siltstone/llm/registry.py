@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import authorship, neighbours
 from . import pack as packing
 from . import split as splitting
-from . import secrets, validity
+from . import leakage, secrets, validity
 from .common import TOKEN, read
 
 
@@ -75,8 +75,16 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(p6_pack(spark, sf_dir))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("scenario_id").cast("long").alias("scenario_id")).distinct()
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "scenarios"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_files, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_secrets, p4_redacted, p5_found, p5_files, p5_rates, p6_found, p6_pack, p6_containers)}
+    return {f.__name__: f for f in (p1_found, p1_files, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_secrets, p4_redacted, p5_found, p5_files, p5_rates, p6_found, p6_pack, p6_containers, p7_found, p7_leaks)}
 
 
 SIZE = f"len(regexp_extract_all({{0}}, '{TOKEN}'))"
