@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import authorship, neighbours
 from . import pack as packing
 from . import split as splitting
-from . import leakage, secrets, validity
+from . import leakage, personal, secrets, validity
 from .common import TOKEN, read
 
 
@@ -83,8 +83,20 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "scenarios"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_items(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "kind", "line_no").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(read(spark, sf_dir, "documents"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redact(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_files, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_secrets, p4_redacted, p5_found, p5_files, p5_rates, p6_found, p6_pack, p6_containers, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_files, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_secrets, p4_redacted, p5_found, p5_files, p5_rates, p6_found, p6_pack, p6_containers, p7_found, p7_leaks, p8_found, p8_items, p8_redacted)}
 
 
 SIZE = f"len(regexp_extract_all({{0}}, '{TOKEN}'))"
