@@ -247,13 +247,9 @@ def _longest_run(it: Item, ids: np.ndarray, where: dict[int, list[int]]) -> int:
             k = GRAM
             while i + k < n and j + k < m and ids[i + k] == it.ids[j + k]:
                 k += 1
-            whole = it.belongs[j : j + k]
-            count = len(np.unique(whole))
+            head, tail = it.belongs[j], it.belongs[j + k - 1]
             # A blank-separated word counts only with all of its parts.
-            if j and it.belongs[j - 1] == whole[0]:
-                count -= 1
-            if j + k < m and it.belongs[j + k] == whole[-1]:
-                count -= 1
+            count = int(tail - head) + 1 - (j > 0 and it.belongs[j - 1] == head) - (j + k < m and it.belongs[j + k] == tail)
             best, far = max(best, count), max(far, j + k - GRAM)
         j = max(j + 1, far)
     return best
@@ -306,14 +302,18 @@ def _search(shared, idf: np.ndarray, space, cosine: float, run_words: int, whole
                     count = int(hit.sum())
                     if count < SHARED:
                         continue
-                    if where is None:
+                    if where is None and count:
                         where = {}
                         for i, p in enumerate(places.tolist()):
                             if p >= 0:
                                 where.setdefault(p, []).append(i)
-                    longest = _longest_run(it, ids, where)
+                    # Sequences in a row that the document holds: a run of words needs as many.
+                    gaps = np.flatnonzero(~hit)
+                    most = int(np.diff(gaps, prepend=-1, append=len(hit)).max()) - 1 + GRAM - 1
+                    longest = _longest_run(it, ids, where) if most >= run_words else most
                     share = 0.0
-                    if longest < run_words and it.kind == "passage" and count >= 0.2 * len(hit):
+                    # Each word that is changed or dropped costs at most four sequences.
+                    if longest < run_words and it.kind == "passage" and count >= len(hit) - GRAM * (1 - whole) * len(it.ids) - 1:
                         share = _whole(it, ids, np.flatnonzero(np.isin(places, it.grams)))
                     if longest >= run_words or share >= whole:
                         out.append((doc, it.scenario, it.kind, float(best[np.searchsorted(owners, n)]), longest, share))
