@@ -50,7 +50,9 @@ class VersionedTable:
         out = self._fs.create(waiting, True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
-        if self._fs.exists(self._manifest()):
-            self._fs.delete(self._manifest(), False)
-        self._fs.rename(waiting, self._manifest())
+        # One rename that overwrites: readers see the former or the new manifest, never none.
+        files = self.spark._jvm.org.apache.hadoop.fs
+        option = self.spark.sparkContext._gateway.new_array(files.Options.Rename, 1)
+        option[0] = files.Options.Rename.OVERWRITE
+        files.FileContext.getFileContext(waiting.toUri(), self.spark._jsc.hadoopConfiguration()).rename(waiting, self._manifest(), option)
         return version
