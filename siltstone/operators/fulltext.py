@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -215,8 +216,6 @@ def stem(word: str) -> str:
 
 def stemmed(index: Index) -> Index:
     """The index over stems. Only the distinct terms pass through Python."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def to_stem(terms: pd.Series) -> pd.Series:
         return terms.map(stem)

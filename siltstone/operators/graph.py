@@ -184,13 +184,13 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return label
 
 
-def betweenness(edges: DataFrame, sources: list, depth: int = 12) -> DataFrame:
-    """Betweenness from a stated list of sources: shortest paths counted level by level,
+def betweenness(edges: DataFrame, sources: DataFrame, depth: int = 12) -> DataFrame:
+    """Betweenness from a stated set of sources (column ``node``): shortest paths counted level by level,
     dependencies summed back along them. All joins are distributed; no graph is collected."""
     spark = edges.sparkSession
     simple = cut_lineage(edges.select("src", "dst").filter("src <> dst").distinct())
     kind = dict(simple.dtypes)["src"]
-    front = spark.createDataFrame([(s, s, 1.0) for s in sources], f"s {kind}, node {kind}, paths double")
+    front = sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")).distinct()
     levels = [cut_lineage(front)]
     seen = levels[0].select("s", "node")
     for _ in range(depth):

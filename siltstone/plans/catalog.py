@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: list = []
+from . import indexing, maintenance, relational, searching
+
+FAMILIES = [relational, maintenance, searching, indexing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid search: BM25 and vectors fused by rank."""
+    return searching.hybrid_search(spark, sf_dir)
