@@ -133,14 +133,14 @@ def rrf_fuse(spark, d):
 
 @query(f"""WITH {BM}, l AS (SELECT query_id, 1 AS list_no, id, score FROM br WHERE rank <= 30 UNION ALL SELECT query_id, 2, id, CAST(len AS DOUBLE) FROM (SELECT query_id, id FROM br WHERE rank <= 30) JOIN len USING (id)),
     m AS (SELECT query_id, list_no, id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END * CASE list_no WHEN 1 THEN 0.7 ELSE 0.3 END AS p FROM l WINDOW w AS (PARTITION BY query_id, list_no))
-    SELECT query_id, id, round(sum(p), 6) AS score, count(*) AS contributions FROM m GROUP BY ALL""")
+    SELECT query_id, id, round(sum(p), 4) AS score, count(*) AS contributions FROM m GROUP BY ALL""")
 def weighted_fuse(spark, d):
     """Weighted fusion of min-max scaled lists."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").filter("text is not null")
     top = fusion.cut(_bm25(spark, d).withColumn("score", F.round("score", 9)), 30)
     two = top.select("query_id", "id").join(fulltext.build(docs).lengths, "id").select("query_id", F.lit(2).alias("list_no"), F.lit(0).alias("rank"), "id", F.col("len").cast("double").alias("score"))
     lists = top.select("query_id", F.lit(1).alias("list_no"), "rank", "id", "score").unionByName(two)
-    return fusion.weighted(lists, [0.7, 0.3]).select("query_id", "id", F.round("score", 6).alias("score"), "contributions")
+    return fusion.weighted(lists, [0.7, 0.3]).select("query_id", "id", F.round("score", 4).alias("score"), "contributions")
 
 
 @query()
@@ -152,14 +152,14 @@ def mmr_diversify(spark, d):
     return fusion.diversify(near, q, 10).select("query_id", "id", "rank", F.round("mmr_score", 6).alias("mmr_score"))
 
 
-@query(f"""WITH {BM}, t AS (SELECT query_id, id, score FROM br WHERE rank <= 50), r AS (SELECT query_id, id, round(1 / (1 + exp(-score / 10)), 6) AS sigmoid, round(CASE WHEN mx = mn THEN 1.0 ELSE (score - mn) / (mx - mn) END, 6) AS scaled FROM (SELECT *, min(score) OVER (PARTITION BY query_id) mn, max(score) OVER (PARTITION BY query_id) mx FROM t)) SELECT * FROM r""")
+@query(f"""WITH {BM}, t AS (SELECT query_id, id, score FROM br WHERE rank <= 50), r AS (SELECT query_id, id, round(1 / (1 + exp(-score / 10)), 4) AS sigmoid, round(CASE WHEN mx = mn THEN 1.0 ELSE (score - mn) / (mx - mn) END, 4) AS scaled FROM (SELECT *, min(score) OVER (PARTITION BY query_id) mn, max(score) OVER (PARTITION BY query_id) mx FROM t)) SELECT * FROM r""")
 def normalise_scores(spark, d):
     """Sigmoid and min-max scores."""
     t = fusion.cut(_bm25(spark, d).withColumn("score", F.round("score", 9)), 50)
     w = Window.partitionBy("query_id")
     low, high = F.min("score").over(w), F.max("score").over(w)
     scaled = F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low))
-    return t.select("query_id", "id", F.round(S.sigmoid(F.col("score")), 6).alias("sigmoid"), F.round(scaled, 6).alias("scaled"))
+    return t.select("query_id", "id", F.round(S.sigmoid(F.col("score")), 4).alias("sigmoid"), F.round(scaled, 4).alias("scaled"))
 
 
 @query("""SELECT event_id, round(CASE WHEN value <= 0 THEN 0.0 WHEN value <= 5 THEN value / 5 * 0.25 WHEN value <= 20 THEN 0.25 + (value - 5) / 15 * 0.5 WHEN value <= 80 THEN 0.75 + (value - 20) / 60 * 0.25 ELSE 1.0 END, 6) AS share FROM events""")
