@@ -126,7 +126,7 @@ arraypat = ","* ("..."? binding ("=" assign)? (","+ "..."? binding ("=" assign)?
 objectpat = (propat ("," propat)* ","?)?
 propat = "..." binding | (IDENT | STRING | NUMBER | BRACK<assign>) ":" binding ("=" assign)? | NAME ("=" assign)?
 params = (param ("," param)* ","?)?
-param = DECORATION "..."? MODIFIER* binding "?"? ANN ("=" assign)?
+param = DECORATION "..."? MODIFIER* PARAMNAME "?"? ANN ("=" assign)?
 function = "async"? "function" "*"? NAME? GENERIC PAREN<params> RET FBODY
 fblock = BRACE<stmts>
 class = DECORATION ABSTRACT "class" NAME? GENERIC ("extends" chain TYPEARGS)? IMPLEMENTS BRACE<members>
@@ -159,6 +159,7 @@ TSDECL:= NEVER
 USING:= NEVER
 ANN:= empty
 MODIFIER*:= empty
+PARAMNAME:= binding
 "?"? ANN ("=" assign)?:= ("=" assign)?
 "!"? ANN:= empty
 DECORATION:= empty
@@ -185,6 +186,7 @@ TSDECL:= tsdecl
 USING:= NEVER
 ANN:= ann
 MODIFIER:= modifier
+PARAMNAME:= (binding | "this")
 DECORATION:= decorators
 GENERIC:= generic?
 RET:= ret
@@ -194,7 +196,7 @@ TYPEARGS:= typeargs?
 IMPLEMENTS:= ("implements" types)?
 MODS:= modifier*
 INDEX:= BRACK<indexsig> ann EOS
-ASOP:= ("as" | "satisfies") type
+ASOP:= (("as" | "satisfies") type | ">" ">" ">"? unary | ">" ">"? ">=" unary)
 CALLARGS:= typeargs?
 BANG:= "!"
 TYPEKW:= "type"
@@ -250,10 +252,11 @@ def _script(dialect: str, extra: str) -> Grammar:
         old, new = old.strip(), new.strip()
         text = re.sub(r"(?<![A-Za-z])" + re.escape(old) + r"(?![A-Za-z<])", lambda _m, n=new: n, text)
     text += extra + "\nempty = (NEVER)?\njsmods = \"static\"?\n"
-    names = [w for w in _CONTEXT]
+    # Modules are strict: these words name properties, never variables.
+    strict = {"let", "static", "yield", "await", "implements", "interface", "private", "protected", "public"}
     classes = {
-        "NAME": ["NAME", *names],
-        "IDENT": ["NAME", *names, *_RESERVED],
+        "NAME": ["NAME", *(w for w in _CONTEXT if w not in strict)],
+        "IDENT": ["NAME", *_CONTEXT, *_RESERVED],
         "BINOP": ["+", "-", "*", "/", "%", "**", "<<", ">>", ">>>", "<", ">", "<=", ">=", "==", "!=", "===", "!==", "&", "|", "^", "&&", "||", "??", "in", "instanceof"],
         "PREFIX": ["!", "~", "+", "-", "++", "--", "typeof", "void", "delete", "await"],
         "POSTFIX": ["++", "--"],
@@ -426,7 +429,7 @@ _JSTOK = re.compile(
     r"(?P<nl>[ \t\v\f\u00a0\ufeff]*(?:\r\n|[\n\r\u2028\u2029])\s*)|(?P<ws>[ \t\v\f\u00a0\ufeff]+)|(?P<line>//[^\n\r]*)|(?P<block>/\*[\s\S]*?\*/)|"
     r"(?P<name>[A-Za-z_$\u0080-\uffff][\w$]*)|(?P<string>\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')|"
     rf"(?P<num>{_JSNUM})|(?P<private>#[A-Za-z_$][\w$]*)|(?P<tpl>`)|"
-    "(?P<op>" + "|".join(re.escape(o) for o in _JSOPS if o != "?.") .replace(re.escape("??="), re.escape("??=")) + r"|\?\.(?!\d))"
+    r"(?P<op>\?\.(?!\d)|" + "|".join(re.escape(o) for o in _JSOPS) + ")"
 )
 _JSREGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-z]*")
 _TPLTEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")

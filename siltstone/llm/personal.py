@@ -145,6 +145,8 @@ def _fits(kind: str, text: str, a: int, b: int) -> bool:
     words = re.findall(rf"[{U}{L}'’-]+", s)
     if any(w in NOT_NAMES for w in words) or len([w for w in words if len(w) > 1]) < 2:
         return False
+    if re.search(r"(?:^|[^\w])(?:[Tt]he|[Aa]n?|[Dd]er|[Dd]ie|[Dd]as|[Dd]en|[Ll]e|[Ll]a|[Ll]os|[Ll]as|[Ee]l)\s$", before):
+        return False  # things have articles, persons have none
     if s.isupper() and (re.search(r"[A-Z]{2,}\W{1,2}$", before) or re.match(r"\W{1,2}[A-Z]{2,}", after)):
         return False  # part of a text in capitals
     return before[-1:] not in ("`", "/", ".", "@") and not re.match(r"[`(@\w]|\.\w", after)
