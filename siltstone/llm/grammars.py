@@ -306,12 +306,12 @@ _JSNUM = r"(?:0[xX](?:_?[0-9a-fA-F])+n?|0[bB](?:_?[01])+n?|0[oO](?:_?[0-7])+n?|(
 _FIN = r"(?:[^{quote}\\{{}}\n]|\\.|\{{\{{|\}}\}}|\{{[^{{}}\n]*(?:\{{[^{{}}\n]*\}}[^{{}}\n]*)*\}})*"
 
 _PY = re.compile(
-    r"(?P<ws>[ \t\f]+|\\\r?\n)|(?P<nl>\r?\n|\r)|(?P<comment>#[^\r\n]*)|"
+    r"(?:[ \t\f]+|\\\r?\n)*(?:(?P<nl>\r?\n|\r)|(?P<comment>#[^\r\n]*)|"
     r"(?P<string>(?:[rR][bB]?|[bB][rR]?|[uU]|[fF][rR]?|[rR][fF])?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''"
     r"|(?<![fF])(?<![fF][rR])\"(?:[^\"\\\r\n]|\\\r?[\s\S])*\"|(?<![fF])(?<![fF][rR])'(?:[^'\\\r\n]|\\\r?[\s\S])*'))|"
     r"(?P<fstring>(?:[fF][rR]?|[rR][fF])(?:\"" + _FIN.format(quote='"') + r"\"|'" + _FIN.format(quote="'") + r"'))|"
     rf"(?P<num>{_NUM})|(?P<name>[^\W\d]\w*)|"
-    r"(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|:=|->|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|==|<=|>=|\*\*|//|<<|>>|[-+*/%@&|^~<>()\[\]{},:.;=])"
+    r"(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|:=|->|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|==|<=|>=|\*\*|//|<<|>>|[-+*/%@&|^~<>()\[\]{},:.;=])|(?P<end>\Z))"
 )
 _PYKW = set("if elif else while for in try except finally with as def class return yield raise pass break continue import from global nonlocal del assert lambda and or not is None True False async await match case type".split())
 _OPEN, _CLOSE = {"(": "PAREN", "[": "BRACK", "{": "BRACE"}, {")": "PAREN", "]": "BRACK", "}": "BRACE"}
@@ -333,6 +333,7 @@ def lex_python(text: str, rec: Recogniser) -> list[int]:
     kind = PYTHON.kind
     k_nl, k_name, k_num, k_str, k_aug, k_block = kind("NL"), kind("NAME"), kind("NUMBER"), kind("STRING"), kind("AUG"), kind("BLOCK")
     words = {w: kind(w) << 1 for w in _PYKW}
+    plain, k_in, k_not, k_is = k_name << 1, words["in"], words["not"], words["is"]
     ops: dict[str, int] = {}
     if "\0" in text:
         raise Invalid
@@ -377,7 +378,7 @@ def lex_python(text: str, rec: Recogniser) -> list[int]:
             raise Invalid
         at = m.end()
         what = m.lastgroup
-        if what == "ws" or what == "comment":
+        if what == "comment" or what == "end":
             continue
         if what == "nl":
             if not brackets:
@@ -386,14 +387,14 @@ def lex_python(text: str, rec: Recogniser) -> list[int]:
                 fresh = True
             continue
         if what == "name":
-            w = m[0]
-            here.append(words.get(w) or k_name << 1)
-            if here[-1] == words["in"] and len(here) > 1 and here[-2] == words["not"]:
+            t = words.get(m["name"], plain)
+            here.append(t)
+            if t == k_in and len(here) > 1 and here[-2] == k_not:
                 here[-2:] = [kind("NOTIN") << 1]
-            elif here[-1] == words["not"] and len(here) > 1 and here[-2] == words["is"]:
+            elif t == k_not and len(here) > 1 and here[-2] == k_is:
                 here[-2:] = [kind("ISNOT") << 1]
         elif what == "op":
-            o = m[0]
+            o = m["op"]
             if o in _OPEN:
                 brackets.append(o)
                 levels.append(here)
@@ -409,7 +410,8 @@ def lex_python(text: str, rec: Recogniser) -> list[int]:
                     t = ops[o] = (k_aug if len(o) > 1 and o[-1] == "=" and o not in ("==", "!=", "<=", ">=", ":=") else kind(o)) << 1
                 here.append(t)
         elif what == "num":
-            if len(m[0]) > 1 and m[0][0] == "0" and m[0].replace("_", "").isdigit() and m[0].strip("0_"):
+            v = m["num"]
+            if len(v) > 1 and v[0] == "0" and v.replace("_", "").isdigit() and v.strip("0_"):
                 raise Invalid
             here.append(k_num << 1)
         else:
@@ -426,10 +428,10 @@ def lex_python(text: str, rec: Recogniser) -> list[int]:
 
 
 _JSTOK = re.compile(
-    r"(?P<nl>[ \t\v\f\u00a0\ufeff]*(?:\r\n|[\n\r\u2028\u2029])\s*)|(?P<ws>[ \t\v\f\u00a0\ufeff]+)|(?P<line>//[^\n\r]*)|(?P<block>/\*[\s\S]*?\*/)|"
+    r"[ \t\v\f\u00a0\ufeff]*(?:(?P<nl>(?:\r\n|[\n\r\u2028\u2029])\s*)|(?P<line>//[^\n\r]*)|(?P<block>/\*[\s\S]*?\*/)|"
     r"(?P<name>[A-Za-z_$\u0080-\uffff][\w$]*)|(?P<string>\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')|"
     rf"(?P<num>{_JSNUM})|(?P<private>#[A-Za-z_$][\w$]*)|(?P<tpl>`)|"
-    r"(?P<op>\?\.(?!\d)|" + "|".join(re.escape(o) for o in _JSOPS) + ")"
+    r"(?P<op>\?\.(?!\d)|" + "|".join(re.escape(o) for o in _JSOPS) + r")|(?P<end>\Z))"
 )
 _JSREGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-z]*")
 _TPLTEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
@@ -443,6 +445,7 @@ def lex_script(text: str, rec: Recogniser) -> list[int]:
     k_name, k_num, k_str, k_tpl = kind("NAME"), kind("NUMBER"), kind("STRING"), kind("TPL")
     ops = {o: kind(o) for o in (*_JSOPS, "?.")}
     divides = {kind(x) for x in (*_DIVIDES, *_CONTEXT)}
+    folds = {c: kind(f) for c, f in _CLOSE.items()}
     if text.startswith("#!"):
         text = text[text.find("\n") :] if "\n" in text else ""
     here: list[int] = []
@@ -471,26 +474,25 @@ def lex_script(text: str, rec: Recogniser) -> list[int]:
         if not m:
             raise Invalid
         what = m.lastgroup
-        if what == "ws":
-            at = m.end()
+        if what == "name":
+            prev = words.get(m["name"], k_name)
+            here.append(prev << 1 | newline)
+            at, newline = m.end(), 0
             continue
         if what == "nl":
             newline = 1
             at = m.end()
             continue
-        if what == "line":
+        if what == "line" or what == "end":
             at = m.end()
             continue
         if what == "block":
-            if "\n" in m[0]:
+            if "\n" in m["block"]:
                 newline = 1
             at = m.end()
             continue
-        if what == "name":
-            prev = words.get(m[0], k_name)
-            here.append(prev << 1 | newline)
-        elif what == "op":
-            o = m[0]
+        if what == "op":
+            o = m["op"]
             if o in "([{" and len(o) == 1:
                 stack.append((o, here, newline))
                 here, prev = [], 0
@@ -506,11 +508,11 @@ def lex_script(text: str, rec: Recogniser) -> list[int]:
                     continue
                 if _OPEN[opener] != _CLOSE[o]:
                     raise Invalid
-                prev = kind(_CLOSE[o])
+                prev = folds[o]
                 outer.append(rec.fold(prev, here) << 1 | flag)
                 here = outer
             elif o[0] == "/" and prev not in divides:
-                r = _JSREGEX.match(text, at)
+                r = _JSREGEX.match(text, m.start("op"))
                 if not r:
                     raise Invalid
                 prev = kind("REGEX")
@@ -523,7 +525,7 @@ def lex_script(text: str, rec: Recogniser) -> list[int]:
                 if g is TYPESCRIPT:
                     prev = kind(">")
                     here.append(prev << 1 | newline)
-                    at, newline = at + 1, 0
+                    at, newline = m.start("op") + 1, 0
                     continue
                 here.append(prev << 1 | newline)
             else:
