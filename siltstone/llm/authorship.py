@@ -205,11 +205,11 @@ def not_hand_written(files: DataFrame, share: float = 0.6) -> DataFrame:
 
     ``kind`` is generated, minified, data or vendored, the first that holds. ``share`` is
     the part of a file's line sketch that must be known third-party lines for a copy.
-    Null, empty and binary texts are never cases; repeated deliveries count once (any of
+    Null, empty and binary texts and null ids are never cases; repeated deliveries count once (any of
     them decides, as their contents agree); a null path counts as an empty one; ``ext`` and
     ``size_bytes`` may be wrong or null, so the path and the text themselves are used.
     """
-    picked = files.select("file_id", "repo", "path", "text").filter("text is not null and text <> ''")
+    picked = files.select("file_id", "repo", "path", "text").filter("file_id is not null and text is not null and text <> ''")
     measured = picked.mapInPandas(_measure, FEATURES)
     return classify(measured, share)
 

@@ -33,18 +33,30 @@ def with_language(df: DataFrame, limits: DataFrame, path: str = "path") -> DataF
         F.struct(F.col("language").alias("l"), F.col("window_tokens").alias("w"), F.col("overlap_tokens").alias("o")).alias("_lim"),
     ).dropDuplicates(["_ext"])
     # An aggregate without keys: exactly one row, also for an empty dimension.
-    default = lim.agg(F.max(F.when(F.col("_ext") == "", F.col("_lim"))).alias("_rest"))
+    rest = lim.agg(F.max(F.when(F.col("_ext") == "", F.col("_lim"))).alias("_rest")).scalar()
     out = df.drop("language", "window_tokens", "overlap_tokens").withColumn("_key", extension(F.col(path)))
-    out = out.join(lim, F.col("_key") == F.col("_ext"), "left").crossJoin(default)
-    found = F.coalesce("_lim", "_rest")
+    out = out.join(lim, F.col("_key") == F.col("_ext"), "left").withColumn("_found", F.coalesce(F.col("_lim"), rest))
+    found = F.col("_found")
     return (
         out.withColumn("language", F.coalesce(found["l"], F.lit("text")))
         .withColumn("window_tokens", found["w"])
         .withColumn("overlap_tokens", found["o"])
-        .drop("_key", "_ext", "_lim", "_rest")
+        .drop("_key", "_ext", "_lim", "_found")
     )
 
 
+#: Stands for a null id on the way through pandas, which would turn integers to floats.
+NO_ID = -(2**63)
+
+
+def solid(id_: str) -> Column:
+    return F.coalesce(F.col(id_).cast("long"), F.lit(NO_ID)).alias(id_)
+
+
+def restored(id_: str) -> Column:
+    return F.nullif(F.col(id_), F.lit(NO_ID)).alias(id_)
+
+
 def char_classes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Code points of a text and the class of each: 0 blank, 1 letter, 2 digit, 3 other."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)

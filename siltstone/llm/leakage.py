@@ -329,7 +329,7 @@ def find_leaks(
 
     ``kind`` is query or passage, ``run`` the longest run of common words and ``share`` the
     part of the passage found in order (computed where no run decides). Null and empty texts
-    give no rows; evaluation texts of fewer than four words cannot be cases and are skipped.
+    and null ids give no rows; evaluation texts of fewer than four words cannot be cases and are skipped.
     Repeated rows give one row. Other columns are ignored.
 
     The evaluation set is read on the driver in blocks of ``block`` items; only documents
@@ -337,7 +337,7 @@ def find_leaks(
     """
     spark = documents.sparkSession
     sc = spark.sparkContext
-    docs = documents.select("doc_id", "text").filter("text is not null and text <> ''")
+    docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null and text <> ''")
     rows = [(r["scenario_id"], r["query"], r["passage"]) for r in scenarios.select("scenario_id", "query", "passage").filter("scenario_id is not null").distinct().orderBy("scenario_id").toLocalIterator()]
     results = None
     for lo in range(0, max(1, len(rows)), block):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import token_count
+from .common import restored, solid, token_count
 
 #: Bins kept open at once, and groups that one task of a later round joins.
 OPEN_BINS, FAN_IN = 64, 32
@@ -123,7 +123,7 @@ def pack(documents: DataFrame, capacity: int = 2048, places: int = OPEN_BINS) ->
     Only ids and sizes reach Python, in the partitions of the scan; nothing but the bins
     left open (at most ``places`` a partition) is shuffled.
     """
-    sized = documents.select("doc_id", token_count(F.col("text")).alias("tokens"))
+    sized = documents.select(solid("doc_id"), token_count(F.col("text")).alias("tokens"))
     first = cut_lineage(sized.mapInPandas(_first_pass(capacity, places), ROWS))
     closed, open_ = first.filter("not is_open and tokens > 0"), first.filter("is_open and tokens > 0")
     for width, last in ((FAN_IN, False), (FAN_IN * FAN_IN, True)):
@@ -131,7 +131,7 @@ def pack(documents: DataFrame, capacity: int = 2048, places: int = OPEN_BINS) ->
     nothing = first.filter("tokens = 0").withColumn("container", F.lit(None).cast("string"))
     name = F.concat_ws("-", F.col("part").cast("string"), F.col("bin").cast("string"))
     rows = closed.unionByName(open_).withColumn("container", name).unionByName(nothing)
-    return rows.select(F.col("container").alias("container_id"), "doc_id", "piece_no", "n_pieces", "token_start", "token_end", "tokens")
+    return rows.select(F.col("container").alias("container_id"), restored("doc_id"), "piece_no", "n_pieces", "token_start", "token_end", "tokens")
 
 
 def containers(packed: DataFrame, capacity: int = 2048) -> DataFrame:

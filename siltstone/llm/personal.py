@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tagger
+from .common import restored, solid
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 TAGS = 1 + 2 * len(KINDS)  # outside, and begin and inside of each kind
@@ -486,7 +487,7 @@ def find_personal(documents: DataFrame, weights: tagger.Weights | None = None) -
     """Rows ``doc_id, kind, line_no, start, end``, one per item.
 
     ``line_no`` counts lines from 1, ``start`` and ``end`` are character offsets. Null and
-    empty texts give no rows; repeated rows count once; other columns are ignored.
+    empty texts and null ids give no rows; repeated rows count once; other columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(weights or model())
 
@@ -501,7 +502,7 @@ def find_personal(documents: DataFrame, weights: tagger.Weights | None = None) -
                     out += [(doc, kind, text.count("\n", 0, a) + 1, a, b) for a, b, kind in spans]
             yield pd.DataFrame(out, columns=["doc_id", "kind", "line_no", "start", "end"])
 
-    return documents.select("doc_id", "text").filter("text is not null and text <> ''").mapInPandas(run, FOUND).distinct()
+    return documents.select("doc_id", "text").filter("doc_id is not null and text is not null and text <> ''").mapInPandas(run, FOUND).distinct()
 
 
 def redact(documents: DataFrame, weights: tagger.Weights | None = None) -> DataFrame:
@@ -530,4 +531,4 @@ def redact(documents: DataFrame, weights: tagger.Weights | None = None) -> DataF
                 part["text"], part["n_items"] = new, counts
                 yield part[["doc_id", "text", "n_items"]]
 
-    return documents.select("doc_id", "text").mapInPandas(run, REDACTED)
+    return documents.select(solid("doc_id"), "text").mapInPandas(run, REDACTED).select(restored("doc_id"), "text", "n_items")

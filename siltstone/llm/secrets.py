@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import restored, solid
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # What a name must hold for its value to be a credential.
@@ -255,14 +257,14 @@ REDACTED = "chunk_id long, text string, n_secrets int"
 
 
 def _candidates(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", "text").filter(F.col("text").rlike(TRIGGER))
+    return chunks.select(solid("chunk_id"), "text").filter(F.col("text").rlike(TRIGGER))
 
 
 def find_secrets(chunks: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """Rows ``chunk_id, line_no, kind, start, end``, one per credential.
 
     ``line_no`` counts from 1 within the chunk's text, ``start`` and ``end`` are character
-    offsets. Null and empty texts give no rows; repeated rows of a chunk count once. Other
+    offsets. Null and empty texts and null ids give no rows; repeated rows of a chunk count once. Other
     columns are ignored. The vocabulary (a fixed public file) is read on the driver and
     broadcast; a text without any trigger never leaves the JVM.
     """
@@ -276,7 +278,7 @@ def find_secrets(chunks: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFr
                     out.append((chunk, text.count("\n", 0, a) + 1, kind, a, b))
             yield pd.DataFrame(out, columns=["chunk_id", "line_no", "kind", "start", "end"])
 
-    return _candidates(chunks).mapInPandas(run, FOUND).distinct()
+    return _candidates(chunks.filter("chunk_id is not null")).mapInPandas(run, FOUND).distinct()
 
 
 def redact(chunks: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
@@ -294,5 +296,5 @@ def redact(chunks: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
             yield frame
 
     some = _candidates(chunks).mapInPandas(run, REDACTED)
-    rest = chunks.select("chunk_id", "text").filter(~F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False)))
-    return some.unionByName(rest.withColumn("n_secrets", F.lit(0)))
+    rest = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text").filter(~F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False)))
+    return some.select(restored("chunk_id"), "text", "n_secrets").unionByName(rest.withColumn("n_secrets", F.lit(0)))

@@ -134,7 +134,7 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """Pieces of every chunk whose text is above the limit of its file's language.
 
-    Chunks within the limit, and null or empty texts, yield no row. Repeated rows of a
+    Chunks within the limit, null or empty texts and null ids yield no row. Repeated rows of a
     ``chunk_id`` count once (the row kept is the smallest by text and line, so the result
     does not depend on order). A null ``start_line`` counts as 1. A limit below 1 is taken
     as 1. Further columns of the input are ignored.
@@ -142,7 +142,7 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     Texts are sized in the JVM; only oversized ones are shuffled (to drop repeats) and
     reach Python.
     """
-    picked = chunks.select("chunk_id", "path", "text", F.col("start_line").cast("long").alias("start_line")).filter("text is not null and text <> ''")
+    picked = chunks.select("chunk_id", "path", "text", F.col("start_line").cast("long").alias("start_line")).filter("chunk_id is not null and text is not null and text <> ''")
     sized = with_language(picked, limits).filter(F.length("text") > F.col("window_tokens"))
     over = sized.filter(token_count(F.col("text")) > F.col("window_tokens"))
     once = over.groupBy("chunk_id").agg(F.min(F.struct("text", "start_line", "language", "window_tokens", "overlap_tokens")).alias("r")).select("chunk_id", "r.*")

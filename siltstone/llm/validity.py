@@ -83,12 +83,12 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def check_files(files: DataFrame, limits: DataFrame) -> DataFrame:
     """Rows ``file_id, repo, path, language, valid`` for files of the checked languages.
 
-    The language follows from the path's extension. Null texts (binary files) are left out;
+    The language follows from the path's extension. Null texts (binary files) and null ids are left out;
     an empty Python, JavaScript, TypeScript, TOML or shell file is valid, empty JSON is not.
     Repeated deliveries of a file count once: their contents agree, so the smallest verdict
     stands for all. Other columns are ignored.
     """
-    picked = with_language(files.select("file_id", "repo", "path", "text").filter("text is not null"), limits)
+    picked = with_language(files.select("file_id", "repo", "path", "text").filter("file_id is not null and text is not null"), limits)
     some = picked.filter(F.col("language").isin(*CHECKED)).select("file_id", "repo", "path", "language", "text")
     judged = some.mapInPandas(_judge, VERDICTS)
     return judged.groupBy("file_id").agg(F.min(F.struct("valid", "repo", "path", "language")).alias("r")).select("file_id", "r.repo", "r.path", "r.language", "r.valid")

@@ -111,12 +111,12 @@ The Cold Watcher and the Nettle Header share one lock.
 
 
 def test_items(spark, weights):
-    df = spark.createDataFrame([(1, TEXT, "x"), (1, TEXT, "x"), (2, None, "x"), (3, "", "x"), (4, "w " * 60_000, "x"), (5, "Thanks to Ma\u200bren Ostrander for it.", "x")], "doc_id long, text string, kind string")
+    df = spark.createDataFrame([(1, TEXT, "x"), (1, TEXT, "x"), (2, None, "x"), (3, "", "x"), (4, "w " * 60_000, "x"), (None, "Thanks to Maren Ostrander for it.", "x"), (5, "Thanks to Ma\u200bren Ostrander for it.", "x")], "doc_id long, text string, kind string")
     got = {(r["doc_id"], r["kind"], r["line_no"]) for r in personal.find_personal(df, weights).collect()}
     assert got == {(1, "name", 2), (1, "email", 3), (1, "phone", 3), (1, "address", 4), (1, "id_number", 5), (5, "name", 1)}
     out = {r["doc_id"]: r for r in personal.redact(df.distinct(), weights).collect()}
     assert "[NAME]" in out[1]["text"] and "Maren" not in out[1]["text"] and out[1]["text"].count("\n") == TEXT.count("\n") and out[1]["n_items"] == 5
-    assert (out[2]["text"], out[3]["text"], len(out[4]["text"])) == (None, "", 120_000)
+    assert (out[2]["text"], out[3]["text"], len(out[4]["text"]), out[None]["n_items"]) == (None, "", 120_000, 1)
     assert personal.find_personal(df.limit(0), weights).count() == 0
 
 

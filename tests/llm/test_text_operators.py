@@ -60,7 +60,7 @@ def test_pointer_doubling_equals_the_greedy_walk(parts, limit, overlap):
 
 def test_split_pieces(spark, limits):
     text = "\n".join(f"line {i} has five words" for i in range(12))
-    rows = [(1, "a/x.py", text, 5, "clash"), (1, "a/x.py", text, 5, "clash"), (2, "a.py", "short", 1, ""), (3, "a.py", None, 1, ""), (4, "a.py", "", 1, ""), (5, None, "w " * 30, None, ""), (6, "b.md", "z" * 100_000 + " " + "1 " * 50, 1, "")]
+    rows = [(1, "a/x.py", text, 5, "clash"), (1, "a/x.py", text, 5, "clash"), (2, "a.py", "short", 1, ""), (3, "a.py", None, 1, ""), (4, "a.py", "", 1, ""), (5, None, "w " * 30, None, ""), (None, "a.py", "w " * 90, 1, ""), (6, "b.md", "z" * 100_000 + " " + "1 " * 50, 1, "")]
     df = spark.createDataFrame(rows, "chunk_id long, path string, text string, start_line int, language string")
     out = split.split_oversized(df, limits).orderBy("chunk_id", "piece_no").collect()
     assert {r["chunk_id"] for r in out} == {1, 5, 6}
@@ -80,7 +80,7 @@ def test_split_pieces(spark, limits):
 
 def test_pack_keeps_everything(spark):
     sizes = [5, 3, 3, 9, 10, 10, 1, 25, 0, 2, 2, 2]
-    rows = [(i, "w " * n, i) for i, n in enumerate(sizes)] + [(90, None, 1), (91, "", 1), (0, "w " * 5, 0)]
+    rows = [(i, "w " * n, i) for i, n in enumerate(sizes)] + [(90, None, 1), (91, "", 1), (0, "w " * 5, 0), (None, "w w", 1), (2**60 + 1, "w", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, tokens int")
     out = pack.pack(df, capacity=10, places=3).collect()
     used, tokens = {}, {}
@@ -91,7 +91,7 @@ def test_pack_keeps_everything(spark):
         else:
             assert r["container_id"] is None
     assert max(used.values()) <= 10
-    assert tokens == {**dict(enumerate(sizes)), 0: 10, 90: 0, 91: 0}
+    assert tokens == {**dict(enumerate(sizes)), 0: 10, 90: 0, 91: 0, None: 2, 2**60 + 1: 1}
     assert {r["doc_id"] for r in out if r["n_pieces"] > 1} == {7}
     assert pack.pack(df.limit(0)).count() == 0
 
@@ -150,12 +150,12 @@ def test_trigger_is_implied(spark, text):
 
 def test_redaction_keeps_the_rest(spark, words):
     text = "a = 1\n" + "\n".join(SECRET) + "\nb = 2\n"
-    df = spark.createDataFrame([(1, text, 3), (2, None, 3), (3, "", 3), (4, "x" * 200_000, 3)], "chunk_id long, text string, n_secrets int")
+    df = spark.createDataFrame([(1, text, 3), (2, None, 3), (3, "", 3), (4, "x" * 200_000, 3), (None, SECRET[0], 3)], "chunk_id long, text string, n_secrets int")
     out = {r["chunk_id"]: r for r in secrets.redact(df).collect()}
     new = out[1]["text"]
     assert out[1]["n_secrets"] == len(SECRET) and new.count("\n") == text.count("\n")
     assert secrets.find(new, words) == [] and new.startswith("a = 1\n") and new.endswith("\nb = 2\n")
-    assert (out[2]["text"], out[3]["text"], len(out[4]["text"])) == (None, "", 200_000)
+    assert (out[2]["text"], out[3]["text"], len(out[4]["text"]), out[None]["n_secrets"]) == (None, "", 200_000, 1)
     found = secrets.find_secrets(df.union(df)).filter("chunk_id = 1")
     assert found.count() == len(SECRET)
     assert secrets.find_secrets(df.limit(0)).count() == 0
@@ -184,6 +184,7 @@ FILES = [
     (12, "s", "settings.json", '{"a": 1, "b": [1, 2, 3]}', None),
     (13, "s", "a.py", None, None),
     (14, "s", None, "", None),
+    (None, "s", "uv.lock", "[[package]]\n", None),
 ]
 
 
@@ -240,7 +241,7 @@ def test_cut_python_agrees_with_the_interpreter(parser, data):
 
 
 def test_check_files(spark, limits):
-    rows = [(1, "r", "a.py", "x = 1", "no"), (1, "r", "a.py", "x = 1", "no"), (2, "r", "b.py", "x = (", "no"), (3, "r", "c.json", "", "no"), (4, "r", "d.txt", "((", "no"), (5, "r", "e.py", None, "no"), (6, "r", "f.py", "", "no"), (7, "s", None, "(", "no"), (8, "s", "deep.json", "[" * 3000 + "]" * 3000, "no")]
+    rows = [(1, "r", "a.py", "x = 1", "no"), (1, "r", "a.py", "x = 1", "no"), (2, "r", "b.py", "x = (", "no"), (3, "r", "c.json", "", "no"), (4, "r", "d.txt", "((", "no"), (5, "r", "e.py", None, "no"), (6, "r", "f.py", "", "no"), (None, "r", "g.py", "(", "no"), (7, "s", None, "(", "no"), (8, "s", "deep.json", "[" * 3000 + "]" * 3000, "no")]
     df = spark.createDataFrame(rows, "file_id long, repo string, path string, text string, valid string")
     got = {r["file_id"]: r["valid"] for r in validity.check_files(df, limits).collect()}
     assert got == {1: True, 2: False, 3: False, 6: True, 8: True}
@@ -261,7 +262,7 @@ def test_leaks(spark):
     fifteen, fourteen = " ".join(w[5:20]), " ".join(w[5:19])
     changed = " ".join("other" if i % 11 == 5 else x for i, x in enumerate(w))
     far = " ".join("other" if i % 4 == 1 else x for i, x in enumerate(w))
-    docs = [(1, other + PASSAGE.upper().replace("`", "") + other), (2, other * 30 + fifteen), (3, other + fourteen + " and nothing else. " + other), (4, "> " + changed.replace(" ", "\n> ")), (5, far), (6, "<p>" + QUERY.replace("`", "<code>") + "</p>"), (7, None), (8, ""), (9, other), (1, other + PASSAGE.upper().replace("`", "") + other), (10, other * 3000 + PASSAGE)]
+    docs = [(1, other + PASSAGE.upper().replace("`", "") + other), (2, other * 30 + fifteen), (3, other + fourteen + " and nothing else. " + other), (4, "> " + changed.replace(" ", "\n> ")), (5, far), (6, "<p>" + QUERY.replace("`", "<code>") + "</p>"), (7, None), (8, ""), (9, other), (None, PASSAGE), (1, other + PASSAGE.upper().replace("`", "") + other), (10, other * 3000 + PASSAGE)]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, words string")
     sc = spark.createDataFrame([(1, QUERY, PASSAGE), (2, None, ""), (3, "too short", None), (1, QUERY, PASSAGE)], "scenario_id long, query string, passage string")
     got = {(r["doc_id"], r["kind"]) for r in leakage.find_leaks(df, sc).collect()}
