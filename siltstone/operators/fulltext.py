@@ -43,10 +43,11 @@ def bm25(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> Data
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
     wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    total = index.lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    total = index.lengths.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("avg")).alias("t")).scalar()
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weights = terms.join(df, "term").crossJoin(total).select("query_id", "term", idf.alias("idf"), "avg_len")
+    counted = df.withColumn("_t", total).select("term", "df", F.col("_t")["n"].alias("n_docs"), F.col("_t")["avg"].alias("avg_len"))
+    weights = terms.join(counted, "term").select("query_id", "term", idf.alias("idf"), "avg_len")
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = wanted.join(index.lengths, "id").join(weights, "term")

@@ -69,6 +69,6 @@ def chunk_diff_stats(new: DataFrame, existing: DataFrame, key: str = "text_hash"
     old = existing.select(key).distinct().withColumn("_old", F.lit(1))
     have = new.select(key).join(old, key, "left")
     fresh = have.agg(F.count("*").alias("total"), F.count_if(F.col("_old").isNull()).alias("to_embed"), F.count_distinct(F.when(F.col("_old").isNotNull(), F.col(key))).alias("unchanged"))
-    gone = existing.select(key).distinct().join(new.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("deleted"))
+    gone = existing.select(key).distinct().join(new.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("deleted")).scalar()
     pct = F.when(F.col("total") > 0, (F.col("unchanged") * 100 / F.col("total")).cast("int")).otherwise(0)
-    return fresh.crossJoin(gone).select("total", "to_embed", "unchanged", "deleted", pct.alias("reuse_pct"))
+    return fresh.select("total", "to_embed", "unchanged", gone.alias("deleted"), pct.alias("reuse_pct"))

@@ -148,7 +148,7 @@ def summarize(spark, d):
     r = table(spark, d, "repos").agg(F.count("*").alias("repos"))
     f = table(spark, d, "files").agg(F.count_distinct("file_id").alias("files"))
     c = table(spark, d, "chunks").agg(F.count_distinct("chunk_id").alias("chunks"))
-    return r.crossJoin(f).crossJoin(c)
+    return r.select("repos", f.scalar().alias("files"), c.scalar().alias("chunks"))
 
 
 @query(f"""WITH {T.CHUNKS}, {T.VECTORS}, {T.PENDING} SELECT repo, kind, count(*) AS n FROM (SELECT repo, 'chunks' kind FROM c UNION ALL SELECT repo, 'vectors' FROM v UNION ALL SELECT repo, 'pending' FROM p) GROUP BY ALL""")
