@@ -51,6 +51,18 @@ def quantile(score: Column, anchors: list[tuple[float, float]]) -> Column:
     return out.otherwise(1.0)
 
 
+def normaliser(name: str, stats: dict | None = None):
+    """The normaliser of that name; a sigmoid where its statistics are missing or of fewer
+    than a hundred samples, and for any other name."""
+    if stats and stats.get("sample_size", 0) >= 100:
+        if name == "minmax":
+            return lambda s: min_max(s, F.lit(stats["min"]), F.lit(stats["max"]))
+        if name == "quantile":
+            shares = {"min": 0.0, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "max": 1.0}
+            return lambda s: quantile(s, [(float(stats[k]), v) for k, v in shares.items()])
+    return sigmoid
+
+
 def statistics(scores: DataFrame, column: str = "score", least: int = 100) -> DataFrame:
     """One row of statistics over the finite scores; no row for fewer than ``least``."""
     finite = scores.filter(F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(column) < float("inf")))

@@ -147,6 +147,39 @@ def link(repo: Column, path: Column, start: Column, end: Column) -> Column:
     return F.format_string("kb://%s/%s#L%d-L%d", repo, path, start, end)
 
 
+def snippet(text: Column, start: Column, end: Column, before: int = 2, after: int = 2, max_tokens: int = 400) -> Column:
+    """Lines around a match within a budget of four characters a token.
+
+    The match comes first and is cut if it alone is too long; what is left is halved: the
+    lines before keep their tail, the lines after their head.
+    """
+    lines = F.split(text, "\n")
+    piece = lambda a, b: F.concat_ws("\n", F.slice(lines, F.greatest(a, F.lit(1)), F.greatest(b - F.greatest(a, F.lit(1)) + 1, F.lit(0))))
+    head, body, tail = piece(start - before, start - 1), piece(start, end), piece(end + 1, end + after)
+    room = max_tokens * 4
+    half = F.greatest(F.floor((room - F.length(body)) / 2), F.lit(0)).cast("int")
+    whole = F.length(head) + F.length(body) + F.length(tail) <= room
+    return F.struct(
+        F.when(whole, head).otherwise(F.when(half > 0, F.substring(head, F.greatest(F.length(head) - half + 1, F.lit(1)), half)).otherwise("")).alias("before"),
+        F.substring(body, F.lit(1), F.lit(room)).alias("match"),
+        F.when(whole, tail).otherwise(F.substring(tail, F.lit(1), half)).alias("after"),
+    )
+
+
+# Media types by language.
+MEDIA = {"python": "text/x-python", "javascript": "text/javascript", "typescript": "text/typescript", "markdown": "text/markdown", "json": "application/json", "yaml": "application/yaml", "html": "text/html", "css": "text/css", "toml": "application/toml", "shell": "application/x-sh", "sql": "application/sql"}
+
+
+def fence_language(path: Column) -> Column:
+    """The name after the back-ticks of a code fence; empty for plain text."""
+    lang = language_of(path)
+    return F.when(lang == "text", "").when(lang == "shell", "bash").otherwise(lang)
+
+
+def media_type(path: Column) -> Column:
+    return F.coalesce(_lookup(language_of(path), MEDIA), F.lit("text/plain"))
+
+
 def normal_path(path: Column) -> Column:
     """A path without leading ``./`` or ``/`` and without trailing ``/``; dot files keep their dot."""
     return F.rtrim(F.regexp_replace(path, r"^(?:\./+|/+)+", ""), F.lit("/"))

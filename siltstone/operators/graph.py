@@ -87,7 +87,52 @@ def script_graph(text: str) -> tuple[list[tuple], list[tuple]]:
     return nodes, edges
 
 
-EXTRACTORS = {"python": python_graph, "javascript": script_graph, "typescript": script_graph}
+_SVELTE = (
+    ("accepts_prop", re.compile(r"^\s*export\s+let\s+([\w$]+)", re.M)),
+    ("subscribes_to", re.compile(r"(?<![\w$.])\$([A-Za-z_][\w$]*)")),
+    ("uses_component", re.compile(r"<([A-Z][\w.]*)")),
+    ("dispatches_event", re.compile(r"\bdispatch\(\s*['\"]([\w:-]+)['\"]")),
+)
+
+
+def component_graph(text: str) -> tuple[list[tuple], list[tuple]]:
+    """Edges of a component file: imports, props, stores, components and events."""
+    edges: list[tuple] = []
+    for m in _IMPORT.finditer(text):
+        edges.append(("<module>", m[1] or m[2], "imports", text.count("\n", 0, m.start()) + 1))
+    for kind, pattern in _SVELTE:
+        seen = set()
+        for m in pattern.finditer(text):
+            if m[1] not in seen:
+                seen.add(m[1])
+                edges.append(("<module>", m[1], kind, text.count("\n", 0, m.start(1)) + 1))
+    return [], edges
+
+
+def data_flow(text: str) -> list[tuple]:
+    """(function, variable, line of definition, line of use) within Python functions: each
+    use with the first definition of the name in the function that lies before it."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        tree = ast.parse(text)
+    out = []
+    for fn in ast.walk(tree):
+        if not isinstance(fn, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            continue
+        made: dict[str, int] = {a.arg: fn.lineno for a in (*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs)}
+        names = [n for n in ast.walk(fn) if isinstance(n, ast.Name)]
+        for n in sorted((n for n in names if isinstance(n.ctx, ast.Store)), key=lambda n: n.lineno):
+            made.setdefault(n.id, n.lineno)
+        out += [(fn.name, n.id, made[n.id], n.lineno) for n in names if isinstance(n.ctx, ast.Load) and made.get(n.id, n.lineno) < n.lineno]
+    return sorted(set(out))
+
+
+def stale(commit: Column, current: Column, edge_changes: Column, age_seconds: Column) -> Column:
+    """Whether a kept graph is to be rebuilt: another commit, over five changes, over ten minutes."""
+    return (commit != current) | (edge_changes > 5) | (age_seconds > 600)
+
+
+EXTRACTORS = {"python": python_graph, "javascript": script_graph, "typescript": script_graph, "svelte": component_graph}
 
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,6 +158,23 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def flows(files: DataFrame) -> DataFrame:
+    """Data-flow edges of Python files; texts that do not parse have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for row in frame.itertuples(index=False):
+                try:
+                    out += [(row.file_id, *x) for x in data_flow(row.text)]
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+            yield pd.DataFrame(out, columns=["file_id", "function", "variable", "defined", "used"])
+
+    some = files.select("file_id", "language", "text").filter("language = 'python' and text is not null and file_id is not null")
+    return some.select("file_id", "text").mapInPandas(run, "file_id long, function string, variable string, defined int, used int")
+
+
 def import_candidates(module: Column, importer: Column) -> Column:
     """Paths that an import may mean, in order: a module and its package in Python, relative
     paths with the usual suffixes in scripts. None for other script imports."""

@@ -152,6 +152,22 @@ def mmr_diversify(spark, d):
     return fusion.diversify(near, q, 10).select("query_id", "id", "rank", F.round("mmr_score", 6).alias("mmr_score"))
 
 
+@query(f"""WITH {BM}, t AS (SELECT query_id, id FROM br WHERE rank <= 20), x AS (SELECT t.query_id, t.id, list_distinct({TOK.format(t='d.text')}) AS a, list_distinct({TOK.format(t='s.query')}) AS b FROM t JOIN documents d ON d.doc_id = t.id JOIN scenarios s ON s.scenario_id = t.query_id),
+    y AS (SELECT query_id, id, CAST(len(list_intersect(a, b)) AS DOUBLE) / len(b) AS rerank_score FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id) AS rank FROM y WHERE rerank_score >= 0.1)
+    SELECT query_id, id, round(rerank_score, 6) AS rerank_score, CAST(rank AS INTEGER) AS rank FROM z WHERE rank <= 5""")
+def rerank_hits(spark, d):
+    """K8: a second score (here the share of the query's words) with threshold and cut."""
+    top = fusion.cut(_bm25(spark, d).withColumn("score", F.round("score", 9)), 20).select("query_id", "id")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, d, "scenarios").select(F.col("scenario_id").alias("query_id"), "query")
+
+    def scorer(query, text):
+        return F.size(F.array_intersect(X.words(query), X.words(text))) / F.size(F.array_distinct(X.words(query)))
+
+    out = fusion.rerank(top.join(docs, "id").join(asked, "query_id"), scorer, 0.1, 5)
+    return out.select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
 @query(f"""WITH {BM}, t AS (SELECT query_id, id, score FROM br WHERE rank <= 50), r AS (SELECT query_id, id, round(1 / (1 + exp(-score / 10)), 4) AS sigmoid, round(CASE WHEN mx = mn THEN 1.0 ELSE (score - mn) / (mx - mn) END, 4) AS scaled FROM (SELECT *, min(score) OVER (PARTITION BY query_id) mn, max(score) OVER (PARTITION BY query_id) mx FROM t)) SELECT * FROM r""")
 def normalise_scores(spark, d):
     """Sigmoid and min-max scores."""

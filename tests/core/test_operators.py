@@ -296,3 +296,23 @@ def test_metrics(spark):
     assert out["s"]["mrr"] == 0.5 and out["s"]["map"] == pytest.approx((1 / 2 + 2 / 4) / 2) and out["s"]["p_at_5"] == 0.4 and out["s"]["p_at_10"] == 0.0
     assert out["t"]["mrr"] == 0.0
     assert evaluate.compare(evaluate.metrics(results, expected), evaluate.metrics(results.limit(0), expected), gate=0.5).collect()[0]["change"] == "regressed"
+
+
+def test_snippet_budget(spark):
+    text = "\n".join("abcdefghij" for _ in range(9))
+    s = one(spark, X.snippet(F.lit(text), F.lit(4), F.lit(5), 3, 3, 10))
+    assert s["match"] == "abcdefghij\nabcdefghij" and len(s["before"]) == 9 and s["before"].endswith("j") and s["after"] == "abcdefghi"
+    assert one(spark, X.snippet(F.lit(text), F.lit(1), F.lit(1), 3, 0))["before"] == ""
+    assert one(spark, X.snippet(F.lit("x" * 99), F.lit(1), F.lit(1), 1, 1, 5))["match"] == "x" * 20
+
+
+def test_component_graph_and_flow():
+    _, edges = graph.component_graph("<script>\nimport A from './A.svelte';\nexport let size;\n$store;\ndispatch('done');\n</script>\n<A/>\n")
+    assert {(e[1], e[2]) for e in edges} == {("./A.svelte", "imports"), ("size", "accepts_prop"), ("store", "subscribes_to"), ("done", "dispatches_event"), ("A", "uses_component")}
+    assert graph.data_flow("def f(a):\n    b = a\n    b = 2\n    return b\n") == [("f", "a", 1, 2), ("f", "b", 2, 4)]
+
+
+def test_normaliser_choice(spark):
+    stats = {"sample_size": 200, "min": 0, "p05": 1, "p25": 5, "median": 8, "p75": 12, "p95": 20, "p99": 30, "max": 40}
+    assert one(spark, S.normaliser("quantile", stats)(F.lit(6.5))) == 0.375
+    assert one(spark, S.normaliser("minmax", {"sample_size": 5})(F.lit(0.0))) == 0.5
