@@ -120,6 +120,14 @@ def serial(text: str) -> bool:
     return often >= 0.6 * len(lines)
 
 
+FIRST_MEMBER = re.compile(r"[A-Za-z_]00+\b")
+
+
+def cut_off(path: str, text: str) -> bool:
+    """A generated file that ends early: its place says so, and its members begin at 000."""
+    return len(text) < 1000 and bool(GEN_NAME.search(path)) and bool(FIRST_MEMBER.search(text))
+
+
 def tool_written(path: str, text: str) -> bool:
     """Lock files, snapshots and source maps: by name and contents."""
     name = path.rsplit("/", 1)[-1].lower()
@@ -193,7 +201,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kind = "minified"
             elif literal(low, text):
                 kind = "data"
-            elif CODE.search(low) and serial(text):
+            elif CODE.search(low) and (serial(text) or cut_off(low, text)):
                 kind = "generated"
             is_code = bool(CODE.search(low))
             out.append((row.file_id, row.repo, path, kind, banner and is_code, bool(VENDOR_DIR.search(low)), sketch(text) if is_code and kind is None else []))
@@ -219,7 +227,7 @@ def classify(measured: DataFrame, share: float) -> DataFrame:
 
     # Three readers follow; the texts are measured once.
     seen = cut_lineage(measured)
-    lines = seen.filter("kind is null and size(lines) >= 4").select("file_id", "repo", "banner", "third_party_dir", F.explode("lines").alias("line"))
+    lines = seen.filter("kind is null and size(lines) >= 2").select("file_id", "repo", "banner", "third_party_dir", F.explode("lines").alias("line"))
     known = (
         lines.filter("banner or third_party_dir")
         .groupBy("line")
@@ -228,7 +236,9 @@ def classify(measured: DataFrame, share: float) -> DataFrame:
         .select("line")
     )
     hits = lines.select("file_id", "line").distinct().join(known, "line", "left_semi").groupBy("file_id").agg(F.count("*").alias("n"))
-    total = seen.filter("kind is null").select("file_id", "repo", "path", F.size("lines").alias("size"), "banner")
-    copies = total.join(hits, "file_id", "left").filter(F.col("banner") | (F.col("n") >= F.greatest(F.lit(3), F.col("size") * share)))
+    total = seen.filter("kind is null").select("file_id", "repo", "path", F.size("lines").alias("size"), "banner", "third_party_dir")
+    # A few lines prove nothing by themselves, but in a vendored place all of them known do.
+    short = F.col("third_party_dir") & (F.col("size") >= 2) & (F.col("n") == F.col("size"))
+    copies = total.join(hits, "file_id", "left").filter(F.col("banner") | short | (F.col("n") >= F.greatest(F.lit(3), F.col("size") * share)))
     found = seen.filter("kind is not null").select("file_id", "repo", "path", "kind").unionByName(copies.select("file_id", "repo", "path", F.lit("vendored").alias("kind")))
     return found.groupBy("file_id").agg(F.min(F.struct("repo", "path", "kind")).alias("r")).select("file_id", "r.*")

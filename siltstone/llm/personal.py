@@ -148,7 +148,7 @@ def _fits(kind: str, text: str, a: int, b: int) -> bool:
         return False
     if re.search(r"(?:^|[^\w])(?:[Tt]he|[Aa]n?|[Dd]er|[Dd]ie|[Dd]as|[Dd]en|[Ll]e|[Ll]a|[Ll]os|[Ll]as|[Ee]l)\s$", before):
         return False  # things have articles, persons have none
-    if s.isupper() and (re.search(r"[A-Z]{2,}\W{1,2}$", before) or re.match(r"\W{1,2}[A-Z]{2,}", after)):
+    if s.isupper() and (re.search(r"[A-Z]{2,}\W{1,2}(?:\d+\W)?$", before) or re.match(r"\W{1,2}[A-Z]{2,}", after)):
         return False  # part of a text in capitals
     return before[-1:] not in ("`", "/", ".", "@") and not re.match(r"[`(@\w]|\.\w", after)
 
@@ -274,7 +274,7 @@ class _Writer:
             [f"{n} {street} {self.pick(['Street', 'St.', 'Road', 'Ave', 'Lane', 'Close', 'Court', 'Avenue', 'Drive'])}{flat}, {city} {zip_}"] * 4
             + [f"P.O. Box {self.number(4)}, {city} {zip_}", f"Postfach {self.number(4)}, {self.number(5)} {city}", f"{n}{self.pick(['', ' bis'])} {self.pick(['rue', 'avenue', 'boulevard'])} {self.pick(['du', 'de la', 'des'])} {self.cap()}, {self.number(5)} {city}"]
             + [f"{self.pick(['Calle', 'Avda.', 'Plaza'])} {self.pick(['', 'del ', 'de la '])}{self.cap()} {n}, {self.pick(['bajo', '2º B', '1º izq.'])}, {self.number(5)} {city}"]
-            + [f"{self.pick(['Am', 'Im', 'An der'])} {self.cap()} {n}, D-{self.number(5)} {city}", f"{self.cap()}{self.pick(['straße', 'weg', 'gasse', 'str.'])} {n}, {self.number(5)} {city}"]
+            + [f"{self.pick(['Am', 'Im', 'An der'])} {self.cap()} {n}, D-{self.number(5)} {city}", f"{self.cap()}{self.pick(['straße', 'weg', 'gasse', 'allee', 'str.'])} {n}{self.pick(['', '', 'a', 'b'])}, {self.number(5)} {city}"]
         )
 
     def sentence(self) -> None:
@@ -308,7 +308,7 @@ class _Writer:
             put(pick([", Tel. ", ", tél. ", ", tel. ", ", phone "]))
             put(self.phone(), "phone")
         elif case < 28:
-            put(pick(["The fixture row still contained a real SSN, ", "my social security number is ", "> my passport is ", "Im Testdatensatz stand noch die Steuer-ID ", "stand noch die Ausweisnummer ", "tenía el DNI ", "tenía el NIE ", "(national insurance number ", "(tax id ", "(passport ", "un vrai numéro de sécurité sociale, ", "stand noch die Sozialversicherungsnummer ", "le numéro fiscal ", "social security number, "]))
+            put(pick(["The fixture row still contained a real SSN, ", "my social security number is ", "> my passport is ", "Im Testdatensatz stand noch die Steuer-ID ", "stand noch die Ausweisnummer ", "tenía el DNI ", "tenía el NIE ", "(national insurance number ", "(tax id ", "(passport ", "(SSN ", "(social security number ", "un vrai numéro de sécurité sociale, ", "stand noch die Sozialversicherungsnummer ", "le numéro fiscal ", "social security number, "]))
             put(self.identity(), "id_number")
             put(pick([f", so the dump was withdrawn.", f", please {t()} the account", ".", ")", ""]))
         elif case < 31:

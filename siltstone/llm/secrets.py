@@ -50,6 +50,7 @@ BEFORE = re.compile(r"[\w.$/:@-]*$")
 KEYED = re.compile(r"[\w.-]*[\"'`]?\]?\s*(?::\s*[\w\[\]| .<>]{1,40}?=|=>|:=|\?=|\|\|=|[:=]|,(?=\s*[\"'`]))(?P<rest>\s*[^\n]*(?:\n[ \t]+[\"'][^\n]*)?)", re.I)
 PROSE = re.compile(r"(?:\s+key)?s?\s+(?:is|was|of|to|=|:)?\s*[`\"'](?P<value>[^`\"'\s]{6,})[`\"']", re.I)
 PLAIN = re.compile(r"(?:\s+key)?\s*(?::|=|\bis\b|\bwas\b)\s*(?P<value>[^\s`\"',;]{6,})", re.I)
+PAIR = re.compile(r"[\w.-]*[\"']?\s*,?\s*[\"']?value[\"']?\s*[:=]\s*[\"']?(?P<value>[^\s\"',}]{6,})", re.I)
 NETRC = re.compile(r"\b(?:login|user(?:name)?)\s+\S+\s+password\s+(?P<value>\S{4,})", re.I)
 FLAG = re.compile(r"(?:--?(?:password|passwd|pass|token|api-key|secret)(?:=|\s+))[\"']?(?P<value>[^\s\"'$]{6,})|\s-u\s*[\"']?[\w.-]+:(?P<user>[^\s\"'$@]{4,})")
 HEADER = re.compile(r"\b(?P<scheme>Bearer|Basic|Token)\s+(?P<value>[\w.~+/=-]{8,})")
@@ -61,7 +62,7 @@ QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`
 BARE = re.compile(r"\s*(?P<v>[^\s\"'`,;#(){}\[\]]+)")
 #: What a text must hold to be looked at; implied by every pattern above.
 TRIGGER = (
-    rf"(?i)pass|pwd|secret|token(?:[\w.-]*[\"'`]?\]?\s*[:=,|?]|s?\s+(?:is|was|of|to|[`\"']))|[a-z][ _-]?key|credential|authorization|"
+    rf"(?i)pass|pwd|secret|token(?:[\w.-]*[\"'`]?\]?\s*[:=,|?]|s?\s+(?:is|was|of|to|[`\"'])|[\w.-]*[\"']?,?\s+[\"']?value)|[a-z][ _-]?key|credential|authorization|"
     rf"://[^\s/@]*:[^\s/@]*@|-----BEGIN|\b(?:bearer|basic|token)\s|\s-u\s|--token|{ISSUED}"
 )
 
@@ -220,7 +221,7 @@ def find(text: str, words: dict[str, float]) -> list[tuple[int, int, str]]:
             name += re.match(r"[\w.-]*", text[m.end() : m.end() + 60])[0]
             if "BEGIN" not in hit["rest"][:40]:
                 spans += [(a, b, "assigned") for a, b in _keyed(name, hit["rest"], hit.start("rest"), words)]
-        for pattern in (PROSE, PLAIN):
+        for pattern in (PROSE, PLAIN, PAIR):
             if (hit := pattern.match(text, m.end())) and mentioned(name, hit["value"], pattern is PLAIN):
                 spans.append((hit.start("value"), hit.end("value"), "mentioned"))
     low = text.lower() if "assword" in text or "-u " in text or "--" in text else ""
