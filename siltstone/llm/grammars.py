@@ -49,13 +49,19 @@ stmts = stmt+
 stmt = line | compound
 line = small (";" small)* ";"? NL
 small = exprstmt | "pass" | "break" | "continue" | "return" stars? | "raise" (expr ("from" expr)?)? | "global" NAME ("," NAME)* | "nonlocal" NAME ("," NAME)* | "del" stars | "assert" expr ("," expr)? | "import" dotted alias? ("," dotted alias?)* | "from" from "import" ("*" | PAREN<names> | NAME alias? ("," NAME alias?)*) | "type" NAME BRACK<tparams>? "=" expr
-exprstmt = stars (("=" (stars | yield))+ | AUG (stars | yield) | ":" expr ("=" (stars | yield))?)? | yield
+exprstmt = stars | yield | (places "=")+ (stars | yield) | single AUG (stars | yield) | single ":" expr ("=" (stars | yield))?
+places = place ("," place)* ","?
+place = "*"? (NAME | member | PAREN<inplaces> | BRACK<inplaces>)
+inplaces = places?
+single = NAME | member | PAREN<single>
+member = atom (trailer* ("." NAME | BRACK<slices>))
 from = DOTS* dotted | DOTS+
 dotted = NAME ("." NAME)*
 alias = "as" NAME
 names = NAME alias? ("," NAME alias?)* ","?
 yield = "yield" ("from" expr | stars)?
-stars = star ("," star)* ","?
+stars = bare ("," bare)* ","?
+bare = "*" expr | expr
 star = "*" expr | named
 named = NAME ":=" expr | expr
 expr = "lambda" lparams? ":" expr | oper ("if" oper "else" expr)?
@@ -68,10 +74,10 @@ trailer = "." NAME | PAREN<args> | BRACK<slices>
 group = (yield | named comp | star ("," star)* ","?)?
 comp = ("async"? "for" targets "in" oper ("if" named1)*)+
 named1 = NAME ":=" expr | oper | "lambda" lparams? ":" expr
-targets = target ("," target)* ","?
-target = "*"? atom trailer*
-args = (arg ("," arg)* ","?)?
-arg = named comp? | NAME "=" expr | "*" expr | "**" expr
+targets = places
+args = ((given ("," given)* ("," keyed)* | keyed ("," keyed)*) ","?)?
+given = named comp? | "*" expr
+keyed = NAME "=" expr | "*" expr | "**" expr
 slices = slice ("," slice)* ","?
 slice = expr? ":" expr? (":" expr?)? | named | "*" expr
 list = (star comp | star ("," star)* ","?)?
@@ -86,7 +92,7 @@ compound = "if" named body ("elif" named body)* ("else" body)? | "while" named b
 try = "try" body (("except" (expr alias?)? body)+ ("else" body)? ("finally" body)? | ("except" "*" expr alias? body)+ ("else" body)? ("finally" body)? | "finally" body)
 with = item ("," item)* | PAREN<items>
 items = item ("," item)* ","?
-item = expr ("as" target)?
+item = expr ("as" place)?
 definition = ("@" named NL)* ("async"? "def" NAME BRACK<tparams>? PAREN<params> ("->" expr)? body | "class" NAME BRACK<tparams>? PAREN<args>? body)
 cases = ("case" patterns ("if" named)? body)+
 patterns = star alias? ("," star alias?)* ","?
@@ -136,7 +142,7 @@ method = "async"? "*"? key "?"? GENERIC PAREN<params> RET FBODY | ("get" | "set"
 field = key ("?" | "!")? ANN ("=" assign)?
 key = IDENT | STRING | NUMBER | BRACK<assign> | PRIVATE
 expr = assign ("," assign)*
-assign = arrow | cond (ASSIGN assign)? | "yield" "*"? assign?
+assign = arrow | chain ASSIGN assign | cond | "yield" "*"? assign?
 cond = binary ("?" assign ":" assign)?
 binary = unary (BINOP unary | ASOP)*
 unary = PREFIX* chain POSTFIX?
@@ -303,7 +309,7 @@ function = WORD "(" ")" breaks? compound redirect* | "function" WORD ("(" ")")?
 
 _NUM = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?![\w])"
 _JSNUM = r"(?:0[xX](?:_?[0-9a-fA-F])+n?|0[bB](?:_?[01])+n?|0[oO](?:_?[0-7])+n?|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?n?)(?![\w$])"
-_FIN = r"(?:[^{quote}\\{{}}\n]|\\.|\{{\{{|\}}\}}|\{{[^{{}}\n]*(?:\{{[^{{}}\n]*\}}[^{{}}\n]*)*\}})*"
+_FIN = r"(?:[^{quote}\\{{}}\n]|\\.|\{{\{{|\}}\}}|\{{[^{{}}]*(?:\{{[^{{}}]*\}}[^{{}}]*)*\}})*"
 
 _PY = re.compile(
     r"(?:[ \t\f]+|\\\r?\n)*(?:(?P<nl>\r?\n|\r)|(?P<comment>#[^\r\n]*)|"
@@ -329,6 +335,30 @@ def _columns(space: str) -> tuple[int, int]:
     return wide, narrow
 
 
+_FIELD = re.compile(r"\{\{|\}\}|\\.|\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}")
+_NAMES = re.compile(r"\s*[^\W\d]\w*(?:\.[^\W\d]\w*)*\s*=?(?:![rsa])?(?::[^{}]*)?")
+
+
+def _check_fields(literal: str, rec: Recogniser) -> None:
+    """The replacement fields of a formatted string must be expressions."""
+    for m in _FIELD.finditer(literal):
+        field = m[1]
+        if field is None or _NAMES.fullmatch(field):
+            continue
+        depth = end = 0
+        for end, c in enumerate(field):
+            depth += (c in "([{") - (c in ")]}")
+            if not depth and (c == ":" or c == "!" and field[end + 1 : end + 2] != "="):
+                break
+        else:
+            end = len(field)
+        expr = field[:end].rstrip().removesuffix("=")
+        if "lambda" in field or '"' in field or "'" in field:
+            continue  # quotes and colons of its own: left to the exact parser
+        if not rec.derives((PYTHON.names["file"],), tuple(lex_python(f"({expr})\n", rec))) or not expr.strip():
+            raise Invalid
+
+
 def lex_python(text: str, rec: Recogniser) -> list[int]:
     kind = PYTHON.kind
     k_nl, k_name, k_num, k_str, k_aug, k_block = kind("NL"), kind("NAME"), kind("NUMBER"), kind("STRING"), kind("AUG"), kind("BLOCK")
@@ -415,6 +445,8 @@ def lex_python(text: str, rec: Recogniser) -> list[int]:
                 raise Invalid
             here.append(k_num << 1)
         else:
+            if what == "fstring":
+                _check_fields(m["fstring"], rec)
             here.append(k_str << 1)
     if brackets:
         raise Invalid
