@@ -28,7 +28,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search over the stated query set: every id divisible by 20, against all rows."""
-    return neighbours.nearest(read(spark, sf_dir, "vectors"), k=10, queries_every=20, probes=48)
+    found = neighbours.nearest(read(spark, sf_dir, "vectors"), k=10, queries_every=20, probes=48)
+    return found.select("embed_model", "vec_id", "rank", "neighbour_id", F.round("similarity", 6).alias("similarity"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +100,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_files, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_secrets, p4_redacted, p5_found, p5_files, p5_rates, p6_found, p6_pack, p6_containers, p7_found, p7_leaks, p8_found, p8_items, p8_redacted)}
 
 
+#: Brute force over the well-formed vectors: each with its ten most similar ones.
+NEAREST = """v AS (SELECT DISTINCT vec_id, embed_model, CAST(vector AS DOUBLE[]) AS x FROM vectors WHERE vector IS NOT NULL AND len(vector) = CASE embed_model WHEN 'small' THEN 64 WHEN 'large' THEN 96 END
+      AND len(list_filter(vector, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0),
+    s AS (SELECT a.embed_model, a.vec_id, b.vec_id AS neighbour_id, list_cosine_similarity(a.x, b.x) AS similarity FROM v a JOIN v b ON a.embed_model = b.embed_model AND a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY embed_model, vec_id ORDER BY round(similarity, 12) DESC, neighbour_id) AS rank FROM s)"""
+
 SIZE = f"len(regexp_extract_all({{0}}, '{TOKEN}'))"
 
 
 def oracle_sql() -> dict[str, str]:
     size = SIZE.format("c.text")
     return {
+        "p2_found": f"WITH {NEAREST} SELECT DISTINCT least(vec_id, neighbour_id) AS vec_a, greatest(vec_id, neighbour_id) AS vec_b FROM r WHERE rank <= 10 AND similarity >= 0.9",
+        "p2_neighbours": f"WITH {NEAREST} SELECT embed_model, vec_id, CAST(rank AS INTEGER) AS rank, neighbour_id, round(similarity, 6) AS similarity FROM r WHERE rank <= 10 AND vec_id % 20 = 0",
         "p3_found": f"""
             SELECT DISTINCT c.chunk_id FROM chunks c
             LEFT JOIN window_limits w ON w.ext = regexp_extract(lower(c.path), '[^/](\\.[^./]+)$', 1)
