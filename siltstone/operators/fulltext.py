@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 
 K1, B = 1.2, 0.75
+#: Rows of query terms that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass
@@ -29,9 +31,10 @@ class Index:
 
 def build(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Index:
     """Index of ``docs``. Null texts have no terms; repeated ids add up as one document."""
-    tokens = docs.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("term"))
-    postings = tokens.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return Index(postings, postings.groupBy("id").agg(F.sum("tf").alias("len")))
+    rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("_w"))
+    postings = rows.select("id", F.explode("_w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    lengths = rows.groupBy("id").agg(F.sum(F.size("_w").cast("long")).alias("len")).filter("len > 0")
+    return Index(postings, lengths)
 
 
 def bm25(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -39,10 +42,13 @@ def bm25(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> Data
 
     ``queries`` has ``query_id`` and ``query``. The idf is ln((N-n+0.5)/(n+0.5)), at least
     1e-6; all statistics are of the whole corpus, so filters are applied afterwards.
-    Only the postings of the queries' terms are joined with the lengths.
+    Only the postings of the queries' terms are joined with the lengths. Query terms are
+    broadcast while they are few, which one cheap pass over the queries finds out.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = F.broadcast if few else (lambda df: df)
+    wanted = index.postings.join(small(terms.select("term").distinct()), "term", "left_semi")
     total = index.lengths.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("avg")).alias("t")).scalar()
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -50,7 +56,9 @@ def bm25(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> Data
     weights = terms.join(counted, "term").select("query_id", "term", idf.alias("idf"), "avg_len")
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = wanted.join(index.lengths, "id").join(weights, "term")
+    # Postings meet the lengths partitioned by document; with the weights broadcast, the sum
+    # by query and document needs no further shuffle.
+    scored = (wanted.repartition("id") if few else wanted).join(index.lengths, "id").join(small(weights), "term")
     return scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
