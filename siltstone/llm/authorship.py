@@ -194,7 +194,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             low = path.lower()
             top = header(text)
             kind = None
-            banner = bool(top) and bool(BANNER.search(top[:400]) or OTHERS.search(top)) and not OWN.search(top)
+            banner = bool(top) and bool(BANNER.search(top) or OTHERS.search(top)) and not OWN.search(top)
             if tool_written(path, text) or (CODE.search(low) and not low.endswith("css") and notice(automaton, top)):
                 kind = "generated"
             elif minified(low, text):
