@@ -307,7 +307,7 @@ function = WORD "(" ")" breaks? compound redirect* | "function" WORD ("(" ")")?
 
 # ---------------------------------------------------------------- lexers
 
-_NUM = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?![\w])"
+_NUM = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?:(?!\w)|(?=(?:and|else|for|if|in|is|not|or)\b))"
 _JSNUM = r"(?:0[xX](?:_?[0-9a-fA-F])+n?|0[bB](?:_?[01])+n?|0[oO](?:_?[0-7])+n?|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?n?)(?![\w$])"
 _FIN = r"(?:[^{quote}\\{{}}\n]|\\.|\{{\{{|\}}\}}|\{{[^{{}}]*(?:\{{[^{{}}]*\}}[^{{}}]*)*\}})*"
 
