@@ -227,7 +227,7 @@ tname = NAME ("." IDENT)*
 tuple = (telem ("," telem)* ","?)?
 telem = "..."? (IDENT "?"? ":")? type "?"?
 fparams = params
-typemembers = (typemember (";" | ",")?)* | mapped
+typemembers = (typemember ("," | EOS))* | mapped
 mapped = (("+" | "-")? "readonly")? BRACK<mappedkey> (("+" | "-")? "?")? ann ";"?
 mappedkey = NAME "in" type ("as" type)?
 typemember = "readonly"? (BRACK<indexsig> ann | key "?"? ann | ("get" | "set")? key "?"? generic? PAREN<params> ret | "new"? generic? PAREN<params> ret)

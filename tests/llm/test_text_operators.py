@@ -209,7 +209,7 @@ VALID = {
 INVALID = {
     "python": ["print 'a'", "def f(:\n    pass\n", "if a:\npass\n", "x = (1]\n", "<<<<<<< HEAD\na\n=======\nb\n>>>>>>> c\n", "def f()\n    pass\n", "a = “b”\n", "  x = 1\n y = 2\n", "class A:\n   ", "x = '''abc", "a b\n", "for x in:\n    pass\n", "else:\n    a\n", "x = 0777\n"],
     "javascript": ["const a = ;", "function f( { }", "let x: number = 1;", "import a form 'b'", "<<<<<<< HEAD\n", "x = `a${b`", "if a { }", "class A { b c }", "var 1a = 2;", "a b c;", "return }", "#!/usr/bin/env bash\nset -euo pipefail\nf() {\n  echo \"a\"\n}\n", "'abc\n'", "export {a"],
-    "typescript": ["interface A { b: }", "type X = ;", "class A { constructor(private ) {} }", "<!doctype html>\n<html></html>", "function f(a: string, { }", "enum { A }", "let x: Map<string = 1;"],
+    "typescript": ["interface A { b: }", "interface A { b? number; }", "interface A { b: string c: number }", "type X = ;", "class A { constructor(private ) {} }", "<!doctype html>\n<html></html>", "function f(a: string, { }", "enum { A }", "let x: Map<string = 1;"],
     "json": ["", "{'a': 1}", '{"a": 1,}', "[1 2]", '{"a": NaN}', "// c\n{}", '{"a": "x\n"}', "01", '{"a": 1} x'],
     "toml": ["a = ", "[a\n", "a 1\n", "a = [1, 2\n", "a = \"x\n", "<<<<<<< HEAD\n", "a = 01\n"],
     "shell": ["if true; then\n", "f() {\n echo\n", "case $1 in\n a) x ;;\n", "echo \"abc\n", "done\n", "fi\n", "for i in a; do echo; fi\n", "import { a } from 'b';\nexport function c() {\n}\n", "a && && b\n", "x=$(ls\n"],
