@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -73,3 +75,29 @@ def statistics(scores: DataFrame, column: str = "score", least: int = 100) -> Da
     )
     names = ("p05", "p25", "median", "p75", "p95", "p99")
     return one.filter(F.col("sample_size") >= least).select("sample_size", "min", "max", "mean", "std", *(F.col("p")[i].alias(n) for i, n in enumerate(names)))
+
+
+def nearest_rank(df: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]], cuts: int = 200) -> DataFrame:
+    """Per key the values at given 0-based places of the sorted values, exactly.
+
+    ``places`` maps a name to a place made of the count. A key may hold a third of all rows:
+    its values are never sorted in one task. Approximate quantiles cut them into buckets,
+    bucket counts tell which bucket holds a place, and only that bucket's rows are ranked; a
+    bucket of one value needs no ranking. Null values are left out.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(value).alias("v")).filter("v is not null")
+    edges = F.percentile_approx("v", F.array(*(F.lit(i / cuts) for i in range(1, cuts))), 10_000)
+    stats = rows.groupBy("k").agg(F.count("*").alias("n"), F.array_distinct(edges).alias("edges"))
+    placed = rows.join(stats.select("k", "edges"), "k").select("k", "v", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("b"))
+    buckets = placed.groupBy("k", "b").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    upto = F.sum("c").over(Window.partitionBy("k").orderBy("b"))
+    spans = buckets.withColumn("start", upto - F.col("c")).join(stats.select("k", "n"), "k")
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("at")) for name, place in places.items()))
+    targets = spans.withColumn("t", F.explode(wanted)).filter((F.col("t.at") >= F.col("start")) & (F.col("t.at") < F.col("start") + F.col("c")))
+    targets = targets.select("k", "b", "start", "lo", "hi", F.col("t.name").alias("name"), F.col("t.at").alias("at"))
+    plain = targets.filter("lo = hi").select("k", "name", F.col("lo").alias("v"))
+    inside = placed.join(targets.filter("lo <> hi").select("k", "b").distinct(), ["k", "b"], "left_semi")
+    ranked = inside.withColumn("i", F.row_number().over(Window.partitionBy("k", "b").orderBy("v")) - 1)
+    found = targets.filter("lo <> hi").join(ranked, ["k", "b"]).filter(F.col("at") == F.col("start") + F.col("i")).select("k", "name", "v")
+    out = plain.unionByName(found).groupBy(F.col("k").alias(key))
+    return out.agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.scores import nearest_rank
 from ..operators import filters, merge
 from ..session import table
 from . import tables as T
@@ -186,10 +187,8 @@ def score_statistics(spark, d):
     SELECT event_type, max(CASE WHEN i = n // 2 THEN value END) AS p50, max(CASE WHEN i = CAST(floor(0.95 * n) AS BIGINT) THEN value END) AS p95 FROM r GROUP BY event_type""")
 def latency_percentiles(spark, d):
     """Nearest-rank percentiles (not interpolated)."""
-    w = Window.partitionBy("event_type")
-    r = table(spark, d, "events").select("event_type", "value", (F.row_number().over(w.orderBy("value", "event_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    pick = lambda at: F.max(F.when(F.col("i") == at, F.col("value")))
-    return r.groupBy("event_type").agg(pick(F.floor(F.col("n") / 2)).alias("p50"), pick(F.floor(F.col("n") * 0.95)).alias("p95"))
+    places = {"p50": lambda n: F.floor(n / 2), "p95": lambda n: F.floor(n * 0.95)}
+    return nearest_rank(table(spark, d, "events"), "event_type", "value", places)
 
 
 @query("""SELECT event_type, date_trunc('minute', ts) AS minute, count(*) / 60.0 AS rate, round(sum(value), 6) AS total FROM events GROUP BY ALL""")

@@ -316,3 +316,15 @@ def test_normaliser_choice(spark):
     stats = {"sample_size": 200, "min": 0, "p05": 1, "p25": 5, "median": 8, "p75": 12, "p95": 20, "p99": 30, "max": 40}
     assert one(spark, S.normaliser("quantile", stats)(F.lit(6.5))) == 0.375
     assert one(spark, S.normaliser("minmax", {"sample_size": 5})(F.lit(0.0))) == 0.5
+
+
+def test_nearest_rank_against_sorting(spark):
+    import random
+
+    rng = random.Random(4)
+    values = {"even": [float(rng.randrange(50)) for _ in range(1000)], "hot": [7.0] * 900 + [float(i) for i in range(100)], "one": [3.0], "spread": [rng.random() for _ in range(3001)]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("none", None)], "k string, x double")
+    out = {r["k"]: r for r in S.nearest_rank(df, "k", "x", {"p50": lambda n: F.floor(n / 2), "p95": lambda n: F.floor(n * 0.95)}, 20).collect()}
+    assert set(out) == set(values)
+    for k, vs in values.items():
+        assert (out[k]["p50"], out[k]["p95"]) == (sorted(vs)[len(vs) // 2], sorted(vs)[int(0.95 * len(vs))])
