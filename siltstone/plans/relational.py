@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.scores import nearest_rank
-from ..operators import filters, merge
+from ..operators import filters, merge, ordering
 from ..session import table
 from . import tables as T
 
@@ -230,8 +230,8 @@ def latest_per_key(spark, d):
 @query("""SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS rolling FROM events""")
 def rolling_mean(spark, d):
     """Mean of the last 20."""
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(-19, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("rolling"))
+    rows = ordering.numbered(table(spark, d, "events").select("event_type", "event_id", "value"), "event_type", "event_id")
+    return ordering.moving(rows, "event_type", "rolling", F.avg("value"), 19).select("event_id", F.round("rolling", 6).alias("rolling"))
 
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), 4) AS used FROM events""")
@@ -248,9 +248,8 @@ def sliding_rate(spark, d):
 def moving_average(spark, d):
     """Exponential moving average. Written as a weighted sum of ordered rows, so that no
     key's values are gathered in one place."""
-    w = Window.partitionBy("event_type")
-    e = table(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("event_id")).alias("i"), F.count("*").over(w).alias("n"))
-    weight = F.when(F.col("i") == 1, F.pow(F.lit(0.8), F.col("n") - 1)).otherwise(0.2 * F.pow(F.lit(0.8), F.col("n") - F.col("i")))
+    e = ordering.numbered(table(spark, d, "events").select("event_type", "event_id", "value"), "event_type", "event_id")
+    weight = F.when(F.col("i") == 0, F.pow(F.lit(0.8), F.col("n") - 1)).otherwise(0.2 * F.pow(F.lit(0.8), F.col("n") - 1 - F.col("i")))
     return e.groupBy("event_type").agg(F.round(F.sum(F.col("value") * weight), 6).alias("ema"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scores as S
 from siltstone.functions import text as X
-from siltstone.operators import changes, chunking, evaluate, filters, fulltext, fusion, graph, knn, merge
+from siltstone.operators import changes, chunking, evaluate, filters, fulltext, fusion, graph, knn, merge, ordering
 
 
 def one(spark, column):
@@ -328,3 +328,17 @@ def test_nearest_rank_against_sorting(spark):
     assert set(out) == set(values)
     for k, vs in values.items():
         assert (out[k]["p50"], out[k]["p95"]) == (sorted(vs)[len(vs) // 2], sorted(vs)[int(0.95 * len(vs))])
+
+
+def test_positions_and_moving_windows(spark):
+    import random
+
+    ids = random.Random(2).sample(range(10_000), 700)
+    df = spark.createDataFrame([("a" if n % 3 else "b", i, float(i % 11)) for n, i in enumerate(ids)] + [("a", None, 1.0)], "k string, id long, v double")
+    rows = ordering.numbered(df, "k", "id", 16)
+    got = {(r["k"], r["id"]): (r["i"], r["n"], r["m"]) for r in ordering.moving(rows, "k", "m", F.sum("v"), 4, block=32).collect()}
+    assert len(got) == 700
+    for k in "ab":
+        mine = sorted(i for n, i in enumerate(ids) if ("a" if n % 3 else "b") == k)
+        for place, i in enumerate(mine):
+            assert got[(k, i)] == (place, len(mine), sum(x % 11 for x in mine[max(0, place - 4) : place + 1]))
