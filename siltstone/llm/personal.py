@@ -63,8 +63,8 @@ NOT_NAMES = frozenset(
 )
 
 TRIGGER = re.compile(
-    rf"@|\(at\)|\[at\]|\{{at\}}|\sAT\s|\sat\s[\w.-]+\s(?:dot|DOT)\s|\d(?:[ ./()-]{{0,2}}\d){{5,}}|(?<![\w`./]){WORD}(?:,? |;)(?:[{U}]\.? )*(?:{WORD}|[{U}]{{2,}})|(?<![\w`./]){CAPS},? {CAPS}|[{U}]\. {WORD}"
-    rf"|\d(?: bis| ter)?,? (?:{WORD}|rue|avenue|boulevard|chemin|place|allée|impasse|quai|route|cours)|(?:{WORD}|str\.|,) \d|Box \d|Postfach|Apartado"
+    rf"@|\(at\)|\[at\]|\{{at\}}|\sAT\s|\sat\s[\w.-]+\s(?:dot|DOT)\s|\d(?:[ ./()-]{{0,2}}\d){{5,}}|(?<![\w`./])(?:{WORD}|{CAPS})(?:,? |;)(?:[{U}]\.? )*(?:(?:van|von|de|da|di|del|der|la|le|den|zu) ){{0,2}}(?:{WORD}|{CAPS})|[{U}]\. {WORD}"
+    rf"|\d[A-Za-z]?(?: bis| ter)?,? (?:{WORD}|rue|avenue|boulevard|chemin|place|allée|impasse|quai|route|cours|square)|(?:{WORD}|str\.|,) \d|Box \d|Postfach|Apartado|Apdo|postale \d|B\.?P\.? \d"
 )
 _FIRST = re.compile(rf"[{U}]\w+")
 
