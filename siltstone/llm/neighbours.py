@@ -152,12 +152,15 @@ def _route(forest, probes: int, every: int):
                 base = part[["embed_model", "k1", "k2", "vector"]]
                 homes = np.stack([t.home(x) for t in trees], axis=1)
                 asks = part["q"].to_numpy()
+                # Home leaves come first in the queue: their entries as items serve the queries too.
+                home = not probes or probes >= len(trees)
                 for t in range(len(trees)):
-                    yield base.assign(tree=t, leaf=homes[:, t], is_query=asks if not probes else False, is_item=True)[NAMES]
+                    yield base.assign(tree=t, leaf=homes[:, t], is_query=asks if home else False, is_item=True)[NAMES]
                 if probes and asks.any():
                     rank = np.concatenate([t.priorities(x[asks]) for t in trees], axis=1)
-                    top = np.argsort(-rank, axis=1, kind="stable")[:, :probes]
                     width = 2 ** trees[0].depth
+                    np.put_along_axis(rank, homes[asks] + width * np.arange(len(trees)), np.inf, axis=1)
+                    top = np.argsort(-rank, axis=1, kind="stable")[:, len(trees) if home else 0 : probes]
                     some = base[asks]
                     for p in range(top.shape[1]):
                         yield some.assign(tree=top[:, p] // width, leaf=top[:, p] % width, is_query=True, is_item=False)[NAMES]
@@ -213,6 +216,13 @@ def _leaf(k: int, least: float):
     return run
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Each pair for both of its sides: where all rows query, a find of one serves the other."""
+    there = F.struct("embed_model", "a1", "a2", "b1", "b2", "similarity")
+    back = F.struct("embed_model", F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"), "similarity")
+    return pairs.select(F.inline(F.array(there, back)))
+
+
 def nearest(
     vectors: DataFrame,
     k: int = 10,
@@ -229,7 +239,8 @@ def nearest(
     Equal similarities rank by the smaller id. ``min_similarity`` keeps only neighbours of
     at least that cosine; it does not change which ones come first. ``queries_every`` takes
     as queries the rows whose id it divides (0: all rows); ``probes`` sends each query to
-    that many leaves of the shared queue (0: to its own leaf of every tree).
+    that many leaves of the shared queue, its own leaves first (0: only to its own leaf of
+    every tree).
 
     Malformed vectors (null, wrong length, null or non-finite numbers, all zero), unknown
     models and null ids take no part; repeated rows count once. Other columns are ignored.
@@ -240,7 +251,12 @@ def nearest(
     forest = spark.sparkContext.broadcast(fit_forest(rows, trees, leaf_rows, sample_rows))
     routed = rows.mapInPandas(_route(forest, probes, queries_every), ROUTED)
     found = routed.groupBy("embed_model", "tree", "leaf").applyInPandas(_leaf(k, min_similarity), PAIRS)
+    if probes and not queries_every:
+        found = _both_ways(found)
     pairs = found.groupBy("embed_model", "a1", "a2", "b1", "b2").agg(F.max("similarity").alias("similarity"))
+    if probes and not queries_every:
+        first = Window.partitionBy("embed_model", "a1", "a2").orderBy(F.desc("similarity"))
+        pairs = pairs.withColumn("n", F.rank().over(first)).filter(F.col("n") <= k).drop("n")
 
     # Classes of equal vectors: their k+1 smallest ids, taken in two steps so that a class
     # of many rows is cut down in parts first.

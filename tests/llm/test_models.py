@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import neighbours, personal, tagger
+from siltstone.llm import neighbours, personal, registry, tagger
 
 DIMS = {"small": 8}
 
@@ -49,6 +49,32 @@ def test_recall_over_many_leaves(spark):
     assert len(near & true) / len(true) >= 0.9
 
 
+def test_pairs_split_in_every_tree_are_found_through_the_queue(spark):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((1500, 8)), 2, axis=0)
+    x = (x + 0.1 * rng.standard_normal((3000, 8))).astype(np.float32)
+    df = spark.createDataFrame([(int(i), "small", [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embed_model string, vector array<float>")
+    want = brute(x.astype(np.float64), np.arange(3000), 10)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    true = {(min(i, j), max(i, j)) for i, js in want.items() for j in js if unit[i] @ unit[j] >= 0.9}
+
+    def found(probes):
+        near = neighbours.nearest(df, dimensions=DIMS, leaf_rows=50, min_similarity=0.9, probes=probes)
+        return {tuple(r) for r in neighbours.linked(near).collect()}
+
+    homes, queue = found(0), found(24)
+    assert len(true - queue) < 0.3 * len(true - homes) and len(queue & true) / len(true) >= 0.97
+
+
+def test_found_uses_the_queue(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(registry, "read", lambda *a: None)
+    monkeypatch.setattr(neighbours, "linked", lambda found: found)
+    monkeypatch.setattr(neighbours, "nearest", lambda vectors, **given: asked.update(given))
+    registry.p2_found(spark, "")
+    assert asked["probes"] > neighbours.TREES
+
+
 def test_a_vector_that_holds_a_third_of_all_rows(spark):
     df = spark.range(3000).select(F.col("id").alias("vec_id"), F.lit("small").alias("embed_model"), F.when(F.col("id") % 3 == 0, F.array(*(F.lit(1.0) for _ in range(8)))).otherwise(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(i * F.col("id")))).alias("vector"))
     out = neighbours.nearest(df, k=3, min_similarity=0.999, dimensions=DIMS, leaf_rows=100)
