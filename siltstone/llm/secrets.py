@@ -40,8 +40,11 @@ PLACEHOLDER = re.compile(
     r"^<.*>$|^\[.*\]$|^(.)\1*$|x{6,}|\*{3,}|\.{3}|^\$|\$\{|\{\{|^%\(|%[sd]|^\{|^vault[:/]|/secret|^env[.:(]|secretsmanager|^ref\+|^op://|^arn:|^!|^process\.|^os\.|^file:",
     re.I,
 )
-# Names of digests; and their formats.
-DIGEST_NAME = re.compile(r"hash|sha\d*|digest|checksum|integrity|commit|etag|fingerprint|md5|crc|revision|public", re.I)
+# Names of digests, as whole parts of a name; and their formats.
+DIGEST_NAME = re.compile(
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?=[A-Z][a-z])|(?i:(?<=password)|(?<=passwd)|(?<=secret)|(?<=token)|(?<=key)|(?<=commit)|(?<=git)))"
+    r"(?i:hash(?:e[sd])?|sha\d*(?:sum)?|digests?|checksums?|integrity|commits?|etags?|fingerprints?|md5(?:sum)?|crc\d*|revisions?|public)(?![a-z])(?!(?<=[A-Z])[A-Z])"
+)
 DIGEST = re.compile(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|sha\d+[-:=].+|\$2[aby]\$.+|\$(?:argon2|pbkdf2|scrypt|5|6)\S+|\{?ssha\}?.+)$", re.I)
 UUID = re.compile(r"^\{?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}?$", re.I)
 
@@ -120,6 +123,15 @@ def residual(value: str, words: dict[str, float]) -> int:
     return left + (short if short > long_ else 0)
 
 
+def _like_digest(value: str) -> bool:
+    """Whether a value has the form of a digest: hexadecimal, or base64 of a digest's size."""
+    if re.fullmatch(r"(?:0x)?[0-9a-fA-F]{7,}", value) or re.match(r"\w+:\w+[:$]", value):
+        return True
+    if not re.fullmatch(r"[\w+/-]{22,}={0,2}", value):
+        return False
+    return len(value.rstrip("=")) * 3 // 4 in (16, 20, 28, 32, 48, 64)
+
+
 def is_secret(name: str, value: str, words: dict[str, float]) -> bool:
     """Whether a value in the context of a telling name is a usable credential."""
     value = value.strip()
@@ -129,7 +141,9 @@ def is_secret(name: str, value: str, words: dict[str, float]) -> bool:
         return False
     if re.search(r"\s", value) and not re.fullmatch(ISSUED, value):
         return False
-    if DIGEST_NAME.search(name) or (DIGEST.match(value) and not re.fullmatch(r"[0-9a-fA-F]+", value)):
+    if DIGEST.match(value) and not re.fullmatch(r"[0-9a-fA-F]+", value):
+        return False
+    if DIGEST_NAME.search(name) and (not TELL.search(name) or _like_digest(value)):
         return False
     if value.startswith(("ssh-", "AAAA", "http://", "https://", "./", "../", "/", "data:")):
         return False

@@ -143,6 +143,17 @@ def test_no_secret(words, text):
     assert secrets.find(text, words) == []
 
 
+@pytest.mark.parametrize("name", ["shared_secret", "pre_shared_key", "SHARED_KEY", "sharepoint_password", "commit_bot_token", "hashicorp_token", "marshalToken", "commitBotToken"])
+def test_digest_words_within_names_hide_nothing(words, name):
+    assert len(secrets.find(f'{name} = "cold-symbol-72x"', words)) == 1
+
+
+@pytest.mark.parametrize("name", ["token_hash", "tokenHash", "passwordhash", "SECRET_SHA256", "secretSha", "commit_token_digest", "API_KEY_MD5"])
+@pytest.mark.parametrize("value", ["3f38d174304e5416b1f23d4a9e847b9f64af2d1a", "n4bQgYhMfWWaL+qgxVrQFaO/TxsrC4Is0V1sFbDwCQg=", "$2b$12$C6UzMDM.H6dfI/f/IKcEeO"])
+def test_digests_by_name_and_format_are_no_secrets(words, name, value):
+    assert secrets.find(f'{name} = "{value}"', words) == []
+
+
 @pytest.mark.parametrize("text", SECRET)
 def test_trigger_is_implied(spark, text):
     assert spark.createDataFrame([(text,)], "t string").filter(F.col("t").rlike(secrets.TRIGGER)).count() == 1
