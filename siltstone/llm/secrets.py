@@ -25,7 +25,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # What a name must hold for its value to be a credential.
 TELLING = (
-    r"pass(?:word|wd|phrase|code)?(?![a-z])|pwd(?![a-z])|secret|token(?!iz|_?count|s\b)|"
+    r"pass(?:(?:word|wd|phrase|code)s?)?(?![a-z])|pwds?(?![a-z])|secret|token(?!iz|_?count)|"
     r"(?:api|access|private|signing|encryption|auth|account|service|master|shared)[ _-]?key|credential|authorization"
 )
 # Prefixes that issuers give their keys.
@@ -62,6 +62,18 @@ BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KNOWN = re.compile(rf"(?<![\w/+-])(?:{ISSUED})")
 QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
+#: What stands between a telling name's separator and the list or mapping that it holds.
+OPENING = re.compile(
+    r"[ \t]*(?:[^\n=\"'`({]{1,60}=(?![=>])\s*)?(?:(?:new\s+)?(?:frozenset|set|list|tuple|dict|Set|Map|Array(?:\.of|\.from)?|List\.of|Set\.of|Object\.freeze|Arrays\.asList|vec!|\[\d*\]\w+|map\[\w+\]\w+|\w+\[\])\s*(?:\(\s*)?)?(?=[\[({])"
+)
+#: Parts of a list or mapping: quoted values, separators and brackets, bare values.
+PART = re.compile(rf"(?P<quoted>{QUOTED.pattern})|(?P<open>[\[({{])|(?P<close>[\])}}])|(?P<note>(?<![^\s,])(?:#|//)[^\n]*)|(?P<next>[,;])|(?P<bare>[^\s\"'`,;(){{}}\[\]]+)")
+ENDED = re.compile(r"\s*(?:[,\])}]|#|//|\Z)")
+#: A version number, as lock files list them.
+VERSION = re.compile(r"[v^~<>= ]*\d+(?:\.\d+)+(?:[-+.]\w+)*")
+IS_KEY = re.compile(r"\s*(?:=>|[:=](?![:=]))")
+#: A line of a block list or mapping of YAML.
+BLOCK = re.compile(r"(?P<indent>[ \t]*)(?P<dash>(?:-[ \t]+)*)(?:(?P<key>[\w.$/-]+|\"[^\"\n]*\"|'[^'\n]*'):(?:[ \t]+|$))?(?P<value>\"[^\"\n]*\"|'[^'\n]*'|[^\s\"'\[{#&*|>][^\n]*?)?[ \t]*(?:[ \t]#.*)?$")
 BARE = re.compile(r"\s*(?P<v>[^\s\"'`,;#(){}\[\]]+)")
 #: What a text must hold to be looked at; implied by every pattern above.
 TRIGGER = (
@@ -160,14 +172,17 @@ def _keyed(name: str, rest: str, base: int, words: dict[str, float]) -> list[tup
     if bare and (not quoted or bare.start("v") < quoted[0].start()):
         v = bare["v"]
         after = rest[bare.end() : bare.end() + 1]
-        code = after in ("(", "[", "{") or re.match(r"^[A-Za-z_$][\w$]*(?:[.?!]+[A-Za-z_$][\w$]*)*!?$", v) and not re.search(r"\d", v)
-        if v and not code and re.search(r"[A-Za-z]", v) and is_secret(name, v, words):
+        if v and not _is_code(v, after) and re.search(r"[A-Za-z]", v) and is_secret(name, v, words):
             s = base + bare.start("v")
             return [(s, s + len(v))]
         if re.match(r"^[\"'`]", rest.lstrip()) is None and not re.match(r"\s*(?:process\.env|os\.|env|\w+\(|\w+\.\w+|\(|await|new|f?[\"']|\{)", rest):
             return []
-    for q in quoted[:3]:
+    for n, q in enumerate(quoted):
         g = next(i for i in (1, 2, 3) if q[i] is not None)
+        between = rest[quoted[n - 1].end() : q.start()] if n else ""
+        # Behind a value, only further values of the same list; behind others, no value of another name.
+        if (out and not re.fullmatch(r"\s*(?:,|or|\|\||\?\?|:)\s*", between)) or (n > 2 and re.search(r"[\w\])\"'`]\s*[:=]\s*$|;", between)):
+            break
         # A further name and its own value: not this name's.
         if q is not quoted[0] and re.search(r"[,;]\s*$", rest[: q.start()]) and re.match(r"\s*[:=]", rest[q.end() :]):
             break
@@ -182,7 +197,94 @@ def _keyed(name: str, rest: str, base: int, words: dict[str, float]) -> list[tup
         if is_secret(name, v, words):
             s = base + q.start(g)
             out.append((s, s + len(v)))
-            break
+    return out
+
+
+def _is_code(v: str, after: str) -> bool:
+    """Whether a bare value is a name, a member or a call, no literal."""
+    return after in ("(", "[", "{") or bool(re.match(r"^[A-Za-z_$][\w$]*(?:[.?!]+[A-Za-z_$][\w$]*)*!?$", v) and not re.search(r"\d", v))
+
+
+def _held(text: str, at: int) -> Iterator[tuple[str, int, int, bool]]:
+    """Elements (own name, start, end, quoted) of the list or mapping that opens at a bracket.
+
+    The names of a mapping are no elements; a list without its end runs to the end of the text.
+    """
+    names: list[str] = []
+    indexes: list[int] = []  # depths of x[...], whose contents are no elements
+    for m in PART.finditer(text, at):
+        if m["open"]:
+            if names and m["open"] == "[" and re.match(r"[\w\])]", text[m.start() - 1]):
+                indexes.append(len(names))
+            names.append("")
+        elif m["close"]:
+            names.pop()
+            if not names:
+                return
+            if indexes and indexes[-1] == len(names):
+                indexes.pop()
+        elif indexes:
+            continue
+        elif m["next"]:
+            names[-1] = ""
+        elif m["quoted"] is not None:
+            g = next(i for i in (2, 3, 4) if m[i] is not None)
+            if IS_KEY.match(text, m.end()):
+                names[-1] = m[g]
+            else:
+                yield next((n for n in reversed(names) if n), ""), m.start(g), m.end(g), True
+        elif m["bare"]:
+            v = m["bare"]
+            key = re.match(r"([A-Za-z_$][\w.$-]*)(?::|=>|=(?=$|[^=]))", v)
+            if key or (re.fullmatch(r"[A-Za-z_$][\w.$-]*", v) and IS_KEY.match(text, m.end())):
+                names[-1] = key[1] if key else v
+                skip = key.end() if key else len(v)
+            else:
+                skip = re.match(r"(?:=>|[:=])?", v).end()
+            alone = (key or text[max(at, m.start() - 200) : m.start()].rstrip()[-1:] in tuple("[({,:=>")) and ENDED.match(text, m.end())
+            if len(v) > skip and alone and not _is_code(v[skip:], ""):
+                yield next((n for n in reversed(names) if n), ""), m.start() + skip, m.end(), False
+
+
+def _block(text: str, name_at: int, at: int) -> Iterator[tuple[str, int, int, bool]]:
+    """Elements of the YAML list or mapping on the deeper lines that follow."""
+    first = text.rfind("\n", 0, name_at) + 1
+    outer = len(re.match(r"[ \t]*(?:-[ \t]+)*", text[first:name_at])[0])
+    while at < len(text):
+        stop = text.find("\n", at + 1)
+        stop = len(text) if stop < 0 else stop
+        line = text[at + 1 : stop].rstrip("\r")
+        if line.strip() and not line.lstrip().startswith("#"):
+            m = BLOCK.match(line)
+            depth = len(line) - len(line.lstrip())
+            if depth < outer or (depth == outer and not line.lstrip().startswith("- ")) or not m:
+                return
+            if m["value"] and (m["dash"] or m["key"]):
+                quoted = m["value"][0] in "\"'"
+                a, b = m.start("value") + quoted, m.end("value") - quoted
+                if quoted or not _is_code(m["value"], ""):
+                    yield (m["key"] or "").strip("\"'"), at + 1 + a, at + 1 + b, quoted
+        at = stop
+
+
+def _collected(name: str, text: str, name_at: int, hit: re.Match, words: dict[str, float]) -> list[tuple[int, int]]:
+    """Spans of the secret values in the list or mapping after a telling name, over all its lines."""
+    at = hit.start("rest")
+    separator = text[hit.start() : at]
+    if re.match(r"[ \t]*(?:#[^\n]*)?\r?\n", text[at : at + 200]) and separator.rstrip().endswith(":"):
+        found = _block(text, name_at, text.index("\n", at))
+    elif opening := OPENING.match(text, at):
+        # The body of a function of a parameter with a telling name is no mapping.
+        if "=>" in separator and not re.search(r"[\"'`]", separator):
+            return []
+        found = _held(text, opening.end())
+    else:
+        return []
+    out = []
+    for own, a, b, quoted in found:
+        v = text[a:b]
+        if (quoted or re.search(r"[A-Za-z]", v)) and not HEADER.match(v) and not VERSION.fullmatch(v) and is_secret(f"{name}.{own}" if own else name, v, words):
+            out.append((a, b))
     return out
 
 
@@ -235,6 +337,7 @@ def find(text: str, words: dict[str, float]) -> list[tuple[int, int, str]]:
             name += re.match(r"[\w.-]*", text[m.end() : m.end() + 60])[0]
             if "BEGIN" not in hit["rest"][:40]:
                 spans += [(a, b, "assigned") for a, b in _keyed(name, hit["rest"], hit.start("rest"), words)]
+                spans += [(a, b, "assigned") for a, b in _collected(name, text, m.start(), hit, words)]
         for pattern in (PROSE, PLAIN, PAIR):
             if (hit := pattern.match(text, m.end())) and mentioned(name, hit["value"], pattern is PLAIN):
                 spans.append((hit.start("value"), hit.end("value"), "mentioned"))

@@ -148,6 +148,31 @@ def test_digest_words_within_names_hide_nothing(words, name):
     assert len(secrets.find(f'{name} = "cold-symbol-72x"', words)) == 1
 
 
+V = ["hF8W43kGjOTx2XigE9oX2Y2d", "Uuv3dOPCAEqYP1oH8lb97P0b", "cj85Order_RLq7", "zK4mQ9tVw2LxB7nR", "cold-symbol-72"]
+LISTS = [
+    'secret_keys = ["{0}", "{1}", "{2}", "{3}", "{4}"]', 'passwords = [\n    "{0}",\n    "{1}",  # the second one\n    "{2}",\n    "{3}",\n    "{4}",\n]\nhost = "db7x.q9.example"', "const API_TOKENS: string[] = ['{0}', '{1}',\n  '{2}',\n  '{3}', '{4}'];",
+    'passwords: dict[str, str] = {{"prod": "{0}", "dev": "{1}", "test": ["{2}", "{3}"], "old": "{4}"}}', "tokens:\n  - {0}\n  - {1}\n  - '{2}'\n  - {3}\n  - {4}\nname: q7x2-zk9", "db:\n  passwords:\n    prod: {0}\n    dev: {1}\n    test: \"{2}\"\n    qa: {3}\n    old: {4}\n  name: q7x2-zk9",
+    "passwords: [{0}, {1}, {2}, {3}, {4}]", 'pwds = frozenset({{"{0}", "{1}", "{2}", "{3}", "{4}"}})', 'api_tokens = "{0}", "{1}", "{2}", "{3}", "{4}"', 'passphrases = dict(a="{0}", b="{1}", c="{2}", d="{3}", e="{4}")',
+]
+
+
+@pytest.mark.parametrize("text", LISTS)
+def test_every_value_of_a_list_or_mapping(words, text):
+    text = text.format(*V)
+    assert [text[a:b] for a, b, _ in secrets.find(text, words)] == V
+    assert not any(v in secrets.redact_text(text, secrets.find(text, words)) for v in V)
+
+
+@pytest.mark.parametrize("text", ['tokens = ["alpha", "beta", "gamma"]', 'passwords = ["CHANGE_ME", os.environ["KEY_72x9"], getpass()]', "max_tokens: 4096", 'tokens = {"sha256": "3f38d174304e5416b1f23d4a9e847b9f64af2d1a"}', '"one-token": {"version": "2.20.11"}', "tokens = {row.name: row for row in watcher0x7q}", "tokens:\n  - alpha\nid: zK4mQ9tVw2LxB7nR"])
+def test_lists_without_secrets(words, text):
+    assert secrets.find(text, words) == []
+
+
+@pytest.mark.parametrize("text", LISTS)
+def test_trigger_is_implied_by_lists(spark, text):
+    assert spark.createDataFrame([(text.format(*V),)], "t string").filter(F.col("t").rlike(secrets.TRIGGER)).count() == 1
+
+
 @pytest.mark.parametrize("name", ["token_hash", "tokenHash", "passwordhash", "SECRET_SHA256", "secretSha", "commit_token_digest", "API_KEY_MD5"])
 @pytest.mark.parametrize("value", ["3f38d174304e5416b1f23d4a9e847b9f64af2d1a", "n4bQgYhMfWWaL+qgxVrQFaO/TxsrC4Is0V1sFbDwCQg=", "$2b$12$C6UzMDM.H6dfI/f/IKcEeO"])
 def test_digests_by_name_and_format_are_no_secrets(words, name, value):
