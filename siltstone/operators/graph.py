@@ -232,17 +232,26 @@ def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.85) -> Dat
     return rank
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """Communities by label propagation on the undirected graph; ties go to the smaller label."""
+def communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """Communities by label propagation on the undirected graph; ties go to the smaller label.
+
+    A node's own label is a vote too, and in each round only one of two halves of the nodes
+    (by hash, dealt anew each round) may change, so neighbours do not swap labels for ever.
+    Runs until no node would change; ``rounds`` is a bound, and reaching it is an error.
+    """
     simple = edges.select("src", "dst").filter("src is not null and dst is not null and src <> dst").distinct()
     both = cut_lineage(simple.union(simple.select(F.col("dst"), F.col("src"))).toDF("a", "b").distinct())
-    label = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    label = cut_lineage(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    ballots = cut_lineage(both.unionByName(both.select("a", F.col("a").alias("b")).distinct()))
     for i in range(rounds):
-        votes = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
-        label = votes.groupBy(F.col("a").alias("node")).agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("label"))
-        if i % 3 == 2:
-            label = cut_lineage(label)
-    return label
+        votes = ballots.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
+        best = votes.groupBy(F.col("a").alias("node")).agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("best"))
+        wanted = cut_lineage(label.join(best, "node"))
+        if wanted.filter("best <> label").isEmpty():
+            return label
+        turn = F.pmod(F.xxhash64("node", F.lit(i // 2)) + F.lit(i), F.lit(2)) == 0
+        label = wanted.select("node", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"))
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def betweenness(edges: DataFrame, sources: DataFrame, depth: int = 12) -> DataFrame:

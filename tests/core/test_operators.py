@@ -256,6 +256,17 @@ def test_pagerank_and_betweenness(spark):
 # ------------------------------------------------------------------ maintenance and evaluation
 
 
+def test_communities_settle(spark):
+    stars = [(hub, hub + i) for hub in (100, 200) for i in range(1, 6)] + [(302, 301), (301, 302), (303, 301), (None, 301), (302, None), (304, 304)]
+    edges = spark.createDataFrame(stars, "src long, dst long")
+    got = {r["node"]: r["label"] for r in graph.communities(edges).collect()}
+    assert all(got[hub + i] == got[hub] for hub in (100, 200) for i in range(1, 6)) and got[100] != got[200]
+    assert got[301] == got[302] == got[303] and 304 not in got
+    assert graph.communities(edges.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        graph.communities(edges, rounds=1)
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
