@@ -68,13 +68,36 @@ def sections(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     return out.select("id", "section", (F.col("_a") + 1).cast("int").alias("start_line"), (F.col("_a") + F.size("_l")).cast("int").alias("end_line"), "h1", "h2", "h3", "text")
 
 
+# Comments of SQL, and the kinds of its statements by their patterns; the first that matches.
+SQL_NOTE = r"(?m)^\s*--[^\n]*$|/\*[\s\S]*?\*/"
+SQL_KINDS = (
+    ("model", r"(?i)^\s*MODEL\s*\("), ("macro", r"(?i)\{%-?\s*macro\s"), ("template", r"(?i)\{\{\s*(config|ref|source)\s*\("),
+    *((kind, rf"(?i)^\s*CREATE\s+(OR\s+REPLACE\s+)?(TEMP(ORARY)?\s+|MATERIALIZED\s+|UNIQUE\s+)*{kind}\b") for kind in ("table", "view", "function", "procedure", "index", "trigger", "schema")),
+    ("cte", r"(?i)^\s*WITH\b"), ("query", r"(?i)^\s*SELECT\b"),
+)
+
+
 def statement_kind(statement: Column) -> Column:
     """Kind of a SQL statement: the first that matches."""
-    s = F.regexp_replace(statement, r"(?m)^\s*--[^\n]*$|/\*[\s\S]*?\*/", "")
-    out = F.when(s.rlike(r"(?i)^\s*MODEL\s*\("), "model").when(s.rlike(r"(?i)\{%-?\s*macro\s"), "macro").when(s.rlike(r"(?i)\{\{\s*(config|ref|source)\s*\("), "template")
-    for kind in ("table", "view", "function", "procedure", "index", "trigger", "schema"):
-        out = out.when(s.rlike(rf"(?i)^\s*CREATE\s+(OR\s+REPLACE\s+)?(TEMP(ORARY)?\s+|MATERIALIZED\s+|UNIQUE\s+)*{kind}\b"), kind)
-    return out.when(s.rlike(r"(?i)^\s*WITH\b"), "cte").when(s.rlike(r"(?i)^\s*SELECT\b"), "query").otherwise("statement")
+    s = F.regexp_replace(statement, SQL_NOTE, "")
+    return F.coalesce(*(F.when(s.rlike(pattern), kind) for kind, pattern in SQL_KINDS), F.lit("statement"))
+
+
+def sql_parts(text: str, budget: int = 350) -> list[tuple]:
+    """Statements of a SQL script by kind; one above 1.5 budgets is cut into lines, its kind with ``_part``."""
+    out = []
+    for first, last, body in statements(text):
+        bare = re.sub(SQL_NOTE, "", body)
+        kind = next((kind for kind, pattern in SQL_KINDS if re.search(pattern, bare)), "statement")
+        if len(body.split()) <= 1.5 * budget:
+            out.append((body, first, last, kind, None, None))
+            continue
+        lines = body.split("\n")
+        for a, b in pack_lines(lines, budget):
+            piece = "\n".join(lines[a:b])
+            if piece.strip():
+                out.append((piece, first + a, first + b - 1, f"{kind}_part", None, None))
+    return out
 
 
 def statements(text: str) -> list[tuple[int, int, str]]:
@@ -261,7 +284,7 @@ CHUNKERS = {
     "python": python_symbols,
     "javascript": script_symbols,
     "typescript": script_symbols,
-    "sql": lambda text: [(body, a, b, "statement", None, None) for a, b, body in statements(text)],
+    "sql": sql_parts,
     "svelte": markup_parts,
 }
 
@@ -284,7 +307,11 @@ def chunk(files: DataFrame, budget: int = 350) -> DataFrame:
             out = []
             for row in frame.itertuples(index=False):
                 try:
-                    found = CHUNKERS[row.language](row.text) if row.language in CHUNKERS else []
+                    chunker = CHUNKERS.get(row.language)
+                    if chunker in (sql_parts, markup_parts):
+                        found = chunker(row.text, budget)
+                    else:
+                        found = chunker(row.text) if chunker else []
                 except (SyntaxError, ValueError, RecursionError):
                     found = []
                 for n, (body, a, b, kind, name, path) in enumerate(found or _plain(row.text, budget)):

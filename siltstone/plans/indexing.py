@@ -130,11 +130,19 @@ def md_sections(spark, d):
 
 @query(f"""WITH {T.FILES} SELECT file_id, CASE WHEN regexp_matches(text, '(?i)^\\s*CREATE\\s+TABLE\\b') THEN 'table' WHEN regexp_matches(text, '(?i)^\\s*CREATE\\s+VIEW\\b') THEN 'view' WHEN regexp_matches(text, '(?i)^\\s*SELECT\\b') THEN 'query' WHEN regexp_matches(text, '(?i)^\\s*WITH\\b') THEN 'cte' ELSE 'statement' END AS kind FROM f WHERE path LIKE '%.sql' AND text IS NOT NULL AND NOT regexp_matches(text, '--|/\\*|\\{{')""")
 def sql_kinds(spark, d):
-    """Kinds of SQL statements."""
+    """Kinds of plain SQL files of one statement, as the twin has them; ``sql_statements`` has all."""
     f = T.files(spark, d).filter(F.col("path").endswith(".sql") & F.col("text").isNotNull() & ~F.col("text").rlike(r"--|/\*|\{"))
     return f.select("file_id", chunking.statement_kind(F.col("text")).alias("kind"))
 
 
+@query()
+def sql_statements(spark, d):
+    """Statements of all SQL files by kind, large ones in parts."""
+    f = T.files(spark, d).filter(F.lower("path").endswith(".sql")).withColumn("language", F.lit("sql"))
+    c = chunking.chunk(f).filter("symbol_kind is not null")
+    return c.select("file_id", "ordinal", "start_line", "end_line", F.col("symbol_kind").alias("kind"))
+
+
 @query(f"""WITH {T.FILES} SELECT file_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '\\b(?:from|join)\\s+([a-z_][a-z0-9_.]*)', 1))), ',') AS refs FROM f WHERE text IS NOT NULL AND regexp_matches(path, '\\.(sql|py)$')""")
 def sql_lineage(spark, d):
     """Names after FROM and JOIN."""

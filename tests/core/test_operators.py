@@ -209,6 +209,21 @@ def test_statement_kinds(spark, sql, want):
     assert one(spark, chunking.statement_kind(F.lit(sql))) == want
 
 
+def test_sql_statements(spark, tmp_path):
+    from siltstone.plans import indexing
+
+    large = "select\n" + ",\n".join(f"  a{i} as b{i}" for i in range(300)) + "\nfrom t;"
+    text = "-- a note\ncreate table x (a int);\n/* of */ create or replace view v as select 1;\n" + large + "\n{% macro m(a) %}\nselect 1;\n{% endmacro %}\nselect * from {{ ref('x') }};\nwith a as (select 1) select * from a"
+    files = [(1, "r", "a.sql", "sql", text, False), (2, "r", "b.SQL", None, "select 1; -- {", False), (3, "r", "c.sql", "sql", None, False), (4, "r", "d.py", "python", "select = 1", False)]
+    spark.createDataFrame(files, "file_id long, repo string, path string, language string, text string, is_binary boolean").write.parquet(str(tmp_path / "files.parquet"))
+    got = [tuple(r) for r in indexing.sql_statements(spark, str(tmp_path)).orderBy("file_id", "ordinal").collect()]
+    kinds = [k for f, _, _, _, k in got if f == 1]
+    assert kinds[:2] == ["table", "view"] and kinds[-3:] == ["macro", "template", "cte"] and [k for f, *_, k in got if f == 2] == ["query"]
+    parts = [(a, b) for f, _, a, b, k in got if k == "query_part"]
+    assert len(parts) > 1 and all(b + 1 == c for (_, b), (c, _) in zip(parts, parts[1:], strict=False)) and {f for f, *_ in got} == {1, 2}
+    assert {r["symbol_kind"] for r in indexing.chunk_files(spark, str(tmp_path)).collect()} >= {"table", "view", "macro", "template", "cte", "query_part"}
+
+
 def test_chunkers(spark):
     files = [
         (1, "a.py", "python", "class A:\n    def m(self):\n        pass\n\ndef f():\n    pass\n"),
