@@ -152,22 +152,36 @@ def sql_lineage(spark, d):
 
 @query(f"WITH {T.CHUNKS}, s AS (SELECT chunk_id, string_split(text, chr(10)) AS l FROM c) SELECT chunk_id, array_to_string(l[1:2], chr(10)) AS before, substr(array_to_string(l[3:4], chr(10)), 1, 1600) AS match, array_to_string(l[5:6], chr(10)) AS after FROM s WHERE length(array_to_string(l[1:6], chr(10))) <= 1600 AND len(l) >= 4")
 def snippets(spark, d):
-    """Lines around a match within a budget."""
+    """Lines around a match, of the chunks within the budget, as the twin has them; ``snippet_windows`` has all."""
     c = T.chunks(spark, d, "text").filter(F.size(F.split("text", "\n")) >= 4)
     c = c.filter(F.length(F.concat_ws("\n", F.slice(F.split("text", "\n"), 1, 6))) <= 1600)
     return c.select("chunk_id", X.snippet(F.col("text"), F.lit(3), F.lit(4)).alias("s")).select("chunk_id", "s.before", "s.match", "s.after")
 
 
+@query()
+def snippet_windows(spark, d):
+    """Lines around a match in every chunk, cut to the budget."""
+    c = T.chunks(spark, d, "text").filter("text is not null")
+    return c.select("chunk_id", X.snippet(F.col("text"), F.lit(3), F.lit(4)).alias("s")).select("chunk_id", "s.before", "s.match", "s.after")
+
+
 @query("""WITH f AS (SELECT DISTINCT file_id, regexp_extract(lower(path), '[^/]\\.([^./]+)$', 1) AS e FROM files WHERE NOT regexp_matches(lower(path), '(^|/)(readme|makefile|dockerfile|license)[^/]*$'))
     SELECT file_id, CASE WHEN e IN ('py','pyi','pyw') THEN 'text/x-python' WHEN e IN ('js','mjs','cjs','jsx') THEN 'text/javascript' WHEN e IN ('ts','mts','cts','tsx') THEN 'text/typescript' WHEN e IN ('md','mdx','markdown') THEN 'text/markdown' WHEN e = 'json' THEN 'application/json' WHEN e IN ('yaml','yml') THEN 'application/yaml'
       WHEN e = 'html' THEN 'text/html' WHEN e = 'css' THEN 'text/css' WHEN e = 'toml' THEN 'application/toml' WHEN e IN ('sh','bash','zsh') THEN 'application/x-sh' WHEN e = 'sql' THEN 'application/sql' ELSE 'text/plain' END AS media, CASE WHEN e IN ('sh','bash','zsh') THEN 'bash' WHEN e = 'py' THEN 'python' END AS fence FROM f""")
 def media_types(spark, d):
-    """Media types and fence names by path."""
+    """Media types and fence names by path, as the twin has them; ``path_types`` has all."""
     f = T.file_keys(spark, d).filter(~F.lower("path").rlike(r"(^|/)(readme|makefile|dockerfile|license)[^/]*$"))
     fence = X.fence_language(F.col("path"))
     return f.select("file_id", X.media_type(F.col("path")).alias("media"), F.when(F.col("path").rlike(r"(?i)\.(py|sh|bash|zsh)$"), fence).alias("fence")).distinct()
 
 
+@query()
+def path_types(spark, d):
+    """Media types and fence names of every path."""
+    f = T.file_keys(spark, d)
+    return f.select("file_id", X.media_type(F.col("path")).alias("media"), X.fence_language(F.col("path")).alias("fence")).distinct()
+
+
 @query()
 def data_flow(spark, d):
     """Definitions and the uses after them, within Python functions."""

@@ -324,6 +324,34 @@ def test_metrics(spark):
     assert evaluate.compare(evaluate.metrics(results, expected), evaluate.metrics(results.limit(0), expected), gate=0.5).collect()[0]["change"] == "regressed"
 
 
+def test_snippets_of_every_chunk(spark, tmp_path):
+    from siltstone.plans import indexing
+
+    texts = ["one", "a\nb", "a\nb\nc", "a\nb\nc\nd\ne\nf\ng", "", None] + ["\n".join(str(i) * n for i, n in enumerate(sizes)) for sizes in ((900, 900, 3, 3, 900, 900), (5, 5, 1000, 1000, 5, 5), (2000, 1, 700, 701, 1, 2000), (10, 10, 1590, 5, 9, 9), (10, 10, 799, 799, 9, 9))]
+    spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+
+    def brute(text):
+        lines = text.split("\n")
+        head, body, tail = ("\n".join(x) for x in (lines[:2], lines[2:4], lines[4:6]))
+        if len(head) + len(body) + len(tail) <= 1600:
+            return head, body, tail
+        half = max(0, 1600 - len(body)) // 2
+        return head[len(head) - half :] if 0 < half < len(head) else head if half else "", body[:1600], tail[:half]
+
+    got = {r["chunk_id"]: (r["before"], r["match"], r["after"]) for r in indexing.snippet_windows(spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts) if t is not None}
+
+
+def test_types_of_every_path(spark, tmp_path):
+    from siltstone.plans import indexing
+
+    want = {"README": ("text/markdown", "markdown"), "docs/readme.md": ("text/markdown", "markdown"), "Makefile": ("text/plain", "make"), "Dockerfile": ("text/plain", "docker"), "LICENSE": ("text/plain", ""), "a.py": ("text/x-python", "python"), "a.pyi": ("text/x-python", "python"), "b.tsx": ("text/typescript", "typescript"), "c.sh": ("application/x-sh", "bash"), "d.sql": ("application/sql", "sql"), "e.json": ("application/json", "json"), "f.bin": ("text/plain", "")}
+    files = [(i, "r", p, None, False) for i, p in enumerate(want)]
+    spark.createDataFrame(files, "file_id long, repo string, path string, language string, is_binary boolean").write.parquet(str(tmp_path / "files.parquet"))
+    got = {files[r["file_id"]][2]: (r["media"], r["fence"]) for r in indexing.path_types(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_snippet_budget(spark):
     text = "\n".join("abcdefghij" for _ in range(9))
     s = one(spark, X.snippet(F.lit(text), F.lit(4), F.lit(5), 3, 3, 10))
