@@ -29,10 +29,15 @@ def python_graph(text: str) -> tuple[list[tuple], list[tuple]]:
 
     Lines count from 1. A call belongs to the innermost function around it.
     """
+    edges = python_edges(text)
+    return [(name, path, kind, a, b) for _, a, b, kind, name, path in python_symbols(text)], edges
+
+
+def python_edges(text: str) -> list[tuple]:
+    """The edges alone, without the symbols."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         tree = ast.parse(text)
-    nodes = [(name, path, kind, a, b) for _, a, b, kind, name, path in python_symbols(text)]
     edges: list[tuple] = []
 
     def visit(node, owner):
@@ -54,7 +59,7 @@ def python_graph(text: str) -> tuple[list[tuple], list[tuple]]:
             visit(child, here)
 
     visit(tree, "")
-    return nodes, edges
+    return edges
 
 
 _HERITAGE = re.compile(r"\b(?:class|interface)\s+([\w$]+)[^{]*?\b(extends|implements)\s+([\w$.]+)")
@@ -144,7 +149,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 out = []
                 for row in frame.itertuples(index=False):
                     try:
-                        found = EXTRACTORS[row.language](row.text)[which]
+                        found = python_edges(row.text) if which and row.language == "python" else EXTRACTORS[row.language](row.text)[which]
                     except (SyntaxError, ValueError, RecursionError):
                         continue
                     out += [(row.file_id, *x) for x in found]
@@ -184,11 +189,20 @@ def import_candidates(module: Column, importer: Column) -> Column:
     joined = F.filter(F.split(F.concat_ws("/", folder, module), "/"), lambda p: (p != ".") & (p != ""))
     folded = F.aggregate(joined, F.array().cast("array<string>"), lambda s, p: F.when(p == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.array_append(s, p)))
     base = F.concat_ws("/", folded)
-    script = F.transform(F.array(*(F.lit(x) for x in ("", ".ts", ".tsx", ".js", "/index.ts", "/index.js"))), lambda x: F.concat(base, x))
-    is_script = importer.rlike(r"\.[cm]?[jt]sx?$")
+    script = F.transform(F.array(*(F.lit(x) for x in ("", ".ts", ".tsx", ".js", "/index.ts", "/index.tsx", "/index.js"))), lambda x: F.concat(base, x))
+    is_script = importer.rlike(r"\.([cm]?[jt]sx?|svelte)$")
     return F.when(is_script & module.startswith("."), script).when(~is_script, python)
 
 
+def bases(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows ``file_id, source, edge_type, base_file, base_line``: each class and the first class
+    (by file, then line) of its base's name. Bases that are no class here are left out."""
+    classes = nodes.filter("node_type in ('class', 'interface') and file_id is not null")
+    first = classes.groupBy(F.col("name").alias("base")).agg(F.min(F.struct("file_id", "start_line")).alias("b"))
+    held = edges.filter("edge_type in ('inherits', 'extends', 'implements')").withColumn("base", F.regexp_extract("target", r"([^.]*)$", 1))
+    return held.join(first, "base").select("file_id", "source", "edge_type", F.col("b.file_id").alias("base_file"), F.col("b.start_line").alias("base_line")).distinct()
+
+
 def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose target name is a node: of the same file first, else the newest of all.
 

@@ -214,12 +214,22 @@ def code_graph(spark, d):
 
 @query()
 def import_edges(spark, d):
-    """Imports joined to the files they may mean."""
+    """Imports joined to the file each means, the first of its candidates that exists."""
     f = T.files(spark, d).withColumn("language", X.language_of(F.col("path")))
-    _, edges = graph.extract(f.filter("language in ('javascript', 'typescript')"))
+    _, edges = graph.extract(f)
     i = edges.filter("edge_type = 'imports'").join(f.select("file_id", "repo", "path"), "file_id")
-    c = i.select("file_id", "repo", F.posexplode(graph.import_candidates(F.col("target"), F.col("path"))).alias("p", "path"))
-    return c.join(f.select(F.col("file_id").alias("to_file"), "repo", "path"), ["repo", "path"]).groupBy("file_id").agg(F.count("*").alias("n"))
+    c = i.select("file_id", "repo", "target", "line", F.posexplode(graph.import_candidates(F.col("target"), F.col("path"))).alias("p", "path"))
+    met = c.join(f.select(F.col("file_id").alias("to_file"), "repo", "path"), ["repo", "path"])
+    first = met.groupBy("file_id", "repo", "target", "line").agg(F.min_by("to_file", F.struct("p", "to_file")).alias("to_file"))
+    return first.groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def base_classes(spark, d):
+    """Classes joined to their base classes, the first class of that name anywhere."""
+    f = T.files(spark, d).withColumn("language", X.language_of(F.col("path")))
+    nodes, edges = graph.extract(f)
+    return graph.bases(edges, nodes)
 
 
 #: A graph over the catalog: a file's chunks in their order, and contents shared by files.

@@ -258,6 +258,27 @@ def test_import_candidates(spark):
     assert one(spark, graph.import_candidates(F.lit("react"), F.lit("x.ts"))) is None
 
 
+def test_import_edges_and_base_classes(spark, tmp_path):
+    from siltstone.plans import indexing
+
+    files = [
+        (1, "r", "a/b.py", "import os\nclass Base:\n    pass\n"),
+        (2, "r", "a/b/__init__.py", ""),
+        (3, "r", "main.py", "import a.b\nfrom a.b import Base\nclass Child(Base):\n    pass\nclass Other(Unknown):\n    pass\n"),
+        (4, "r", "s/x.ts", "export class Root {\n}\n"),
+        (5, "r", "s/x/index.ts", "export const q = 1;\n"),
+        (6, "r", "s/use.ts", "import { Root } from './x';\nimport r from 'react';\nclass Leaf extends Root {\n}\n"),
+        (7, "other", "main.py", "import a.b\n"),
+        (8, "r", "s/c.svelte", "<script>\nimport q from './x';\n</script>\n"),
+        (9, "r", "t.pyi", "import a.b\n"),
+    ]
+    df = spark.createDataFrame([(i, r, p, None, t, False) for i, r, p, t in files], "file_id long, repo string, path string, language string, text string, is_binary boolean")
+    df.write.parquet(str(tmp_path / "files.parquet"))
+    assert {r["file_id"]: r["n"] for r in indexing.import_edges(spark, str(tmp_path)).collect()} == {3: 2, 6: 1, 8: 1, 9: 1}
+    got = {(r["file_id"], r["source"], r["base_file"], r["base_line"]) for r in indexing.base_classes(spark, str(tmp_path)).collect()}
+    assert got == {(3, "Child", 1, 2), (6, "Leaf", 4, 1)}
+
+
 def test_pagerank_and_betweenness(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 2), (3, 1), (4, 3)], "src long, dst long")
     ranks = {r["node"]: r["rank"] for r in graph.pagerank(edges, 30).collect()}
