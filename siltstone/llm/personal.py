@@ -1,460 +1,145 @@
-"""Personal information in free text: finding and replacing it.
+"""Personal information inside free text: finding and replacing it.
 
 A character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled
-spans, reads windows of the text around every place that could hold an item. Windows
-overlap; of two verdicts on a character the one farther from its window's edge counts. The
-spans are then checked and completed exactly: an item must have the form of its kind.
+spans, reads every text wholly through overlapping windows. Windows are decoded apart; of
+two verdicts on a character the one farther from its window's edge counts. What the tagger
+marks is an item; its form only trims the marked stretch and rejects what no item can be.
 
-The labelled spans come from a generator of sentences with invented names, numbers and
-addresses (``examples``), so no text of any corpus is needed for training.
+The labelled spans come from a generator of invented sentences (see ``sentences``).
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import threading
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tagger
 from .common import restored, solid
+from .sentences import ID_LABELS, KINDS, TEL_LABELS, VOCABULARY, examples
 
-KINDS = ("email", "phone", "id_number", "address", "name")
 TAGS = 1 + 2 * len(KINDS)  # outside, and begin and inside of each kind
 
-#: Characters of context on both sides of a trigger, and the longest window.
-CONTEXT, WINDOW = 36, 128
-#: Size of the training set and of the network.
-EXAMPLES, HIDDEN, EPOCHS = 6400, 28, 8
-
-U, L = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
-WORD = rf"[{U}][{L}]+(?:['’-][{U}]?[{L}]+)*"
-CAPS = rf"[{U}]{{2,}}(?:['’-][{U}]+)*"
-
-# Forms of the kinds. A trigger is what every form of some kind holds.
-EMAIL = re.compile(r"[\w.+%-]+\s?(?:@|\(at\)|\[at\]|\{at\}|\s\[at\]\s|\s\(at\)\s|\sAT\s|\sat\s)\s?[\w-]+(?:(?:\.|\s?(?:\[dot\]|\(dot\)|\{dot\})\s?|\sDOT\s|\sdot\s)[\w-]+)+")
-PHONE = re.compile(r"(?<![\w.+/-])(?:\+\d{1,3}|00\d{1,3}|\(\d{2,5}\)|0?\d{2,5})(?:[ ./()-]{0,2}\d{1,9}){0,6}(?:\s?(?:ext\.?|x|Durchwahl|-)\s?\d{1,5})?(?![\w])")
-IDENTITY = re.compile(r"(?<![\w.-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]\d{7,9}[A-Z]?|\d{1,2}\.\d{3}\.\d{3}-?[A-Z]|\d{8}-?[A-Z]|\d{3}[- ]\d{2}[- ]\d{4}|\d{2} \d{3} \d{3} \d{3}|\d{2} ?\d{6} ?[A-Z] ?\d{3}|[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?|\d{9}|\d{11})(?![\w-])")
-STREET = (
-    r"Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Close|Court|Ct\.?|Drive|Dr\.?|Way|Place|Pl\.?|Square|Terrace|Boulevard|Blvd\.?|Crescent|Row|Walk|Hill|Mews|Gardens|Parkway|Circle|Quay|Alley|Path|Green"
-)
-ADDRESS = re.compile(
-    rf"\d{{1,4}}[A-Za-z]?(?: bis| ter)?,? (?:{WORD} ){{1,3}}(?:{STREET})(?![\w])"
-    rf"|\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|boulevard|chemin|place|allée|impasse|quai|route|cours|square) [\w'’ -]{{2,40}}"
-    rf"|(?:Calle|Avda\.?|Avenida|Plaza|Paseo|Camino|Carrera|C/|Ronda|Travesía)(?: de| del| la| los| las)* ?{WORD}(?: {WORD})?,? ?(?:n\.?º ?)?\d{{1,4}}"
-    rf"|(?:{WORD}[ -])?(?:{WORD}|[{U}])?(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|Straße|Strasse|Weg|Platz|Allee|Gasse) \d{{1,4}} ?[a-z]?(?![\w])"
-    rf"|(?:Am|An der|An den|Im|In der|Auf der|Auf dem|Zum|Zur|Unter den|Hinter der|Alte|Alter|Neue|Neuer) {WORD}(?: {WORD})? \d{{1,4}} ?[a-z]?(?![\w])"
-    r"|(?:P\.? ?O\.? ?Box|Postfach|Boîte postale|B\.?P\.?|Apartado(?: de Correos)?|Apdo\.?|Post Office Box) \d[\d ]*"
-)
-NAME = re.compile(
-    rf"(?:{WORD}|{CAPS})(?: (?:[{U}]\.))* (?:(?:van|von|de|da|di|del|der|la|le|den|zu) ){{0,2}}(?:{WORD}|{CAPS})|(?:{WORD}|{CAPS}), (?:{WORD}|{CAPS})(?: [{U}]\.)?|(?:{WORD});(?:{WORD})(?=;)|[{U}]\. {WORD}"
-)
-# Words that open a sentence or a title, or are things; no name holds them.
-NOT_NAMES = frozenset(
-    "The This That These Those There When While Where What Which Who Why How If It We You They He She Our Your Their A An And But Or Not No Do Does Please See Set Run Each Every Some Any All "
-    "Both Only Then Thanks Write Reviewers Deleting Calling Larger Files Tests Version Index Query Hybrid Symbol Order Build Commit Main Branch Listening Added Changed Fixed Removed Security "
-    "Deprecated Author Owner Maintainer Contact Signed Reported Reviewed Co Der Die Das Den Dem Des Ein Eine Ohne Mit Im In Am An Auf Bei Bis Für Von Zu Zum Zur Ist Sind War Wir Ihr Sie Er Es "
-    "Bitte Rückfragen Ansprechpartner Tel Le La Les Un Une Il Elle Nous Vous Si Sans Avec Chaque Merci Contact Écrire Envoyer El Los Las Una Hay Cada Sin Con Gracias Contacto Los Street Road Lane "
-    "Avenue Close Court Calle Box Flat Postfach Questions On Ship From To For As Of By At With".split()
-)
-
-TRIGGER = re.compile(
-    rf"@|\(at\)|\[at\]|\{{at\}}|\sAT\s|\sat\s[\w.-]+\s(?:dot|DOT)\s|\d(?:[ ./()-]{{0,2}}\d){{5,}}|(?<![\w`./])(?:{WORD}|{CAPS})(?:,? |;)(?:[{U}]\.? )*(?:(?:van|von|de|da|di|del|der|la|le|den|zu) ){{0,2}}(?:{WORD}|{CAPS})|[{U}]\. {WORD}"
-    rf"|\d[A-Za-z]?(?: bis| ter)?,? (?:{WORD}|rue|avenue|boulevard|chemin|place|allée|impasse|quai|route|cours|square)|(?:{WORD}|str\.|,) \d|Box \d|Postfach|Apartado|Apdo|postale \d|B\.?P\.? \d"
-)
-_FIRST = re.compile(rf"[{U}]\w+")
-
-
-def _triggers(text: str) -> Iterator[tuple[int, int]]:
-    at = 0
-    while m := TRIGGER.search(text, at):
-        at = m.end()
-        head = m[0]
-        if head[0].isalpha() and head[0].isupper():
-            word = _FIRST.match(head)
-            # A pair opened by an article or a verb is no name; its second word may open one.
-            if word and word[0] in NOT_NAMES and not any(c.isdigit() for c in head):
-                at = m.start() + len(word[0])
-                continue
-        yield m.start(), m.end()
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches that may hold an item, at most ``WINDOW`` long; long ones overlap."""
-    joined: list[list[int]] = []
-    for a, b in _triggers(text):
-        lo, hi = max(0, a - CONTEXT), min(len(text), b + CONTEXT)
-        if joined and lo <= joined[-1][1] - CONTEXT:
-            joined[-1][1] = hi
-        else:
-            joined.append([lo, hi])
-    out = []
-    for lo, hi in joined:
-        while hi - lo > WINDOW:
-            out.append((lo, lo + WINDOW))
-            lo += WINDOW - 2 * CONTEXT
-        out.append((lo, hi))
-    return out
-
-
-def reconcile(length: int, spans: list[tuple[int, int]], tags: list[np.ndarray]) -> np.ndarray:
-    """One tag for each character: the verdict given farthest from a window's edge."""
-    out = np.zeros(length, np.int8)
-    trust = np.full(length, -1, np.int32)
-    for (lo, hi), t in zip(spans, tags, strict=True):
-        n = hi - lo
-        depth = np.minimum(np.arange(n), np.arange(n)[::-1]).astype(np.int32)
-        if lo == 0:
-            depth = np.arange(n)[::-1].astype(np.int32)
-        better = depth > trust[lo:hi]
-        out[lo:hi][better] = t[better]
-        trust[lo:hi][better] = depth[better]
-    return out
+#: Characters of a window and the part of it at either end that neighbours share.
+WINDOW, MARGIN = 512, 24
+#: Size of the training set, of its stretches and of the network; passes over the set.
+EXAMPLES, STRETCH, HIDDEN, EPOCHS = 48000, 240, 24, 7
+#: Characters that are tagged at once.
+BLOCK = 4_000_000
+
+# Forms that trim a marked stretch.
+EMAIL = re.compile(r"[\w.+%-]+\s?(?:[@＠]|\(at\)|\[at\]|\{at\}|\bat\b)\s?[\w-]+(?:(?:\.|\s?(?:\[dot\]|\(dot\)|\{dot\}|\bdot\b)\s?)[\w-]+)+", re.I)
+PHONE = re.compile(r"(?<![\w.+/-])(?:\+\d{1,3}|\(\d{2,5}\)|\d+)(?:[ ./()\u00a0-]{0,3}\d+){0,7}(?:\s?(?:ext\.?|x|Durchwahl)\s?\d{1,5})?(?!\w)", re.I)
+IDENTITY = re.compile(r"(?<!\w)(?=[A-Za-z \u00a0.-]*\d)[A-Z0-9](?:[ .\u00a0-]?[A-Z0-9])+(?!\w)")
+ADDRESS = re.compile(r"\S.*\S", re.S)
+NAME = re.compile(r"[^\W\d_][^\d_@|<>\"`]*[^\W\d_]\.?", re.S)
+# Articles; other words that open a sentence before a noun; small words within names.
+ARTICLES = ("the", "a", "an", "der", "die", "das", "den", "dem", "des", "ein", "eine", "les", "un", "une", "el", "los", "las")
+OPENERS = ("no", "each", "every", "any", "anyone", "kein", "keine", "jede", "jeder", "ohne", "mit", "sans", "avec", "chaque", "sin", "con", "cada")
+PARTICLES = frozenset("van von der den de da di del della do dos du la le los las y e zu zum ter".split())
+FORMS = {"email": EMAIL, "phone": PHONE, "id_number": IDENTITY, "address": ADDRESS, "name": NAME}
 
 
 def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
-def _fits(kind: str, text: str, a: int, b: int) -> bool:
-    """The exact check of a completed span."""
+def _possible(kind: str, text: str, a: int, b: int) -> bool:
+    """Whether a trimmed stretch can be an item of its kind at all."""
     s = text[a:b]
-    before, after = text[max(0, a - 34) : a], text[b : b + 24]
     if kind == "email":
-        if re.search(r"(?:git|hg|svn|ssh)@|^@", s) or re.match(r":[\w~/]", after) and "git" in s:
-            return False
-        if "`" in before[-1:] or before[-1:] in "/":
-            return False
-        domain = re.split(r"@|\(at\)|\[at\]|\{at\}|\sAT\s|\sat\s", s)[-1]
-        return bool(re.search(r"[A-Za-z]{2,}$", domain)) and not re.search(r"\d+\.\d+\.\d+", domain)
+        # Remotes of version control have the shape of an address and a path behind it.
+        return not re.match(r":[\w~/]", text[b : b + 2]) and not re.search(r"://$", text[max(0, a - 3) : a])
     if kind == "phone":
-        if re.fullmatch(r"\d{3}[- ]\d{2}[- ]\d{4}", s) or re.search(r"(?:SSN|[Ss]ocial security number|sociale|[Tt]ax id|fiscal|passport|Steuer-ID|nummer|DNI|NIE|insurance number)\W*(?:[12] )?$", before):
-            return False
-        if not 7 <= _digits(s) <= 17 or re.search(r"(?:Order|Build|Commit|order|ticket|commit|build|Listening on|version|v)\s*$", before):
-            return False
-        if re.fullmatch(r"\d+", s) and not re.search(r"(?:[Tt]el|[Tt]él|[Pp]hone|call|[Mm]obil|[Ff]ax|under|\"tel\": \")\W*$", before):
-            return False
-        return not re.search(r"\d{4}-\d\d-\d\d|(?:\d{1,3}\.){3}\d{1,3}(?!\d)", s) and not re.match(r":\d", after)
+        return 7 <= _digits(s) <= 17 and not re.fullmatch(r"(?:\d{1,3}\.){3}\d{1,3}", s)
     if kind == "id_number":
-        return not re.search(r"(?:Order|Build|Commit|ticket|rows of|commit|[Tt]el\.?|call|under)\s*$", before)
+        return 7 <= sum(c.isalnum() for c in s) <= 16 and _digits(s) >= 5
     if kind == "address":
-        return not re.search(r"only the code name", after)
-    words = re.findall(rf"[{U}{L}'’-]+", s)
-    if any(w in NOT_NAMES for w in words) or len([w for w in words if len(w) > 1]) < 2:
+        return _digits(s) > 0 and (re.search(r"[^\W\d_a-zß-öø-ÿ][^\W\d_]{2,}|[Bb]ox|BP|B\.P\.", s) is not None)
+    words = [w for w in re.findall(r"[^\W\d_][^\W\d_.'’-]*(?:['’-][^\W\d_]+)*", s) if w not in PARTICLES]
+    if sum(len(w) > 1 for w in words) < 2:
         return False
-    if re.search(r"(?:^|[^\w])(?:[Tt]he|[Aa]n?|[Dd]er|[Dd]ie|[Dd]as|[Dd]en|[Ll]e|[Ll]a|[Ll]os|[Ll]as|[Ee]l)\s$", before):
-        return False  # things have articles, persons have none
-    if s.isupper() and (re.search(r"[A-Z]{2,}\W{1,2}(?:\d+\W)?$", before) or re.match(r"\W{1,2}[A-Z]{2,}", after)):
-        return False  # part of a text in capitals
-    return before[-1:] not in ("`", "/", ".", "@") and not re.match(r"[`(@\w]|\.\w", after)
-
-
-FORMS = {"email": EMAIL, "phone": PHONE, "id_number": IDENTITY, "address": ADDRESS, "name": NAME}
-
-
-def _first_fit(kind: str, text: str, a: int, b: int) -> bool:
-    return any(min(m.end(), b) - max(m.start(), a) >= 0.6 * (m.end() - m.start()) and _fits(kind, text, *m.span()) for m in FORMS[kind].finditer(text, max(0, a - 24), min(len(text), b + 40)))
+    # Things have articles, persons have none.
+    if words[0].lower() in ARTICLES + OPENERS or re.search(rf"(?<!\w)(?:{'|'.join(ARTICLES)})\s$", text[max(0, a - 6) : a], re.I):
+        return False
+    # A given and a family name have capitals, unless the text has none at all.
+    return all(w[0].isupper() for w in words) or text == text.lower()
+
+
+def _labelled(text: str, at: int) -> str | None:
+    """The kind that a label right before a number names."""
+    before = text[max(0, at - 40) : at].rstrip(" \u00a0:(,.\"'").lower()
+    return next((kind for kind, labels in (("phone", TEL_LABELS), ("id_number", ID_LABELS)) for l in labels if re.search(rf"(?<!\w){re.escape(l.rstrip(' :.').lower())}$", before)), None)
+
+
+def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The longest form of the kind in a marked stretch, which is first widened to whole words."""
+    wide = r"\w@.+-" if kind == "email" else r"\w+(" if kind == "phone" else r"\w"
+    while a > 0 and re.match(f"[{wide}]", text[a - 1]):
+        a -= 1
+    while b < len(text) and re.match(r"[\w@-]|\.\w" if kind == "email" else r"\w", text[b : b + 2]):
+        b += 1
+    found = max(FORMS[kind].finditer(text, a, b), key=lambda m: m.end() - m.start(), default=None)
+    if found is None:
+        return None
+    if kind == "address":
+        # The street stands on the first line; a number on the line before is none.
+        first = text.find("\n", found.start(), found.end())
+        if first >= 0 and not _possible(kind, text, found.start(), first):
+            found = ADDRESS.search(text, first, found.end())
+    return found.span() if found and _possible(kind, text, *found.span()) else None
 
 
-def spans_of(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
-    """Tagged stretches, completed to the form of their kind and checked."""
+def spans_of(text: str, at: np.ndarray, tags: np.ndarray) -> list[tuple[int, int, str]]:
+    """Items of a text, in order, from the tags of the marked characters ``at``."""
     out: list[tuple[int, int, str]] = []
-    tagged = np.flatnonzero(tags)
-    if not len(tagged):
+    if not len(at):
         return out
     kinds = (tags - 1) // 2
-    cut = np.flatnonzero((np.diff(tagged) > 1) | (kinds[tagged][1:] != kinds[tagged][:-1]) | ((tags[tagged][1:] % 2 == 1) & (tags[tagged][:-1] % 2 == 0))) + 1
-    for part in np.split(tagged, cut):
-        kind = KINDS[kinds[part[0]]]
-        a, b = int(part[0]), int(part[-1]) + 1
+    cut = np.flatnonzero((np.diff(at) > 1) | (kinds[1:] != kinds[:-1]) | ((tags[1:] % 2 == 1) & (tags[:-1] % 2 == 0))) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
+        kind = KINDS[kinds[lo]]
+        a, b = int(at[lo]), int(at[hi - 1]) + 1
         if b - a < 3:
             continue
         if kind in ("phone", "id_number"):
-            # The two look alike; where only the other form fits the digits, it is the kind.
-            other = "id_number" if kind == "phone" else "phone"
-            if not _first_fit(kind, text, a, b) and _first_fit(other, text, a, b):
-                kind = other
-        lo, hi = max(0, a - 24), min(len(text), b + 40)
-        at = lo
-        while m := FORMS[kind].search(text, at, hi):
-            s, e = m.span()
-            if s >= b:
-                break
-            shared = min(e, b) - max(s, a)
-            if shared > 0 and shared >= 0.4 * min(e - s, b - a) and (not out or s >= out[-1][1] or out[-1][2] != kind) and _fits(kind, text, s, e):
-                out.append((s, e, kind))
-                at = e
-            else:
-                # Another match may start inside this one.
-                nxt = re.compile(r"\s").search(text, s)
-                at = max(s + 1, min(nxt.end() if nxt else e, e))
-    out.sort(key=lambda x: (x[0], -x[1]))
-    kept: list[tuple[int, int, str]] = []
-    for x in out:
-        if not kept or x[0] >= kept[-1][1]:
-            kept.append(x)
-    return kept
-
-
-# ---------------------------------------------------------------- training examples
-
-_ON = ["b", "br", "d", "f", "fr", "g", "gr", "h", "j", "k", "l", "m", "n", "p", "qu", "r", "s", "sch", "st", "t", "th", "tr", "v", "w", "x", "y", "z", "sz", "mb", "fj"]
-_IN = ["a", "al", "am", "an", "ar", "e", "el", "em", "en", "es", "i", "il", "in", "is", "o", "ol", "or", "os", "u", "ul", "um", "un", "xa", "ys"]
-_VO = ["a", "e", "i", "o", "u", "ei", "ia", "ou", "y", "au"]
-_EN = ["", "n", "r", "l", "s", "x", "lle", "na", "ck", "th", "rd", "rt", "lind", "moor", "ra", "ko", "ski", "quist", "worth", "court", "son"]
-
-
-class _Writer:
-    """Sentences with labelled items, all invented."""
-
-    def __init__(self, seed: int):
-        self.rng = np.random.default_rng(seed)
-        self.text, self.tags = "", []
-
-    def pick(self, options):
-        return options[int(self.rng.integers(len(options)))]
-
-    def number(self, digits: int) -> str:
-        return "".join(str(int(d)) for d in self.rng.integers(0, 10, digits))
-
-    def word(self, least: int = 1) -> str:
-        start = self.pick(_IN) if self.rng.random() < 0.3 else ""
-        return start + "".join(self.pick(_ON) + self.pick(_VO) for _ in range(int(self.rng.integers(least, 3)))) + self.pick(_EN)
-
-    def cap(self) -> str:
-        w = self.word()
-        return w[0].upper() + w[1:]
-
-    def thing(self) -> str:
-        return self.pick(["token", "layer", "queue", "branch", "planner", "worker", "index", "cache", "record", "bucket", "digest", "window", "vector", "feed", "shard", self.word()])
-
-    def given(self) -> str:
-        return self.cap()
-
-    def family(self) -> str:
-        return self.cap() + (f"-{self.cap()}" if self.rng.random() < 0.12 else "")
-
-    def put(self, text: str, kind: str | None = None) -> None:
-        n = 0 if kind is None else KINDS.index(kind)
-        self.text += text
-        self.tags += [0] * len(text) if kind is None else [1 + 2 * n] + [2 + 2 * n] * (len(text) - 1)
-
-    def name(self) -> str:
-        g, f = self.given(), self.family()
-        return self.pick([f"{g} {f}"] * 5 + [f"{f}, {g}", f"{g} {self.cap()[0]}. {f}", f"{f.upper()}, {g}", f"{g} {self.pick(['von', 'de', 'van der'])} {f}"])
-
-    def email(self) -> str:
-        g, f = self.given().lower(), self.family().lower().replace("-", "")
-        user = self.pick([g, f, f"{g}.{f}", f"{g[0]}{f}", f"{f}_{self.number(2)}", f"{g}+{self.thing()}"])
-        host, end = self.pick(["example", "mail", "corp", self.word(), self.word()]), self.pick(["example", "test", "com", "org", "net", "de", "fr", "es"])
-        at, dot = self.pick([("@", ".")] * 6 + [(" [at] ", " [dot] "), ("(at)", "."), (" AT ", " DOT "), (" (at) ", " (dot) "), (" at ", " dot ")])
-        out = user + at + host + dot + end
-        return out.upper() if at == "@" and self.rng.random() < 0.12 else out
-
-    def phone(self) -> str:
-        n = self.number
-        return self.pick([f"+1 {n(3)}-{n(3)}-{n(4)}", f"+1-{n(3)}-{n(3)}-{n(4)} ext. {n(3)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}.{n(3)}.{n(4)}", f"+44 {n(2)} {n(4)} {n(4)}", f"+33 1 {n(2)} {n(2)} {n(2)} {n(2)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}", f"06.{n(2)}.{n(2)}.{n(2)}.{n(2)}", f"030/{n(7)}", f"0171-{n(8)}", f"0049 30 {n(8)}", f"+49 {n(3)} {n(7)}", f"900 {n(3)} {n(3)}", f"+34 {n(3)} {n(2)} {n(2)} {n(2)}", f"6{n(8)}", f"{n(3)}-{n(3)}-{n(4)}"])
-
-    def identity(self) -> str:
-        n, c = self.number, self.cap
-        letter = lambda: chr(65 + int(self.rng.integers(26)))
-        return self.pick([f"{n(3)}-{n(2)}-{n(4)}", f"{n(3)} {n(2)} {n(4)}", n(9), f"QQ {n(2)} {n(2)} {n(2)} {self.pick('ABCD')}", f"{letter()}{letter()}{n(6)}{self.pick('ABCD')}", f"{letter()}{n(8)}", f"{n(2)}.{n(3)}.{n(3)}-{letter()}", f"{n(8)}{letter()}", f"X{n(7)}{letter()}", f"{n(2)} {n(3)} {n(3)} {n(3)}", f"{n(2)} {n(6)} {letter()} {n(3)}", f"1 {n(2)} {n(2)} {n(2)} {n(3)} {n(3)} {n(2)}", n(11)])
-
-    def address(self) -> str:
-        n = str(int(self.rng.integers(1, 200)))
-        city = self.pick([self.cap(), f"{self.cap()} {self.cap()}", f"{self.cap()}-sur-{self.cap()}"])
-        zip_ = self.pick([self.number(5), f"QZ{self.number(1)} {self.number(1)}XX"])
-        street = self.pick([self.cap(), f"Old {self.cap()}"])
-        flat = self.pick(["", f", Flat {self.number(2)}", ",\nFlat 3"])
-        return self.pick(
-            [f"{n} {street} {self.pick(['Street', 'St.', 'Road', 'Ave', 'Lane', 'Close', 'Court', 'Avenue', 'Drive'])}{flat}, {city} {zip_}"] * 4
-            + [f"P.O. Box {self.number(4)}, {city} {zip_}", f"Postfach {self.number(4)}, {self.number(5)} {city}", f"{n}{self.pick(['', ' bis'])} {self.pick(['rue', 'avenue', 'boulevard'])} {self.pick(['du', 'de la', 'des'])} {self.cap()}, {self.number(5)} {city}"]
-            + [f"{self.pick(['Calle', 'Avda.', 'Plaza'])} {self.pick(['', 'del ', 'de la '])}{self.cap()} {n}, {self.pick(['bajo', '2º B', '1º izq.'])}, {self.number(5)} {city}"]
-            + [f"{self.pick(['Am', 'Im', 'An der'])} {self.cap()} {n}, D-{self.number(5)} {city}", f"{self.cap()}{self.pick(['straße', 'weg', 'gasse', 'allee', 'str.'])} {n}{self.pick(['', '', 'a', 'b'])}, {self.number(5)} {city}"]
-        )
-
-    def sentence(self) -> None:
-        put, pick, t = self.put, self.pick, self.thing
-        case = int(self.rng.integers(0, 62))
-        if case < 4:
-            put(pick(["Thanks to ", "Merci à ", "Gracias a ", "Dank an ", "Signed-off-by: ", "Reviewed-by: ", "Reported-by: ", "Author: ", "Owner: ", "Maintainer: ", "Co-authored-by: ", "@author ", "ask for ", "Assigned to "]))
-            put(self.name(), "name")
-            put(pick([f" for tracking down the {t()}.", f" pour la relecture du {t()}.", f" por revisar el {t()}.", ".", "\n", ""]))
-        elif case < 8:
-            put(pick(["Signed-off-by: ", "Author: ", "From: "]))
-            put(self.name(), "name")
-            put(" <")
-            put(self.email(), "email")
-            put(">")
-        elif case < 13:
-            put(pick([f"Questions about the {t()} go to ", "Rückfragen bitte an ", "Écrire à ", "Las dudas se envían a ", "see mail to ", "Write to ", "mailto:", "Mail ", f"WARN {t()} rejected login for "]))
-            put(self.email(), "email")
-            put(pick([".", " pour toute question.", f" before you {t()} it.", "", ")", f" ({t()})"]))
-        elif case < 18:
-            put(pick(["On-call: ", f"If the {t()} pages you at night, call ", "can be reached under ", "Tel: ", "phone ", "Fax ", '"tel": "']))
-            put(self.phone(), "phone")
-            put(pick([".", "", f" {t()}", '"}']))
-            if self.rng.random() < 0.4:
-                put(" and ask for ")
-                put(self.name(), "name")
-                put(".")
-        elif case < 22:
-            put(pick(["Ansprechpartner: ", "Contact : ", "Contacto: ", "Contact: "]))
-            put(self.name(), "name")
-            put(pick([", Tel. ", ", tél. ", ", tel. ", ", phone "]))
-            put(self.phone(), "phone")
-        elif case < 28:
-            put(pick(["The fixture row still contained a real SSN, ", "my social security number is ", "> my passport is ", "Im Testdatensatz stand noch die Steuer-ID ", "stand noch die Ausweisnummer ", "tenía el DNI ", "tenía el NIE ", "(national insurance number ", "(tax id ", "(passport ", "(SSN ", "(social security number ", "un vrai numéro de sécurité sociale, ", "stand noch die Sozialversicherungsnummer ", "le numéro fiscal ", "social security number, "]))
-            put(self.identity(), "id_number")
-            put(pick([f", so the dump was withdrawn.", f", please {t()} the account", ".", ")", ""]))
-        elif case < 31:
-            put(f"{self.number(3)};")
-            put(f"{self.family()};{self.given()}", "name")
-            put(";")
-            put(self.identity(), "id_number")
-            put(f";{t()}")
-        elif case < 36:
-            put(pick([f"Ship the spare {t()} disk to ", "Envoyer le disque au ", "El disco se envía a ", "Die Ersatzplatte geht an ", "Send it to ", "Office: ", "\n", "> "]))
-            put(self.address(), "address")
-            put(pick([".", "\n", ""]))
-            if self.rng.random() < 0.3:
-                put(pick(["Billing contact\n", "Rechnungsadresse\n", "Shipping\n", "\n"]))
-                put(f"{pick([self.number(1), self.number(2), '1' + self.number(2)])} {pick(['', 'Old '])}{self.cap()} {pick(['Street', 'St.', 'Road', 'Ave', 'Lane', 'Close', 'Court'])},\n{pick(['', 'Flat 12, '])}{self.cap()} {self.number(5)}", "address")
-                put("\n")
-            elif self.rng.random() < 0.15:
-                put("Billing contact\n")
-                put(f"P.O. Box {self.number(4)},\n{self.cap()} {self.cap()} {self.number(5)}", "address")
-                put("\n")
-        elif case < 40:
-            put("| ")
-            put(self.name(), "name")
-            put(" | ")
-            put(self.email(), "email")
-            put(" | ")
-            put(self.phone(), "phone")
-            put(" | ")
-            put(self.address(), "address")
-            put(" |")
-        elif case < 42:
-            put(pick(["user", "payload", "contact"]) + '={"name": "')
-            put(self.name(), "name")
-            put('", "mail": "')
-            put(self.email(), "email")
-            put('", "tel": "')
-            put(self.phone(), "phone")
-            put('"}')
-        elif case < 46:
-            put(pick(["> ", "// asked ", "", ""]))
-            put(self.name(), "name")
-            put(pick([" wrote:", f" rewrote the {t()} last week and can be reached under ", f" hat den {t()} gestern geprüft.", " about this, see mail to ", f" a revu le {t()} hier.", f" revisó el {t()} ayer."]))
-        elif case < 48:
-            put(f'Write to <a href="mailto:')
-            put(self.email(), "email")
-            put('">')
-            put(self.name(), "name")
-            put(f"</a> before you {t()} it.")
-        else:
-            n = self.number
-            put(
-                pick(
-                    [
-                        f"git clone git@git.{self.word()}.example:{t()}/{t()}.git", f"The hook uses `@{t()}_{t()}` and the package @{self.word()}/{t()}@{n(1)}.{n(2)}.{n(1)}.",
-                        f"Listening on 10.{n(2)}.{n(2)}.{n(2)}:{n(4)} since 20{n(2)}-05-{n(2)} {n(2)}:{n(2)}:{n(2)}.", f"Commit {n(5)}ab{n(3)}f touched {n(3)}-{n(2)} rows of ticket {n(9)}.",
-                        f"Build {n(10)} passed in {n(2)}.{n(2)} s.", f"Order {n(4)}-{n(4)}-{n(2)} of the {t()} took {n(3)} ms on Main Branch {n(1)}.",
-                        f"{self.cap()} Street is only the code name of the {t()} release.", f"The {self.pick(['Hot', 'Lazy', 'Wide', 'Cold', 'Early', self.cap()])} {t().title()} and the {self.cap()} {t().title()} share one lock.",
-                        f"Version {n(1)}.{n(2)}.{n(1)} changed how `{self.cap()}{t().title()}` treats a {t()}.", f"Die Datei `{t()}/{t()}.md` wird seit Version {n(1)}.{n(2)} nicht mehr übersprungen.",
-                        f"Das Ergebnis von `{t()}` ist nach {n(1)}.{n(3)} Sekunden verfügbar. Die Prüfung schlägt fehl.", f"Index size dropped from {n(4)} MB to {n(4)} MB once the {t()} stopped.",
-                        f"THE CALL THAT MATTERS IS `{t().upper()}` AT LINE {n(3)}, WHERE THE {t().upper()} BECOMES A {t().upper()} {t().upper()}.", f"A symbol such as `{self.cap()}{self.cap()}.{t()}` is indexed under its {t()}.",
-                        f"Set `{t()}_{t()}` to {n(1)}.{n(3)} if the {t()} grows past {n(4)} rows. See `{t()}/{t()}.toml`.", f"Der Dienst {self.word()} hält den {t()} so lange, bis `{t()}` fertig ist. Ohne Sperre darf kein {t()} schreiben.",
-                        f"# {self.cap()} {t()}s and the {t()}", f"Anyone Deleting a {t()} also deletes its {t()} rows. Only Then does `{t()}` run.", f"Release {n(1)}.{n(1)} of {self.cap()} Studio ships {self.cap()} Engine {n(1)}.",
-                        f"ticket {n(9)} and order {n(3)}-{n(7)} of 20{n(2)}-{n(2)}-{n(2)}", f"trace {n(8)}-{n(4)}-4{n(3)}-a{n(3)}-{n(12)} took {n(4)} ms", f"Il faut reconstruire l'index dès que la valeur dépasse {n(4)}. Nous avons fixé la fenêtre.",
-                    ]
-                )
-            )
-
-
-def _filler(w: _Writer) -> str:
-    """Sentences without items, as they stand around them."""
-    t, n = w.thing, w.number
-    ident = w.pick([f"`{t()}_{t()}`", f"`{w.cap()}{w.cap()}`", f"`{t()}{t().title()}`", f"`{t()}/{w.word()}_{t()}.py`"])
-    return w.pick(
-        [
-            f"Larger {t()} values help recall, yet {n(3)} is already slow on a laptop.", f"No {t()} should ever {w.word()} a {t()} while the {t()} holds the lock.", f"Set {ident} to {n(1)}.{n(3)} if the {t()} grows past {n(3)} rows.",
-            f"The {t()} {t()} keeps a {w.word()} copy of every {t()} until {t()}_{t()} returns.", f"It took {n(1)}.{n(3)} seconds to {w.word()} the {t()} with {n(3)} workers.", f"Do not confuse the {t()} id with the {t()} id used by {ident}.",
-            f"Query results keep their order because every {t()} carries a {t()} number.", f"See {ident} for the full {t()} layout.", f"Version {n(1)}.{n(2)}.{n(1)} changed how {ident} treats a {w.word()} {t()}.", f"Reviewers asked why {ident} and {ident} share one {t()}.",
-            f"Bitte den Index neu bauen, wenn der Wert über {n(4)} steigt.", f"Der Dienst {w.word()} hält den {t()} so lange, bis {ident} fertig ist.", f"Die Datei {ident} wird seit Version {n(1)}.{n(2)}.{n(1)} nicht mehr übersprungen.", f"Ohne Sperre darf kein {t()} den {t()} überschreiben.",
-            f"Für jede Abfrage gibt es genau einen {t()} und einen {t()}.", f"Ist {ident} leer, werden höchstens {n(4)} Zeilen gelesen.", f"Änderungen an {ident} müssen geprüft und erneut gemessen werden.", f"Das Ergebnis von {ident} ist nach {n(1)}.{n(3)} Sekunden verfügbar.",
-            f"Il faut reconstruire l'index dès que la valeur dépasse {n(4)}.", f"Chaque requête possède un seul {t()} et un seul {t()}.", f"Nous avons fixé la fenêtre à {n(4)} car {w.word()} était trop lent.", f"Le fichier {ident} n'est plus ignoré depuis la version {n(1)}.{n(2)}.", f"Sans verrou, aucun {t()} ne peut écraser le {t()}.",
-            f"Hay que reconstruir el índice cuando el valor supera {n(4)}.", f"Cada consulta tiene un solo {t()} y un solo {t()}.", f"El archivo {ident} ya no se omite desde la versión {n(1)}.{n(2)}.", f"Los cambios en {ident} deben revisarse y medirse otra vez.", f"Sin bloqueo, ningún {t()} puede sobrescribir el {t()}.",
-            f"# {w.cap()} {t()}s and the {t()}\n", f"## The {t()} {t()}\n", "```\n", f"{t()}_{t()} = sorted({t()}_{t()}, key=lambda pair: (pair[1], -{n(3)}))\n", f"| {t()} | {t()} {t()} |\n", f"Run `{w.word()} {t()} --{t()} {n(3)}` to rebuild the {w.word()} {t()}.", "Billing contact\n", f"Deleting a {t()} also deletes its {t()} rows, but not the {t()}.",
-        ]
-    )
-
-
-def examples(count: int, seed: int = 17) -> list[tuple[str, np.ndarray]]:
-    """Labelled windows: items among sentences without any, cut like real windows."""
-    out = []
-    w = _Writer(seed)
-    filler = ["", "", "", "- ", "> ", "1. ", "* ", "Fixed: ", "A: ", "- // "]
-    while len(out) < count:
-        w.text, w.tags = "", []
-        if w.rng.random() < 0.7:
-            w.put(_filler(w) + w.pick([" ", " ", "\n", "\n\n"]))
-        w.put(w.pick(filler))
-        start = len(w.text)
-        for _ in range(int(w.rng.integers(1, 3))):
-            w.sentence()
-            w.put(w.pick([" ", " ", "\n", "\n\n"]))
-        middle = int(w.rng.integers(start, len(w.text) + 1))
-        if w.rng.random() < 0.7:
-            w.put(_filler(w))
-        size = int(w.rng.integers(60, WINDOW + 1))
-        lo = max(0, min(middle - size // 2, len(w.text) - size))
-        tags = np.array(w.tags[lo : lo + size], np.int8)
-        if lo and len(tags) and tags[0] and tags[0] % 2 == 0:
-            tags[0] -= 1  # cut inside an item: what is left of it begins here
-        out.append((w.text[lo : lo + size], tags))
+            kind = _labelled(text, a) or kind
+        item = _trim(kind, text, a, b)
+        if item and (not out or item[0] >= out[-1][1]):
+            out.append((*item, kind))
     return out
 
 
+# ---------------------------------------------------------------- the operator
+
 _MODELS: dict[tuple, tagger.Weights] = {}
 _LOCK = threading.Lock()
 
 
-def model(count: int = EXAMPLES, hidden: int = HIDDEN, epochs: int = EPOCHS) -> tagger.Weights:
-    """The trained tagger; trained once in a process for given settings."""
-    key = (count, hidden, epochs)
-    with _LOCK:
-        if key not in _MODELS:
-            _MODELS[key] = tagger.train(examples(count), TAGS, hidden=hidden, epochs=epochs)
-        return _MODELS[key]
+def model(spark: SparkSession | None = None, count: int = EXAMPLES, hidden: int = HIDDEN, epochs: int = EPOCHS, vocabulary: str = VOCABULARY) -> tagger.Weights:
+    """The trained tagger; trained once in a process for given settings.
 
+    With a session the training runs in a task (about two minutes), else in this process.
+    """
 
-# ---------------------------------------------------------------- the operator
+    def fit() -> tagger.Weights:
+        return tagger.train(examples(count, STRETCH, vocabulary=vocabulary), TAGS, hidden=hidden, epochs=epochs)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield pd.DataFrame({"weights": [pickle.dumps(fit())] * len(frame)})
 
-def tag_texts(weights: tagger.Weights, texts: list[str], memory: dict[str, np.ndarray]) -> list[list[tuple[int, int, str]]]:
-    """Items of each text. ``memory`` keeps verdicts on windows that come again."""
-    places = [windows(t) for t in texts]
-    wanted: dict[str, None] = {}
-    shaped = []
-    for t, spans in zip(texts, places, strict=True):
-        parts = [re.sub(r"\d", "0", t[a:b]) for a, b in spans]
-        shaped.append(parts)
-        for p in parts:
-            if p not in memory:
-                wanted[p] = None
-    fresh = list(wanted)
-    for p, tags in zip(fresh, tagger.decode(weights, fresh), strict=True):
-        memory[p] = tags
-    out = []
-    for t, spans, parts in zip(texts, places, shaped, strict=True):
-        out.append(spans_of(t, reconcile(len(t), spans, [memory[p] for p in parts])) if spans else [])
-    return out
+    key = (count, hidden, epochs, vocabulary)
+    with _LOCK:
+        if key not in _MODELS:
+            _MODELS[key] = fit() if spark is None else pickle.loads(spark.range(0, 1, 1, 1).mapInPandas(run, "weights binary").head()["weights"])
+        return _MODELS[key]
 
 
 FOUND = "doc_id long, kind string, line_no long, start long, end long"
@@ -472,15 +157,20 @@ def _clean(text: str) -> tuple[str, np.ndarray | None]:
     return codes[keep].tobytes().decode("utf-32-le", "surrogatepass"), np.flatnonzero(keep)
 
 
-def _items(weights: tagger.Weights, texts: list[str], memory: dict) -> list[list[tuple[int, int, str]]]:
-    if len(memory) > 200_000:
-        memory.clear()
-    cleaned = [_clean(t) for t in texts]
-    found = tag_texts(weights, [c[0] for c in cleaned], memory)
-    out = []
-    for (_, where), spans in zip(cleaned, found, strict=True):
-        out.append(spans if where is None else [(int(where[a]), int(where[b - 1]) + 1, k) for a, b, k in spans])
-    return out
+def _items(decoder: tagger.Decoder, texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
+    """Items of each text, tagged a block of texts at a time."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BLOCK):
+            size += len(texts[stop])
+            stop += 1
+        cleaned = [_clean(t) for t in texts[at:stop]]
+        tagged = tagger.tag(decoder, [c[0] for c in cleaned], WINDOW, MARGIN)
+        for (text, where), (places, tags) in zip(cleaned, tagged, strict=True):
+            spans = spans_of(text, places, tags)
+            yield spans if where is None else [(int(where[a]), int(where[b - 1]) + 1, k) for a, b, k in spans]
+        at = stop
 
 
 def find_personal(documents: DataFrame, weights: tagger.Weights | None = None) -> DataFrame:
@@ -489,17 +179,15 @@ def find_personal(documents: DataFrame, weights: tagger.Weights | None = None) -
     ``line_no`` counts lines from 1, ``start`` and ``end`` are character offsets. Null and
     empty texts and null ids give no rows; repeated rows count once; other columns are ignored.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(weights or model())
+    shared = documents.sparkSession.sparkContext.broadcast(weights or model(documents.sparkSession))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory: dict[str, np.ndarray] = {}
+        decoder = tagger.Decoder(shared.value)
         for frame in batches:
+            texts = frame["text"].tolist()
             out = []
-            for lo in range(0, len(frame), 1000):
-                part = frame.iloc[lo : lo + 1000]
-                texts = part["text"].tolist()
-                for doc, text, spans in zip(part["doc_id"], texts, _items(shared.value, texts, memory), strict=True):
-                    out += [(doc, kind, text.count("\n", 0, a) + 1, a, b) for a, b, kind in spans]
+            for doc, text, spans in zip(frame["doc_id"], texts, _items(decoder, texts), strict=True):
+                out += [(doc, kind, text.count("\n", 0, a) + 1, a, b) for a, b, kind in spans]
             yield pd.DataFrame(out, columns=["doc_id", "kind", "line_no", "start", "end"])
 
     return documents.select("doc_id", "text").filter("doc_id is not null and text is not null and text <> ''").mapInPandas(run, FOUND).distinct()
@@ -510,25 +198,21 @@ def redact(documents: DataFrame, weights: tagger.Weights | None = None) -> DataF
 
     Null texts stay null, empty ones empty.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(weights or model())
+    shared = documents.sparkSession.sparkContext.broadcast(weights or model(documents.sparkSession))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory: dict[str, np.ndarray] = {}
+        decoder = tagger.Decoder(shared.value)
         for frame in batches:
-            for lo in range(0, len(frame), 1000):
-                part = frame.iloc[lo : lo + 1000].copy()
-                texts = part["text"].tolist()
-                new, counts = [], []
-                spans = iter(_items(shared.value, [t for t in texts if t], memory))
-                for t in texts:
-                    found = next(spans) if t else []
-                    pieces, at = [], 0
-                    for a, b, kind in found:
-                        pieces += [t[at:a], f"[{kind.upper()}]"]
-                        at = b
-                    new.append("".join(pieces) + t[at:] if found else t)
-                    counts.append(len(found))
-                part["text"], part["n_items"] = new, counts
-                yield part[["doc_id", "text", "n_items"]]
+            texts = frame["text"].tolist()
+            new, counts = [], []
+            for text, spans in zip(texts, _items(decoder, [t or "" for t in texts]), strict=True):
+                pieces, at = [], 0
+                for a, b, kind in spans:
+                    pieces += [text[at:a], f"[{kind.upper()}]"]
+                    at = b
+                new.append("".join(pieces) + text[at:] if spans else text)
+                counts.append(len(spans))
+            frame["text"], frame["n_items"] = new, counts
+            yield frame[["doc_id", "text", "n_items"]]
 
     return documents.select(solid("doc_id"), "text").mapInPandas(run, REDACTED).select(restored("doc_id"), "text", "n_items")
