@@ -1,19 +1,18 @@
 """Evaluation texts leaking into a corpus, by latent semantic retrieval.
 
-Documents are cut into overlapping passages of words. Passages that share too few word
-sequences with the evaluation texts to hold a case are set aside at once (a condition every
-case meets, see ``_gate``). The others, with the evaluation texts, form a TF-IDF matrix
-over words and word pairs; its leading right singular vectors come from a distributed
-randomised SVD with power iterations. Passages and evaluation texts are compared by cosine
-in that space. Candidates are then checked word by word: a run of common words, or a longest
-common subsequence over the whole passage, which finds paraphrases with changed words.
+Documents are cut into overlapping passages of words, and all passages into TF-IDF vectors
+with the document frequencies of the whole corpus. The leading right singular vectors of a
+bounded sample of passages, with the evaluation texts, come from a distributed randomised
+SVD with power iterations. Every passage of every document is projected into that space
+and compared by cosine with the evaluation texts; near ones are candidates, and nothing
+else is. Candidates are then checked word by word: a run of common words, a longest common
+subsequence over the whole text, which finds paraphrases with changed words, and whether
+the answer to the item stands in the document.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,200 +20,187 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .words import plain, words
 
-#: Words of a passage and the distance between two starts; words of a sequence.
-PASSAGE, STEP, GRAM = 32, 8, 4
-#: Sequences that a passage must share with the evaluation texts.
-SHARED = 5
+#: Words of a passage; half a passage lies between two starts, so a stretch of half a
+#: passage lies whole in one.
+PASSAGE = 32
 #: Hashed TF-IDF features, rank of the latent space, extra columns and power iterations.
-FEATURES, RANK, EXTRA, POWERS = 4096, 64, 8, 2
+FEATURES, RANK, EXTRA, POWERS = 8192, 64, 8, 2
+#: Passages of the corpus that the space is fitted on, at most.
+SAMPLE = 6000
 #: Least cosine of a candidate.
 COSINE = 0.5
-#: Words in a row, or the part of a passage's words in order, that make a case.
+#: Words in a row, or the part of a text's words in order, that make a case.
 RUN, WHOLE = 15, 0.85
-#: Evaluation items that are looked for at once.
-BLOCK = 5000
+#: Evaluation items that are looked for at once, and words read at once.
+BLOCK, WORDS = 5000, 200_000
 
-HIDDEN = re.compile("[­​-‏⁠﻿]")
-TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
-WORD = re.compile(r"[^\W_]+(?:_+[^\W_]+)*")
 
+def _features(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(FEATURES)).astype(np.int64)
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words; mark-up, quotes, comment signs and line breaks fall away."""
-    if "<" in text:
-        text = TAG.sub(" ", text)
-    if not text.isascii():
-        text = HIDDEN.sub("", text)
-    return WORD.findall(text.lower())
 
-
-@dataclass
 class Item:
-    """One evaluation text: its words, and to which blank-separated word each belongs."""
-
-    scenario: int
-    kind: str
-    words: list[str]
-    belongs: np.ndarray
-    ids: np.ndarray = field(default=None)  # type: ignore[assignment]
-    grams: np.ndarray = field(default=None)  # type: ignore[assignment]
-
-
-class Probe:
-    """The evaluation texts of one block, ready to be looked for."""
-
-    def __init__(self, rows: list[tuple[int, str | None, str | None]]):
-        self.items: list[Item] = []
-        for scenario, query, passage in rows:
-            for kind, text in (("query", query), ("passage", passage)):
-                found, belongs = [], []
-                for n, part in enumerate((text or "").split()):
-                    for w in words_of(part):
-                        found.append(w)
-                        belongs.append(n)
-                if len(found) >= GRAM:
-                    self.items.append(Item(scenario, kind, found, np.array(belongs)))
-        vocabulary = sorted({w for it in self.items for w in it.words})
-        self.number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.size = len(vocabulary) + 1
-        codes = []
-        for it in self.items:
-            it.ids = np.array([self.number[w] for w in it.words], dtype=np.int64)
-            codes.append(self.codes(it.ids))
-        self.table = np.unique(np.concatenate(codes)) if codes else np.zeros(0, dtype=np.int64)
-        for it, c in zip(self.items, codes, strict=True):
-            it.grams = np.searchsorted(self.table, c)
-
-    def codes(self, ids: np.ndarray) -> np.ndarray:
-        """A number for each sequence of ``GRAM`` words; exact up to 55,000 distinct words."""
-        out = np.zeros(max(0, len(ids) - GRAM + 1), dtype=np.int64)
-        for k in range(GRAM):
-            out = out * self.size + ids[k : len(ids) - GRAM + 1 + k]
-        return out
-
-    def ids(self, found: list[str]) -> np.ndarray:
-        number = self.number
-        return np.fromiter((number.get(w, 0) for w in found), dtype=np.int64, count=len(found))
-
-    def places(self, ids: np.ndarray) -> np.ndarray:
-        """For each sequence of a document its place in the table, or -1."""
-        codes = self.codes(ids)
-        if not len(codes) or not len(self.table):
-            return np.full(len(codes), -1)
-        at = np.minimum(np.searchsorted(self.table, codes), len(self.table) - 1)
-        return np.where(self.table[at] == codes, at, -1)
-
-
-def features(ids: np.ndarray) -> np.ndarray:
-    """Hashed features of known words: each word and each pair of neighbours."""
-    ids = ids.astype(np.uint64)
-    single = (ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
-    pair = ((ids[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (ids[1:] * np.uint64(0x165667B19E3779F9))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)
-    known = ids > 0
-    return np.concatenate([single[known], pair[known[:-1] & known[1:]]]).astype(np.int64) % FEATURES
-
-
-def _gate(probe: Probe, ids: np.ndarray) -> np.ndarray:
-    """Starts of the passages that may hold a case.
-
-    A run of 15 words lies whole in one passage and shares 12 sequences of 4; a passage of
-    which one word in ten is changed keeps more than ``SHARED`` of the 29 somewhere.
-    """
-    hit = probe.places(ids) >= 0
-    if hit.sum() < SHARED:
-        return np.zeros(0, dtype=np.int64)
-    total = np.concatenate([[0], np.cumsum(hit)])
-    starts = np.arange(0, max(1, len(ids) - PASSAGE + STEP), STEP)
-    ends = np.minimum(starts + PASSAGE - GRAM + 1, len(hit))
-    return starts[total[ends] - total[np.minimum(starts, len(hit))] >= SHARED]
-
+    """One evaluation text: its words, the blank-separated word of each, its answers."""
 
-GATED = "doc_id long, words string, starts array<int>, df array<long>"
+    def __init__(self, scenario: int, kind: str, text: str, answers: list[np.ndarray]):
+        self.scenario, self.kind, self.answers = scenario, kind, answers
+        self.ids, self.belongs = words(plain(text).split())
+        self.where: dict[int, list[int]] = {}
+        for j, h in enumerate(self.ids.tolist()):
+            self.where.setdefault(h, []).append(j)
 
+    def starts(self) -> list[int]:
+        """Starts of its passages; the last one ends with the text."""
+        n, half = len(self.ids), PASSAGE // 2
+        return sorted({*range(0, max(1, n - PASSAGE), half), max(0, n - PASSAGE)})
 
-def _passages(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        probe: Probe = shared.value
-        df = np.zeros(FEATURES + 1, dtype=np.int64)
-        for frame in batches:
-            out = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                found = words_of(text)
-                df[FEATURES] += 1
-                if len(found) < GRAM:
-                    continue
-                ids = probe.ids(found)
-                df[np.unique(features(ids))] += 1
-                starts = _gate(probe, ids)
-                if len(starts):
-                    out.append((doc, " ".join(found), starts.tolist(), None))
-            yield pd.DataFrame(out, columns=["doc_id", "words", "starts", "df"])
-        yield pd.DataFrame([(None, None, None, df.tolist())], columns=["doc_id", "words", "starts", "df"])
 
-    return run
+def _answers(expected) -> list[np.ndarray]:
+    """Words of each expected file and symbol."""
+    out = []
+    for row in expected or ():
+        out += [words([v])[0] for v in (row["file"], row["symbol"]) if v]
+    return [a for a in out if len(a)]
 
 
-def _rows(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Unit TF-IDF rows of passages: features and weights."""
-    for s in starts:
-        f, n = np.unique(features(ids[s : s + PASSAGE]), return_counts=True)
-        w = idf[f] * (1 + np.log(n))
-        norm = np.linalg.norm(w)
-        if norm:
-            yield f, w / norm
-
-
-def _item_starts(it: Item) -> np.ndarray:
-    return np.unique(np.append(np.arange(0, max(1, len(it.ids) - 20), 6), max(0, len(it.ids) - 24)))
+class Probe:
+    """The evaluation texts of one block, ready to be looked for."""
 
+    def __init__(self, rows: list[tuple[int, str | None, str | None, list]]):
+        self.items = [i for s, query, passage, expected in rows for k, t in (("query", query), ("passage", passage)) for i in [Item(s, k, t or "", _answers(expected))] if len(i.ids)]
+        sizes = np.array([len(i.ids) for i in self.items], dtype=np.int64)
+        #: Words of a document within which a changed copy of the item lies.
+        self.sizes, self.reach = sizes, sizes + sizes // 5 + 4
+        self.vocabulary = np.unique(np.concatenate([i.ids for i in self.items])) if self.items else np.zeros(0, np.uint64)
+        self.holds = np.zeros((len(self.items), len(self.vocabulary) + 1), dtype=bool)
+        for n, i in enumerate(self.items):
+            self.holds[n, np.searchsorted(self.vocabulary, i.ids)] = True
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of words in the vocabulary; its size for any other word."""
+        at = np.searchsorted(self.vocabulary, hashes)
+        at[at == len(self.vocabulary)] = 0
+        return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary))
+
+
+# ---------------------------------------------------------------- passages
+
+
+def _blocks(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of some documents, the words of all of them, and the end of each one's words."""
+    texts, ids = frame["text"].tolist(), frame["doc_id"].to_numpy()
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 6 * WORDS):
+            size += len(texts[stop])
+            stop += 1
+        hashes, owner = words(texts[at:stop])
+        yield ids[at:stop], hashes, np.searchsorted(owner, np.arange(stop - at), side="right")
+        at = stop
+
+
+def _halves(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the half passages of all documents, and the document of each."""
+    half = PASSAGE // 2
+    begins = np.concatenate([[0], ends[:-1]])
+    count = -(-(ends - begins) // half)
+    owner = np.repeat(np.arange(len(ends)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    return begins[owner] + place * half, owner
+
+
+COUNTED = "priority long, features array<int>, df array<long>"
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Document frequencies of all features, and the passages with the smallest hashes."""
+    df = np.zeros(FEATURES + 1, dtype=np.int64)
+    kept: list[tuple[int, np.ndarray]] = []
+    for frame in batches:
+        for _, hashes, ends in _blocks(frame):
+            df[FEATURES] += len(ends)
+            if not len(hashes):
+                continue
+            features = _features(hashes)
+            owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            seen = np.zeros((len(ends), FEATURES), dtype=bool) if len(ends) < 4096 else None
+            if seen is not None:
+                seen[owner, features] = True
+                df[:FEATURES] += seen.sum(axis=0)
+            else:
+                df[:FEATURES] += np.bincount(np.unique(owner * FEATURES + features) % FEATURES, minlength=FEATURES)
+            starts, of = _halves(ends)
+            # The priority of a passage is a hash of its words.
+            priority = (np.add.reduceat(hashes, starts) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            for i in np.argsort(priority, kind="stable")[:SAMPLE]:
+                kept.append((int(priority[i]), features[starts[i] : min(starts[i] + PASSAGE, ends[of[i]])]))
+            if len(kept) > 4 * SAMPLE:
+                kept = sorted(kept, key=lambda k: k[0])[:SAMPLE]
+    kept = sorted(kept, key=lambda k: k[0])[:SAMPLE]
+    yield pd.DataFrame({"priority": [k[0] for k in kept], "features": [k[1] for k in kept], "df": [None] * len(kept)})
+    yield pd.DataFrame({"priority": [None], "features": [None], "df": [df]})
+
+
+def _row(features: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit TF-IDF row of a passage: features and weights."""
+    f, n = np.unique(features, return_counts=True)
+    w = idf[f] * n
+    return f, w / (np.linalg.norm(w) or 1.0)
+
+
+# ---------------------------------------------------------------- the latent space
 
 PARTIAL = "block int, data binary"
 BLOCKS = 16
 
 
-def _product(shared, idf: np.ndarray, basis):
+def _accumulate(total: np.ndarray, x: np.ndarray, features: np.ndarray, idf: np.ndarray) -> None:
+    f, w = _row(features, idf)
+    total[f] += w[:, None] * (w @ x[f])
+
+
+def _product(idf: np.ndarray, basis):
     """Adds A'(A X) of a partition's passages; A is never held whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        probe, x = shared.value, basis.value
+        x = basis.value
         total = np.zeros_like(x)
         for frame in batches:
-            for words, starts in zip(frame["words"], frame["starts"], strict=True):
-                _accumulate(total, x, probe.ids(words.split(" ")), np.asarray(starts), idf)
+            for features in frame["features"]:
+                _accumulate(total, x, np.asarray(features), idf)
         size = FEATURES // BLOCKS
         yield pd.DataFrame({"block": range(BLOCKS), "data": [total[b * size : (b + 1) * size].astype(np.float32).tobytes() for b in range(BLOCKS)]})
 
     return run
 
 
-def _accumulate(total: np.ndarray, x: np.ndarray, ids: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> None:
-    for f, w in _rows(ids, starts, idf):
-        total[f] += w[:, None] * (w @ x[f])
-
-
 def _sum_blocks(frame: pd.DataFrame) -> pd.DataFrame:
     total = np.sum([np.frombuffer(d, dtype=np.float32).astype(np.float64) for d in frame["data"]], axis=0)
     return pd.DataFrame({"block": [frame["block"].iloc[0]], "data": [total.astype(np.float32).tobytes()]})
 
 
-def latent_space(gated: DataFrame, shared, idf: np.ndarray) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF passages (features x rank)."""
-    sc = gated.sparkSession.sparkContext
+def latent_space(sample: DataFrame, texts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF passages (features x rank).
+
+    ``texts`` holds the features of passages of evaluation texts, which are added.
+    """
+    sc = sample.sparkSession.sparkContext
     rng = np.random.default_rng(11)
     width = RANK + EXTRA
-    probe: Probe = shared.value
 
     def product(x: np.ndarray) -> np.ndarray:
         basis = sc.broadcast(x.astype(np.float32))
-        parts = gated.select("words", "starts").mapInPandas(_product(shared, idf, basis), PARTIAL)
-        summed = parts.groupBy("block").applyInPandas(_sum_blocks, PARTIAL).toPandas().sort_values("block")
+        parts = sample.select("features").mapInPandas(_product(idf, basis), PARTIAL)
+        summed = parts.groupBy("block").applyInPandas(_sum_blocks, PARTIAL).toPandas()
         size = FEATURES // BLOCKS
         total = np.zeros((FEATURES, width))
         for b, data in zip(summed["block"], summed["data"], strict=True):
             total[b * size : (b + 1) * size] = np.frombuffer(data, dtype=np.float32).reshape(size, width)
-        for it in probe.items:
-            _accumulate(total, x, it.ids, _item_starts(it), idf)
+        for features in texts:
+            _accumulate(total, x, features, idf)
         return total
 
     x = rng.standard_normal((FEATURES, width))
@@ -224,6 +210,24 @@ def latent_space(gated: DataFrame, shared, idf: np.ndarray) -> np.ndarray:
     return (x @ turn[:, np.argsort(-values)[:RANK]]).astype(np.float32)
 
 
+def _sums(weighted: np.ndarray, features: np.ndarray, starts: np.ndarray, of: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``weighted`` over the words of each half passage."""
+    # A row of zeros stands for the words that the last half of a document lacks.
+    features = np.append(features, FEATURES)
+    out = weighted[features[starts]]
+    for j in range(1, PASSAGE // 2):
+        at = starts + j
+        out += weighted[features[np.where(at < ends[of], at, len(features) - 1)]]
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+# ---------------------------------------------------------------- word checks
+
+
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, by bits."""
     masks: dict[int, int] = {}
@@ -237,123 +241,162 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _longest_run(it: Item, ids: np.ndarray, where: dict[int, list[int]]) -> int:
-    """Most blank-separated words of the item that follow one another in the document."""
-    best, n, m = 0, len(ids), len(it.ids)
-    j = 0
-    while j <= m - GRAM:
-        far = j
-        for i in where.get(int(it.grams[j]), ()):
-            k = GRAM
-            while i + k < n and j + k < m and ids[i + k] == it.ids[j + k]:
-                k += 1
-            head, tail = it.belongs[j], it.belongs[j + k - 1]
-            # A blank-separated word counts only with all of its parts.
-            count = int(tail - head) + 1 - (j > 0 and it.belongs[j - 1] == head) - (j + k < m and it.belongs[j + k] == tail)
-            best, far = max(best, count), max(far, j + k - GRAM)
-        j = max(j + 1, far)
-    return best
-
+def longest_run(item: Item, ids: np.ndarray) -> int:
+    """Most blank-separated words of the item that follow one another in the document.
 
-def _whole(it: Item, ids: np.ndarray, spots: np.ndarray) -> float:
-    """Part of the item's words that occur in order within a stretch of its length."""
-    m, best, last = len(it.ids), 0.0, -1
-    for i in spots.tolist():
-        lo = max(0, i - m)
-        if lo <= last:
-            continue
-        last = lo + m // 4
-        for s in range(lo, i + 1, max(1, m // 8)):
-            best = max(best, lcs(it.ids, ids[s : s + m + m // 5 + 4]) / m)
+    A blank-separated word counts only with all of its parts.
+    """
+    best, before = 0, {}
+    belongs, last = item.belongs, len(item.ids) - 1
+    for h in ids.tolist():
+        now = {}
+        for j in item.where.get(h, ()):
+            k = now[j] = before.get(j - 1, 0) + 1
+            if k > best:
+                i = j - k + 1
+                head, tail = belongs[i], belongs[j]
+                count = int(tail - head) + 1 - (i > 0 and belongs[i - 1] == head) - (j < last and belongs[j + 1] == tail)
+                best = max(best, count)
+        before = now
     return best
 
 
-FOUND = "doc_id long, scenario_id long, kind string, cosine double, run int, share double"
+def in_order(item: Item, ids: np.ndarray, spots: np.ndarray) -> float:
+    """Part of the item's words that occur in order in a stretch that opens near a spot."""
+    m, best, last = len(item.ids), 0.0, -1
+    step, reach = max(1, m // 8), m + m // 5 + 4
+    for s in spots.tolist():
+        if s >= last:
+            last = s + step
+            best = max(best, lcs(item.ids, ids[s : s + reach]) / m)
+    return best
 
 
-def _search(shared, idf: np.ndarray, space, cosine: float, run_words: int, whole: float):
+def answered(item: Item, ids: np.ndarray) -> float:
+    """Part of the item's answers whose words all stand in the document."""
+    if not item.answers:
+        return 0.0
+    there = set(ids.tolist())
+    return sum(there.issuperset(a.tolist()) for a in item.answers) / len(item.answers)
+
+
+def _check(probe: Probe, candidates: np.ndarray, ids: np.ndarray, run_words: int, whole: float, loose: float, kinds: tuple[str, ...]) -> Iterator[tuple[int, int, float, float]]:
+    """Candidates that are cases: place of the item, run, share and answered part."""
+    hits = probe.holds[candidates][:, probe.numbers(ids)]
+    sums = np.concatenate([np.zeros((len(candidates), 1), np.int32), np.cumsum(hits, axis=1, dtype=np.int32)], axis=1)
+    start = np.arange(len(ids))
+    # A run consists of words of the item only.
+    runs = (sums[:, run_words:] - sums[:, :-run_words] == run_words).any(axis=1)
+    enough = sums[:, -1] >= loose * probe.sizes[candidates]
+    for n in np.flatnonzero(runs | enough).tolist():
+        c, total, may_run = int(candidates[n]), sums[n], bool(runs[n])
+        item = probe.items[c]
+        longest, share, spots = 0, 0.0, ()
+        if enough[n] and item.kind in kinds:
+            # Common words in any order bound the subsequence from above.
+            common = total[np.minimum(start + probe.reach[c], len(ids))] - total[:-1]
+            spots = np.flatnonzero(common >= loose * len(item.ids))
+        if may_run or len(spots):
+            longest = longest_run(item, ids)
+            if longest < run_words and len(spots):
+                share = in_order(item, ids, spots)
+            if longest >= run_words or share >= loose:
+                answer = answered(item, ids)
+                if longest >= run_words or share >= whole or answer > 0:
+                    yield c, longest, share, answer
+
+
+FOUND = "doc_id long, scenario_id long, kind string, cosine double, run int, share double, answer double"
+
+
+def _search(shared, idf: np.ndarray, space, cosine: float, run_words: int, whole: float, loose: float, kinds: tuple[str, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         probe, v = shared.value, space.value
+        weighted = np.concatenate([v * idf[:, None].astype(np.float32), np.zeros((1, v.shape[1]), np.float32)])
         asked, owner = [], []
-        for n, it in enumerate(probe.items):
-            for f, w in _rows(it.ids, _item_starts(it), idf):
+        for n, item in enumerate(probe.items):
+            for s in item.starts():
+                f, w = _row(_features(item.ids[s : s + PASSAGE]), idf)
                 asked.append(w @ v[f])
                 owner.append(n)
-        asked_ = np.array(asked, dtype=np.float32)
-        asked_ /= np.maximum(np.linalg.norm(asked_, axis=1, keepdims=True), 1e-9)
+        asked_ = np.ascontiguousarray(_unit(np.array(asked, dtype=np.float32)).T)
         first = np.flatnonzero(np.diff(np.array(owner), prepend=-1))
-        owners = np.array(owner)[first]
         for frame in batches:
             out = []
-            for doc, words, starts in zip(frame["doc_id"], frame["words"], frame["starts"], strict=True):
-                ids = probe.ids(words.split(" "))
-                rows = np.array([w @ v[f] for f, w in _rows(ids, np.asarray(starts), idf)], dtype=np.float32)
-                if not len(rows):
+            for ids, hashes, ends in _blocks(frame):
+                if not len(hashes):
                     continue
-                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-                best = np.maximum.reduceat((rows @ asked_.T).max(axis=0), first)
-                places = probe.places(ids)
-                present = np.zeros(len(probe.table), dtype=bool)
-                present[places[places >= 0]] = True
-                where: dict[int, list[int]] | None = None
-                for n in owners[best >= cosine]:
-                    it = probe.items[n]
-                    hit = present[it.grams]
-                    count = int(hit.sum())
-                    if count < SHARED:
-                        continue
-                    if where is None and count:
-                        where = {}
-                        for i, p in enumerate(places.tolist()):
-                            if p >= 0:
-                                where.setdefault(p, []).append(i)
-                    # Sequences in a row that the document holds: a run of words needs as many.
-                    gaps = np.flatnonzero(~hit)
-                    most = int(np.diff(gaps, prepend=-1, append=len(hit)).max()) - 1 + GRAM - 1
-                    longest = _longest_run(it, ids, where) if most >= run_words else most
-                    share = 0.0
-                    # Each word that is changed or dropped costs at most four sequences.
-                    if longest < run_words and it.kind == "passage" and count >= len(hit) - GRAM * (1 - whole) * len(it.ids) - 1:
-                        share = _whole(it, ids, np.flatnonzero(np.isin(places, it.grams)))
-                    if longest >= run_words or share >= whole:
-                        out.append((doc, it.scenario, it.kind, float(best[np.searchsorted(owners, n)]), longest, share))
-            yield pd.DataFrame(out, columns=["doc_id", "scenario_id", "kind", "cosine", "run", "share"])
+                starts, of = _halves(ends)
+                half = _sums(weighted, _features(hashes), starts, of, ends)
+                # A passage is a half and the next one of its document; a lone half is one too.
+                follows = np.append(of[1:] == of[:-1], False)
+                passages = half.copy()
+                passages[:-1][follows[:-1]] += half[1:][follows[:-1]]
+                alone = ~follows & (np.append(False, of[1:] == of[:-1]))
+                passages, at = _unit(passages[~alone]), of[~alone]
+                near: dict[int, np.ndarray] = {}
+                for lo in range(0, len(passages), 512):
+                    similar = passages[lo : lo + 512] @ asked_
+                    for r in np.flatnonzero(similar.max(axis=1) >= cosine):
+                        best = np.maximum.reduceat(similar[r], first)
+                        d = int(at[lo + r])
+                        near[d] = np.maximum(near[d], best) if d in near else best
+                for d, best in near.items():
+                    mine = hashes[ends[d - 1] if d else 0 : ends[d]]
+                    for c, longest, share, answer in _check(probe, np.flatnonzero(best >= cosine), mine, run_words, whole, loose, kinds):
+                        item = probe.items[c]
+                        out.append((ids[d], item.scenario, item.kind, float(best[c]), longest, share, answer))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
 
 def find_leaks(
-    documents: DataFrame, scenarios: DataFrame, cosine: float = COSINE, run_words: int = RUN, whole: float = WHOLE, block: int = BLOCK
+    documents: DataFrame,
+    scenarios: DataFrame,
+    cosine: float = COSINE,
+    run_words: int = RUN,
+    whole: float = WHOLE,
+    loose: float | None = None,
+    kinds: tuple[str, ...] = ("passage",),
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Rows ``doc_id, scenario_id, kind, cosine, run, share``: what leaked where.
+    """Rows ``doc_id, scenario_id, kind, cosine, run, share, answer``: what leaked where.
+
+    ``kind`` is query or passage, ``cosine`` that of the nearest passages in the latent
+    space, ``run`` the longest run of common words, ``share`` the part of the text found in
+    order (computed where no run decides, for the kinds in ``kinds``) and ``answer`` the
+    part of the item's expected files and symbols that stand in the document. A pair is a
+    case by a run of ``run_words``, by a share of ``whole``, or by a share of ``loose``
+    (default: ``whole``) where an answer stands in the document as well.
 
-    ``kind`` is query or passage, ``run`` the longest run of common words and ``share`` the
-    part of the passage found in order (computed where no run decides). Null and empty texts
-    and null ids give no rows; evaluation texts of fewer than four words cannot be cases and are skipped.
-    Repeated rows give one row. Other columns are ignored.
+    Null and empty texts and null ids give no rows; evaluation texts without words cannot be
+    cases. Repeated rows give one row. Other columns are ignored.
 
-    The evaluation set is read on the driver in blocks of ``block`` items; only documents
-    that may hold a case (few) are written to the checkpoint folder and searched.
+    The space is fitted once, on at most ``SAMPLE`` passages of the corpus and of the
+    evaluation texts each; every passage is projected and compared. The evaluation set is
+    read on the driver and looked for in blocks of ``block`` items.
     """
     spark = documents.sparkSession
     sc = spark.sparkContext
+    loose = whole if loose is None else loose
     docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null and text <> ''")
-    rows = [(r["scenario_id"], r["query"], r["passage"]) for r in scenarios.select("scenario_id", "query", "passage").filter("scenario_id is not null").distinct().orderBy("scenario_id").toLocalIterator()]
-    results = None
-    for lo in range(0, max(1, len(rows)), block):
-        probe = Probe(rows[lo : lo + block])
-        if not probe.items:
-            found = spark.createDataFrame([], FOUND)
-        else:
-            shared = sc.broadcast(probe)
-            gated = cut_lineage(docs.mapInPandas(_passages(shared), GATED))
-            counted = gated.filter("df is not null").select(F.posexplode("df").alias("f", "n")).groupBy("f").agg(F.sum("n").alias("n")).toPandas()
-            df = np.zeros(FEATURES + 1)
-            df[counted["f"]] = counted["n"]
-            idf = np.log1p((df[FEATURES] + 1) / (df[:FEATURES] + 1))
-            some = gated.filter("doc_id is not null")
-            space = sc.broadcast(latent_space(some, shared, idf))
-            found = some.mapInPandas(_search(shared, idf, space, cosine, run_words, whole), FOUND)
-        results = found if results is None else results.unionByName(found)
-    best = F.max(F.struct("cosine", "run", "share")).alias("r")
-    return results.groupBy("doc_id", "scenario_id", "kind").agg(best).select("doc_id", "scenario_id", "kind", "r.*")
+    asked = scenarios.select("scenario_id", "query", "passage", "expected" if "expected" in scenarios.columns else F.lit(None).alias("expected"))
+    rows = [(r["scenario_id"], r["query"], r["passage"], r["expected"]) for r in asked.filter("scenario_id is not null").distinct().orderBy("scenario_id").toLocalIterator()]
+    probes = [p for lo in range(0, len(rows), block) if (p := Probe(rows[lo : lo + block])).items]
+    if not probes:
+        return spark.createDataFrame([], FOUND)
+    counted = cut_lineage(docs.mapInPandas(_count, COUNTED))
+    summed = counted.filter("df is not null").select(F.posexplode("df").alias("f", "n")).groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(FEATURES + 1)
+    df[summed["f"]] = summed["n"]
+    idf = 1 + np.log((df[FEATURES] + 2) / (df[:FEATURES] + 1))
+    sample = cut_lineage(counted.filter("df is null").orderBy("priority").limit(SAMPLE).repartition(4))
+    texts = [_features(i.ids[s : s + PASSAGE]) for p in probes for i in p.items for s in i.starts()]
+    space = sc.broadcast(latent_space(sample, texts[:: -(-len(texts) // SAMPLE)], idf))
+    found = None
+    for probe in probes:
+        one = docs.mapInPandas(_search(sc.broadcast(probe), idf, space, cosine, run_words, whole, loose, kinds), FOUND)
+        found = one if found is None else found.unionByName(one)
+    best = F.max(F.struct("cosine", "run", "share", "answer")).alias("r")
+    return found.groupBy("doc_id", "scenario_id", "kind").agg(best).select("doc_id", "scenario_id", "kind", "r.*")

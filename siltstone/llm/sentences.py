@@ -165,7 +165,7 @@ class Writer:
     def identity(self) -> str:
         return self.choose(
             [
-                "{3}-{2}-{4}", "{3}-{2}-{4}", "{3} {2} {4}", "{9}", "{9}", "{L}{L} {2} {2} {2} {A}", "{L}{L}{6}{A}", "{L}{8}", "{L}{8}", "{2}.{3}.{3}-{L}", "{8}{L}",
+                "{3}-{2}-{4}", "{3}-{2}-{4}", "{3} {2} {4}", "{9}", "{9}", "{L}{L} {2} {2} {2} {A}", "{L}{L}{6}{A}", "{L}{8}", "{L}{8}", "{2}{L}{L}{5}", "{2}{L}{L}{5}", "{2}.{3}.{3}-{L}", "{8}{L}",
                 "{8}-{L}", "{X}{7}{L}", "{2} {3} {3} {3}", "{2} {6} {L} {3}", "{E} {2} {2} {2} {3} {3} {2}", "{E}{12}", "{11}", "{2}{6}{L}{3}",
             ]
         )
@@ -228,7 +228,7 @@ class Writer:
                 ]
             )
         elif kind == "id_number":
-            label = pick(ID_LABELS)
+            label = pick(ID_LABELS) + pick(["", "", "", " n°", " Nr.", " no."])
             ahead, behind = pick([("{l} ", ""), ("{l} ", "."), ("{l} ", ", {w}"), ("{l}, ", ", {w} {w}"), ("({l} ", ")"), ("my {l} is ", ", {w}"), ("the {l} ", " was on the {w}"), ("{l}: ", "\n"), ("mit {l} ", ""), ("le {l} ", "."), ("el {l} ", "."), ("with {l} ", " and {w}")])
         else:
             ahead, behind = pick(

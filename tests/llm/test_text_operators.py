@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.llm import authorship, leakage, pack, secrets, split, validity
+from siltstone.llm import authorship, leakage, pack, secrets, split, validity, words
 from siltstone.llm.common import TOKEN, extension, token_starts
 
 LIMITS = [(".py", "python", 20, 4), (".md", "markdown", 12, 3), (None, "text", 10, 2), (".json", "json", 50, 5), (".js", "javascript", 50, 5), (".ts", "typescript", 50, 5), (".toml", "toml", 50, 5), (".sh", "shell", 50, 5)]
@@ -298,7 +298,7 @@ def test_leaks(spark):
     w = PASSAGE.split()
     fifteen, fourteen = " ".join(w[5:20]), " ".join(w[5:19])
     changed = " ".join("other" if i % 11 == 5 else x for i, x in enumerate(w))
-    far = " ".join("other" if i % 4 == 1 else x for i, x in enumerate(w))
+    far = " ".join(f"other{i}" if i % 4 == 1 else x for i, x in enumerate(w))
     docs = [(1, other + PASSAGE.upper().replace("`", "") + other), (2, other * 30 + fifteen), (3, other + fourteen + " and nothing else. " + other), (4, "> " + changed.replace(" ", "\n> ")), (5, far), (6, "<p>" + QUERY.replace("`", "<code>") + "</p>"), (7, None), (8, ""), (9, other), (None, PASSAGE), (1, other + PASSAGE.upper().replace("`", "") + other), (10, other * 3000 + PASSAGE)]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, words string")
     sc = spark.createDataFrame([(1, QUERY, PASSAGE), (2, None, ""), (3, "too short", None), (1, QUERY, PASSAGE)], "scenario_id long, query string, passage string")
@@ -308,6 +308,21 @@ def test_leaks(spark):
     assert leakage.find_leaks(df, sc.limit(0)).count() == 0
     blocks = {(r["doc_id"], r["kind"]) for r in leakage.find_leaks(df, sc, block=1).collect()}
     assert blocks == got
+    # With a lower share, a paraphrase with one word in four changed is found through the space.
+    assert {(r["doc_id"], r["kind"]) for r in leakage.find_leaks(df, sc, whole=0.7).collect()} == got | {(5, "passage")}
+    assert leakage.find_leaks(df, sc, whole=0.7, cosine=1.01).count() == 0
+    # Or only where the answer stands in the document as well.
+    answers = sc.withColumn("expected", F.expr("array(named_struct('file', 'quota/delta.ts', 'symbol', 'eagerWatcher'))"))
+    assert {r["doc_id"]: r["answer"] for r in leakage.find_leaks(df, answers, loose=0.7).filter("doc_id = 5").collect()} == {5: 0.5}
+
+
+def test_words_agree_with_a_pattern():
+    pattern = re.compile(r"[^\W_]+(?:_+[^\W_]+)*")
+    texts = ["__a__b_ _c__d_", "", "_", "a_", "x_y__z 1_2 Été foo_", "a <b>c</b> &amp; &#96;q&#96;", "\n\na\n", "Foo_bar BAZ", "foo_BAR baz"]
+    hashes, owner = words.words(texts)
+    for k, t in enumerate(texts):
+        assert (owner == k).sum() == len(pattern.findall(words.plain(t).lower()))
+    assert hashes[owner == 7].tolist() == hashes[owner == 8].tolist()
 
 
 @settings(max_examples=80, deadline=None)
