@@ -2,8 +2,9 @@
 
 A fixed number of bins is open at a time. A bitset keyed by free space finds the open bin
 that an item fits most tightly; when no bin fits and all places are taken, the fullest bin
-closes. Each partition packs its own rows in one pass; the few bins left open then travel
-through two small rounds in which the bins of 32 groups are packed together as units.
+closes. Each partition packs its own rows in one pass. The few bins left open then travel
+(bins, not their items) through rounds in which those of 32 groups are packed together as
+units; what closes in a round leaves, so a round's group has at most 32 times the open bins.
 """
 
 from __future__ import annotations
@@ -94,17 +95,25 @@ def _first_pass(capacity: int, places: int):
     return run
 
 
+MOVES = "part long, bin long, to_part long, to_bin long, tokens long, is_open boolean"
+
+
 def _join_bins(capacity: int, places: int, last: bool):
+    """Packs open bins together: rows are bins of the first pass and the bin each is in now."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["part", "bin", "doc_id", "piece_no"], kind="stable")
-        used = frame.groupby(["part", "bin"], sort=True)["tokens"].sum()
+        frame = frame.sort_values(["to_part", "to_bin", "part", "bin"], kind="stable")
+        used = frame.groupby(["to_part", "to_bin"], sort=True)["tokens"].sum()
         bins = OpenBins(capacity, places)
         home = {key: bins.add(int(size)) for key, size in used.items()}
-        keep = {k: min(key for key, b in home.items() if b == k) for k in set(home.values())}
+        # A new bin is named after the first of its bins.
+        name: dict[int, tuple] = {}
+        for key, b in home.items():
+            name.setdefault(b, key)
         open_ = set() if last else bins.still_open()
-        new = [keep[home[key]] for key in zip(frame["part"], frame["bin"], strict=True)]
-        frame["is_open"] = [home[key] in open_ for key in zip(frame["part"], frame["bin"], strict=True)]
-        frame["part"], frame["bin"] = [k[0] for k in new], [k[1] for k in new]
+        now = [home[key] for key in zip(frame["to_part"], frame["to_bin"], strict=True)]
+        frame["is_open"] = [b in open_ for b in now]
+        frame["to_part"], frame["to_bin"] = [name[b][0] for b in now], [name[b][1] for b in now]
         return frame
 
     return run
@@ -121,13 +130,26 @@ def pack(documents: DataFrame, capacity: int = 2048, places: int = OPEN_BINS) ->
     the input are ignored.
 
     Only ids and sizes reach Python, in the partitions of the scan; nothing but the bins
-    left open (at most ``places`` a partition) is shuffled.
+    left open (at most ``places`` a partition) and their items is shuffled.
     """
     sized = documents.select(solid("doc_id"), token_count(F.col("text")).alias("tokens"))
     first = cut_lineage(sized.mapInPandas(_first_pass(capacity, places), ROWS))
-    closed, open_ = first.filter("not is_open and tokens > 0"), first.filter("is_open and tokens > 0")
-    for width, last in ((FAN_IN, False), (FAN_IN * FAN_IN, True)):
-        open_ = open_.groupBy(F.floor(F.col("part") / width)).applyInPandas(_join_bins(capacity, places, last), ROWS)
+    closed, waiting = first.filter("not is_open and tokens > 0"), first.filter("is_open and tokens > 0")
+    bins = waiting.groupBy("part", "bin").agg(F.sum("tokens").alias("tokens"))
+    bins = bins.select("part", "bin", F.col("part").alias("to_part"), F.col("bin").alias("to_bin"), "tokens", F.lit(True).alias("is_open"))
+    moved, width, groups = None, FAN_IN, first.rdd.getNumPartitions()
+    while True:
+        last = width >= groups
+        bins = bins.groupBy(F.floor(F.col("to_part") / width)).applyInPandas(_join_bins(capacity, places, last), MOVES)
+        if not last:
+            bins = cut_lineage(bins)
+        left = bins.filter("not is_open")
+        moved = left if moved is None else moved.unionByName(left)
+        if last:
+            break
+        bins, width = bins.filter("is_open"), width * FAN_IN
+    moved = moved.select("part", "bin", "to_part", "to_bin")
+    open_ = waiting.join(moved, ["part", "bin"]).withColumn("part", F.col("to_part")).withColumn("bin", F.col("to_bin")).drop("to_part", "to_bin")
     nothing = first.filter("tokens = 0").withColumn("container", F.lit(None).cast("string"))
     name = F.concat_ws("-", F.col("part").cast("string"), F.col("bin").cast("string"))
     rows = closed.unionByName(open_).withColumn("container", name).unionByName(nothing)
