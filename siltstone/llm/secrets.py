@@ -25,7 +25,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # What a name must hold for its value to be a credential.
 TELLING = (
-    r"pass(?:(?:word|wd|phrase|code)s?)?(?![a-z])|pwds?(?![a-z])|secret|token(?!iz|_?count)|"
+    r"(?<![a-z])pw(?![a-z])|pass(?:(?:word|wd|phrase|code)s?)?(?![a-z])|pwds?(?![a-z])|secret|token(?!iz|_?count)|"
     r"(?:api|access|private|signing|encryption|auth|account|service|master|shared)[ _-]?key|credential|authorization"
 )
 # Prefixes that issuers give their keys.
@@ -50,7 +50,9 @@ UUID = re.compile(r"^\{?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]
 
 TELL = re.compile(TELLING, re.I)
 BEFORE = re.compile(r"[\w.$/:@-]*$")
-KEYED = re.compile(r"[\w.-]*[\"'`]?\]?\s*(?::\s*[\w\[\]| .<>]{1,40}?=|=>|:=|\?=|\|\|=|[:=]|,(?=\s*[\"'`]))(?P<rest>\s*[^\n]*(?:\n[ \t]+[\"'][^\n]*)?)", re.I)
+KEYED = re.compile(r"[\w.-]*[\"'`]?\]?\s*(?::\s*[\w\[\]| .<>]{1,40}?=|=>|:=|\?=|\|\|=|[:=]|,(?=\s*[\"'`]))", re.I)
+#: A value on the line after the name's.
+CONTINUED = re.compile(r"\n[ \t]+[\"'][^\n]*")
 PROSE = re.compile(r"(?:\s+key)?s?\s+(?:is|was|of|to|=|:)?\s*[`\"'](?P<value>[^`\"'\s]{6,})[`\"']", re.I)
 PLAIN = re.compile(r"(?:\s+key)?\s*(?::|=|\bis\b|\bwas\b)\s*(?P<value>[^\s`\"',;]{6,})", re.I)
 PAIR = re.compile(r"[\w.-]*[\"']?\s*,?\s*[\"']?value[\"']?\s*[:=]\s*[\"']?(?P<value>[^\s\"',}]{6,})", re.I)
@@ -77,7 +79,7 @@ BLOCK = re.compile(r"(?P<indent>[ \t]*)(?P<dash>(?:-[ \t]+)*)(?:(?P<key>[\w.$/-]
 BARE = re.compile(r"\s*(?P<v>[^\s\"'`,;#(){}\[\]]+)")
 #: What a text must hold to be looked at; implied by every pattern above.
 TRIGGER = (
-    rf"(?i)pass|pwd|secret|token(?:[\w.-]*[\"'`]?\]?\s*[:=,|?]|s?\s+(?:is|was|of|to|[`\"'])|[\w.-]*[\"']?,?\s+[\"']?value)|[a-z][ _-]?key|credential|authorization|"
+    rf"(?i)pass|pwd|\bpw|secret|token(?:[\w.-]*[\"'`]?\]?\s*[:=,|?]|s?\s+(?:is|was|of|to|[`\"'])|[\w.-]*[\"']?,?\s+[\"']?value)|[a-z][ _-]?key|credential|authorization|"
     rf"://[^\s/@]*:[^\s/@]*@|-----BEGIN|\b(?:bearer|basic|token)\s|\s-u\s|--token|{ISSUED}"
 )
 
@@ -164,40 +166,42 @@ def is_secret(name: str, value: str, words: dict[str, float]) -> bool:
     return residual(value, words) >= 2
 
 
-def _keyed(name: str, rest: str, base: int, words: dict[str, float]) -> list[tuple[int, int]]:
-    """Spans of the secret values after a telling name."""
-    out = []
-    quoted = list(QUOTED.finditer(rest))
-    bare = BARE.match(rest)
-    if bare and (not quoted or bare.start("v") < quoted[0].start()):
+def _keyed(name: str, text: str, at: int, end: int, words: dict[str, float], seen: int) -> tuple[list[tuple[int, int]], int]:
+    """Spans of the secret values after a telling name, and how far quoted values were judged.
+
+    ``at`` to ``end`` is what follows the separator. Values up to ``seen`` were judged for a
+    name before; of them only the one right behind this name is judged again.
+    """
+    out: list[tuple[int, int]] = []
+    quotes = QUOTED.finditer(text, at, end)
+    first = next(quotes, None)
+    bare = BARE.match(text, at, end)
+    if bare and (first is None or bare.start("v") < first.start()):
         v = bare["v"]
-        after = rest[bare.end() : bare.end() + 1]
+        after = text[bare.end() : min(end, bare.end() + 1)]
         if v and not _is_code(v, after) and re.search(r"[A-Za-z]", v) and is_secret(name, v, words):
-            s = base + bare.start("v")
-            return [(s, s + len(v))]
-        if re.match(r"^[\"'`]", rest.lstrip()) is None and not re.match(r"\s*(?:process\.env|os\.|env|\w+\(|\w+\.\w+|\(|await|new|f?[\"']|\{)", rest):
-            return []
-    for n, q in enumerate(quoted):
+            return [bare.span("v")], seen
+        head = text[at : min(end, at + 200)]
+        if re.match(r"^[\"'`]", head.lstrip()) is None and not re.match(r"\s*(?:process\.env|os\.|env|\w+\(|\w+\.\w+|\(|await|new|f?[\"']|\{)", head):
+            return [], seen
+    q, last, n = first, at, 0
+    while q is not None and not (n and q.start() < seen):
         g = next(i for i in (1, 2, 3) if q[i] is not None)
-        between = rest[quoted[n - 1].end() : q.start()] if n else ""
+        between = text[max(last, q.start() - 200) : q.start()] if n else ""
+        ahead = text[max(at, q.start() - 200) : q.start()].rstrip()
+        behind = text[q.end() : min(end, q.end() + 40)].lstrip()
         # Behind a value, only further values of the same list; behind others, no value of another name.
         if (out and not re.fullmatch(r"\s*(?:,|or|\|\||\?\?|:)\s*", between)) or (n > 2 and re.search(r"[\w\])\"'`]\s*[:=]\s*$|;", between)):
             break
         # A further name and its own value: not this name's.
-        if q is not quoted[0] and re.search(r"[,;]\s*$", rest[: q.start()]) and re.match(r"\s*[:=]", rest[q.end() :]):
-            break
-        v = q[g]
-        scheme = HEADER.match(v)
-        if scheme:
+        if n and ahead.endswith((",", ";")) and behind.startswith((":", "=")):
             break
-        if rest[q.end() :].lstrip().startswith((":", "=>")) and q is quoted[0]:
+        if HEADER.match(q[g]) or (not n and behind.startswith((":", "=>"))):
             break
-        if rest[: q.start()].rstrip().endswith(("[", "environ[")):
-            continue
-        if is_secret(name, v, words):
-            s = base + q.start(g)
-            out.append((s, s + len(v)))
-    return out
+        if not ahead.endswith(("[", "environ[")) and is_secret(name, q[g], words):
+            out.append(q.span(g))
+        last, n, q = q.end(), n + 1, next(quotes, None)
+    return out, max(seen, last) if not DIGEST_NAME.search(name) else seen
 
 
 def _is_code(v: str, after: str) -> bool:
@@ -269,7 +273,7 @@ def _block(text: str, name_at: int, at: int) -> Iterator[tuple[str, int, int, bo
 
 def _collected(name: str, text: str, name_at: int, hit: re.Match, words: dict[str, float]) -> list[tuple[int, int]]:
     """Spans of the secret values in the list or mapping after a telling name, over all its lines."""
-    at = hit.start("rest")
+    at = hit.end()
     separator = text[hit.start() : at]
     if re.match(r"[ \t]*(?:#[^\n]*)?\r?\n", text[at : at + 200]) and separator.rstrip().endswith(":"):
         found = _block(text, name_at, text.index("\n", at))
@@ -288,14 +292,37 @@ def _collected(name: str, text: str, name_at: int, hit: re.Match, words: dict[st
     return out
 
 
+#: A line of a private key: its base64 text or a header, in quotes and comment signs or not.
+KEY_LINE = re.compile(r"[\s\"'`+,;>|#*()]*(?:[\w-]+:[^\n]*|(?:[A-Za-z0-9+/]{4,}={0,2}(?:\\[nr])*[\"'`+,;\s]*)+)?(?:\\)?$")
+
+
+def _key_end(text: str, at: int) -> int | None:
+    """Where the private key ends whose BEGIN line ends at ``at``; None where no key follows."""
+    body = re.match(r"(?:\\[nr]|[\s\"'`+,;>|#*\\]|[\w-]+:[^\n]*\n)*(?=[A-Za-z0-9+/]{16}|[A-Za-z0-9+/]{4,}={0,2}[\s\"'`+,;\\]{0,6}-----END)", text[at : at + 1000])
+    if not body:
+        return None
+    end = END.search(text, at)
+    if end and not BEGIN.search(text, at, end.start()):
+        return end.end()
+    # Cut off: as far as lines look like a key's.
+    stop = at
+    while stop < len(text):
+        nxt = text.find("\n", stop + 1)
+        nxt = len(text) if nxt < 0 else nxt
+        if not KEY_LINE.match(text[stop:nxt]):
+            break
+        stop = nxt
+    return max(stop, min(len(text), at + body.end() + 16))
+
+
 def find(text: str, words: dict[str, float]) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of the credentials in a text, in order, without overlaps."""
     spans: list[tuple[int, int, str]] = []
     for m in BEGIN.finditer(text):
-        end = END.search(text, m.end())
-        nxt = BEGIN.search(text, m.end())
-        stop = end.end() if end and (not nxt or end.start() < nxt.start()) else len(text)
-        spans.append((m.start(), stop, "private_key"))
+        if spans and m.start() < spans[-1][1]:
+            continue
+        if stop := _key_end(text, m.end()):
+            spans.append((m.start(), stop, "private_key"))
     keys = list(spans)
 
     def inside(at: int) -> bool:
@@ -329,14 +356,21 @@ def find(text: str, words: dict[str, float]) -> list[tuple[int, int, str]]:
     for m in KNOWN.finditer(text):
         if not inside(m.start()) and residual(m[0], words) >= 6 and not PLACEHOLDER.search(m[0]):
             spans.append((m.start(), m.end(), "issued_key"))
+    line, seen = -1, 0  # end of the line at hand, and how far its quoted values were judged
     for m in TELL.finditer(text):
         if inside(m.start()):
             continue
         name = BEFORE.search(text, max(0, m.start() - 60), m.start())[0] + m[0]
         if hit := KEYED.match(text, m.end()):
             name += re.match(r"[\w.-]*", text[m.end() : m.end() + 60])[0]
-            if "BEGIN" not in hit["rest"][:40]:
-                spans += [(a, b, "assigned") for a, b in _keyed(name, hit["rest"], hit.start("rest"), words)]
+            if hit.end() > line:
+                line = text.find("\n", hit.end())
+                line = len(text) if line < 0 else line
+                if more := CONTINUED.match(text, line):
+                    line = more.end()
+            if "BEGIN" not in text[hit.end() : min(line, hit.end() + 40)]:
+                values, seen = _keyed(name, text, hit.end(), line, words, seen)
+                spans += [(a, b, "assigned") for a, b in values]
                 spans += [(a, b, "assigned") for a, b in _collected(name, text, m.start(), hit, words)]
         for pattern in (PROSE, PLAIN, PAIR):
             if (hit := pattern.match(text, m.end())) and mentioned(name, hit["value"], pattern is PLAIN):
@@ -392,8 +426,10 @@ def find_secrets(chunks: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFr
         for frame in batches:
             out = []
             for chunk, text in zip(frame["chunk_id"], frame["text"], strict=True):
+                line, at = 1, 0
                 for a, b, kind in find(text, words.value):
-                    out.append((chunk, text.count("\n", 0, a) + 1, kind, a, b))
+                    line, at = line + text.count("\n", at, a), a
+                    out.append((chunk, line, kind, a, b))
             yield pd.DataFrame(out, columns=["chunk_id", "line_no", "kind", "start", "end"])
 
     return _candidates(chunks.filter("chunk_id is not null")).mapInPandas(run, FOUND).distinct()
@@ -402,17 +438,16 @@ def find_secrets(chunks: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFr
 def redact(chunks: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """Rows ``chunk_id, text, n_secrets``: every row with its credentials replaced.
 
-    Texts without a trigger pass unchanged and stay in the JVM; nulls stay null.
+    Texts without a trigger pass unchanged; nulls stay null.
     """
     words = chunks.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            spans = [find(t, words.value) for t in frame["text"]]
-            frame["text"] = [redact_text(t, s) for t, s in zip(frame["text"], spans, strict=True)]
+            spans = [find(t, words.value) if hit else [] for t, hit in zip(frame["text"], frame["hit"], strict=True)]
+            frame["text"] = [redact_text(t, s) if s else t for t, s in zip(frame["text"], spans, strict=True)]
             frame["n_secrets"] = [len(s) for s in spans]
-            yield frame
+            yield frame[["chunk_id", "text", "n_secrets"]]
 
-    some = _candidates(chunks).mapInPandas(run, REDACTED)
-    rest = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text").filter(~F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False)))
-    return some.select(restored("chunk_id"), "text", "n_secrets").unionByName(rest.withColumn("n_secrets", F.lit(0)))
+    read = chunks.select(solid("chunk_id"), "text", F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False)).alias("hit"))
+    return read.mapInPandas(run, REDACTED).select(restored("chunk_id"), "text", "n_secrets")
