@@ -23,7 +23,7 @@ def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.linked(neighbours.nearest(read(spark, sf_dir, "vectors"), k=10, min_similarity=0.9, probes=8))
+    return neighbours.linked(neighbours.nearest(read(spark, sf_dir, "vectors"), k=10, min_similarity=0.9, probes=5))
 
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
