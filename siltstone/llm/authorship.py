@@ -7,30 +7,42 @@ holds it in a string further down. Path rules name vendored directories, lock fi
 minified suffixes. A place or a phrase alone decides nothing where the contents can speak:
 they are measured over the whole text.
 
-Vendored copies often lose their banner. The lines of files that have one (a fixed number of
-the smallest line hashes of each) form a set of known third-party lines; a file most of
-whose own smallest line hashes are in that set is a copy, patched or not, wherever it lies.
+Vendored copies often lose their banner. The longer lines of files that have one form a set
+of known third-party lines; a file most of whose own longer lines are in that set is a copy
+or a part of one, patched or not, wherever it lies.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Notices of generators, as they stand in comments (lower case).
+# Phrases of generators' notices (lower case). Some say by themselves that the
+# file is made by a tool.
 NOTICES = (
-    "code generated", "generated by", "generated from", "generated file", "@generated", "<auto-generated", "autogenerated",
-    "auto-generated by", "automatically generated", "produced automatically", "machine written", "machine generated",
-    "do not edit", "do not modify", "do not change this file", "edits get lost", "changes will be overwritten", "changes will be lost",
-    "automatisch erzeugt", "automatisch generiert", "nicht bearbeitet werden", "généré automatiquement", "ne pas modifier",
-    "generado automáticamente", "no editar", "to refresh this module", "to regenerate this file",
+    "@generated", "<auto-generated", "auto-generated", "autogenerated", "code generated", "automatically generated", "machine generated", "machine-generated",
+    "machine written", "machine-written", "automatisch erzeugt", "automatisch generiert", "maschinell erzeugt", "généré automatiquement", "generado automáticamente",
 )
+# Others only where what is made, or must not be touched, is this file (see ABOUT).
+HINTS = (
+    "generated file", "generated code", "fichier généré", "archivo generado", "generated by", "generated from", "generated with", "produced automatically", "produced by", "do not edit", "don't edit", "do not modify", "do not change", "edits", "changes", "modifications", "overwritten",
+    "regenerate", "refresh this", "rebuild this", "nicht bearbeite", "nicht ändern", "ne pas modifier", "no editar", "no modificar",
+)
+#: What makes a hint a notice: the sentence is about the file at hand.
+ABOUT = re.compile(
+    r"^(?:generated|produced)\s+(?:by|from|with|automatically)\b"
+    r"|^(?:this is |ceci est |este es )?(?:an? |un )?(?:generated (?:file|code)|fichier généré|archivo generado)\b"
+    r"|\b(?:this|the) (?:file|module|code|source|class|document) (?:is|was|has been|has to be|must be)\b.*\b(?:generated|produced|created|built)\b"
+    r"|\b(?:do not|don't|never) (?:edit|modify|change|touch)(?:\s+(?:(?:this|the) (?:file|module|code)|it|manually|directly|by hand|here|below))*\s*(?:[.;:,!]|$|\bmanually|\bby hand|\bdirectly)"
+    r"|\b(?:edits|changes|modifications)\b[^.;]*\b(?:lost|overwritten|discarded|reverted)\b"
+    r"|\bto (?:refresh|regenerate|rebuild|update) this (?:file|module|code)\b"
+    r"|\bnicht (?:bearbeite|ändern)|\bne pas modifier\b|\bno (?:editar|modificar)\b"
+)
 # Phrases of hand-written comments about generated files.
 DENIALS = ("unlike the", "not generated", "maintained by us", "maintained by hand", "written by hand", "hand-written", "handwritten", "hand written")
 # Directories that hold third-party sources.
@@ -56,59 +68,86 @@ STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 NUMBER = re.compile(r"\b0x[0-9a-fA-F]+\b|\b\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?")
 WORDS = re.compile(r"[A-Za-z_$][\w$]*")
 
-SKETCH, SKETCH_LINE = 16, 24
+#: Characters of a line that counts when copies are looked for.
+LONG_LINE = 24
+#: Members numbered from 0 that are a mark by themselves.
+MANY = 24
 
 
 def _automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for p in NOTICES:
-        found.add_word(p, (True, p))
-    for p in DENIALS:
-        found.add_word(p, (False, p))
+    for sort, phrases in enumerate((NOTICES, HINTS, DENIALS)):
+        for p in phrases:
+            found.add_word(p, (sort, p))
     found.make_automaton()
     return found
 
 
+DOCSTRING = re.compile(r"[rRuU]?(\"{3}|'{3})")
+FIRST_STATEMENT = re.compile(r"(?:package|namespace)\s+[\w.]+;?\s*$|[\"']use strict[\"'];?\s*$|<\?php\s*$")
+
+
 def header(text: str) -> str:
-    """The comments that open a file, without its own licence lines; shebangs are skipped."""
+    """The comments that open a file, a docstring among them, on both sides of a package line.
+
+    Shebangs are skipped.
+    """
     out = []
-    quoted = False
-    for line in text.lstrip("﻿").split("\n"):
-        if quoted:
+    close = ""
+    for line in text.lstrip("\ufeff").split("\n"):
+        bare = line.strip()
+        if close:
             out.append(line)
-            quoted = "*/" not in line
-        elif not line.strip() or line.startswith("#!"):
+            close = "" if close in line else close
+        elif not bare or line.startswith("#!") or FIRST_STATEMENT.match(bare):
             continue
         elif COMMENT.match(line):
             out.append(line)
-            quoted = line.lstrip().startswith("/*") and "*/" not in line
+            close = "*/" if bare.startswith("/*") and "*/" not in bare else ""
+        elif m := DOCSTRING.match(bare):
+            out.append(line)
+            close = "" if m[1] in bare[m.end() :] else m[1]
         else:
             break
     return "\n".join(out)
 
 
+_SIGNS = re.compile(r"^[\s/*#;%<!\-\"']+|[\s/*#;%>\-\"']+$")
+
+
 def notice(automaton, opening: str) -> bool:
-    says, denies = False, False
-    for _, (yes, _p) in automaton.iter(opening.lower()):
-        says, denies = says or yes, denies or not yes
-    return says and not denies
+    """Whether the opening comments say that a tool wrote this file."""
+    low = opening.lower()
+    sorts = {sort for _, (sort, _p) in automaton.iter(low)}
+    if 2 in sorts or not sorts:
+        return False
+    if 0 in sorts:
+        return True
+    # Sentences may run over several lines.
+    plain = " ".join(_SIGNS.sub("", line) for line in low.split("\n"))
+    return any(ABOUT.search(part.strip()) for part in [*re.split(r"(?<=[.!?])\s+", plain), *(_SIGNS.sub("", line) for line in low.split("\n"))])
 
 
-def serial(text: str) -> bool:
+def serial(text: str, placed: bool = False) -> bool:
     """Whether the body is a run of members numbered in sequence, of few shapes.
 
     The mark of generators: most lines repeat a handful of shapes (names and numbers
-    masked), and the numbers within names count up without a gap.
+    masked), and the numbers within names count up without a gap. People number a few
+    members too: without filled-up numbers (007) or a place for generated files
+    (``placed``), only many members that begin with 0 are a mark.
     """
     lines = [x.strip() for x in text.split("\n")]
     lines = [x for x in lines if x and not COMMENT.match(x)]
     if len(lines) < 6:
         return False
-    numbers = [int(m.group(1)) for x in lines if (m := COUNTER.search(x))]
+    found = [m for x in lines if (m := COUNTER.search(x))]
+    numbers = [int(m.group(1)) for m in found]
     if len(numbers) < 5:
         return False
+    if not placed and not any(m.group(0) != m.group(1) for m in found) and (numbers[0] != 0 or len(numbers) < MANY):
+        return False
     steps = sum(b == a + 1 for a, b in zip(numbers, numbers[1:], strict=False))
     if steps < 0.8 * (len(numbers) - 1):
         return False
@@ -171,15 +210,10 @@ def literal(path: str, text: str) -> bool:
     return names <= 0.04 * len(body) + 60 and names < 0.25 * len(body) and len(WORDS.findall(rest)) <= 16
 
 
-def sketch(text: str) -> list[int]:
-    """The smallest hashes of the distinct longer lines, comments left out."""
-    lines = {x for line in text.split("\n") if len(x := line.strip()) >= SKETCH_LINE and not COMMENT.match(x)}
-    if not lines:
-        return []
-    h = np.fromiter((zlib.crc32(x.encode("utf-8", "replace")) | (zlib.adler32(x.encode("utf-8", "replace")) << 32) for x in lines), dtype=np.uint64, count=len(lines))
-    h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(29))
-    h = np.sort(h * np.uint64(0xBF58476D1CE4E5B9))[:SKETCH]
-    return h.view(np.int64).tolist()
+def line_hashes(text: str) -> list[int]:
+    """Hashes of the distinct longer lines, comments left out."""
+    lines = {x for line in text.split("\n") if len(x := line.strip()) >= LONG_LINE and not COMMENT.match(x)}
+    return [xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - 2**63 for x in lines]
 
 
 FEATURES = "file_id long, repo string, path string, kind string, banner boolean, third_party_dir boolean, lines array<long>"
@@ -201,10 +235,10 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kind = "minified"
             elif literal(low, text):
                 kind = "data"
-            elif CODE.search(low) and (serial(text) or cut_off(low, text)):
+            elif CODE.search(low) and (serial(text, bool(GEN_NAME.search(low))) or cut_off(low, text)):
                 kind = "generated"
             is_code = bool(CODE.search(low))
-            out.append((row.file_id, row.repo, path, kind, banner and is_code, bool(VENDOR_DIR.search(low)), sketch(text) if is_code and kind is None else []))
+            out.append((row.file_id, row.repo, path, kind, banner and is_code, bool(VENDOR_DIR.search(low)), line_hashes(text) if is_code and kind is None else []))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
 
@@ -212,7 +246,7 @@ def not_hand_written(files: DataFrame, share: float = 0.6) -> DataFrame:
     """Rows ``file_id, repo, path, kind`` of the files that no contributor wrote by hand.
 
     ``kind`` is generated, minified, data or vendored, the first that holds. ``share`` is
-    the part of a file's line sketch that must be known third-party lines for a copy.
+    the part of a file's longer lines that must be known third-party lines for a copy.
     Null, empty and binary texts and null ids are never cases; repeated deliveries count once (any of
     them decides, as their contents agree); a null path counts as an empty one; ``ext`` and
     ``size_bytes`` may be wrong or null, so the path and the text themselves are used.

@@ -325,6 +325,24 @@ def test_check_files(spark, limits):
     assert validity.check_files(df.limit(0), limits).count() == 0
 
 
+# ------------------------------------------------------------------ notices and members
+
+
+@pytest.mark.parametrize("text,says", [
+    ("# Reads the report generated by the nightly job.\nx = 1", False), ("# Do not edit the cache while a run is on\n", False), ("# Writes the header of every generated file we ship\n", False), ("# Unlike the parser this is not generated by a tool\n", False),
+    ('"""Code generated by foo. DO NOT EDIT."""\nimport x', True), ("package main\n\n// Code generated by protoc. DO NOT EDIT.\n", True), ('"""Wraps files.\n\nThis module was generated with stubgen.\n"""\nx = 1', True), ("// Generated from schema.idl\n", True), ("/* changes to this file\n * will be lost */\n", True),
+])
+def test_notices_are_about_the_file(text, says):
+    assert authorship.notice(authorship._automaton(), authorship.header(text)) is says
+
+
+def test_a_few_numbered_members_are_no_mark():
+    assert not authorship.serial("\n".join(f"def step_{i}(x):\n    return x + {i}" for i in range(1, 9)))
+    assert not authorship.serial("\n".join(f"COLUMN_{i} = {i * 7}" for i in range(1, 8)))
+    assert authorship.serial("\n".join(f"field_{i:03} = {i * 7}" for i in range(8)))
+    assert authorship.serial("\n".join(f"FIELD_{i} = {i * 7}" for i in range(40)))
+
+
 # ------------------------------------------------------------------ leaks
 
 PASSAGE = "With 152 workers the vector is handed to `eagerWatcher`, while the local ranker waits inside `HotNotebook` for a second backlog. Whoever edits `stitch_vertex` has to adjust it as well, or the window loses its dirty scanner after 1050 steps."
