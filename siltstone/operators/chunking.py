@@ -6,7 +6,6 @@ import ast
 import re
 import warnings
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -185,29 +184,46 @@ _TS = re.compile(
 _TSMETHOD = re.compile(r"^[ \t]+(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*(?P<name>[\w$#]+)\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::[^{;\n]+)?\{", re.M)
 
 
+# What a script holds besides code: comments, strings, regular expressions (only where a value
+# may stand), and the marks that matter outside of them.
+_SKIP = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|[`{}]|/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|/")
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{|\Z)")
+_VALUE_ENDS = re.compile(r"(?:[\w$)\]\"'`}]|\+\+|--)\s*\Z")
+_VALUE_FOLLOWS = re.compile(r"\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|instanceof|yield|await)\s*\Z")
+
+
 def _block_end(text: str, at: int) -> int:
-    """Offset after the bracket that closes the first ``{`` at or after ``at``."""
-    depth, i, quote = 0, text.find("{", at), ""
+    """Offset after the bracket that closes the first ``{`` at or after ``at``.
+
+    Brackets in comments, strings, template texts and regular expressions do not count;
+    those in the holes of templates do.
+    """
+    i = text.find("{", at)
+    open_: list[str] = []
     while 0 <= i < len(text):
-        c = text[i]
-        if quote:
-            if c == "\\":
-                i += 1
-            elif c == quote:
-                quote = ""
-        elif c in "'\"`":
-            quote = c
-        elif text.startswith("//", i):
-            i = text.find("\n", i)
-            if i < 0:
-                break
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                return i + 1
-        i += 1
+        if open_ and open_[-1] == "`":
+            m = _TEMPLATE.match(text, i)
+            i = m.end()
+            if m[1] == "`":
+                open_.pop()
+            elif m[1]:
+                open_.append("${")
+            continue
+        m = _SKIP.search(text, i)
+        if not m:
+            break
+        i, mark = m.end(), m[0]
+        if mark == "{" or mark == "`":
+            open_.append(mark)
+        elif mark == "}":
+            if open_:
+                open_.pop()
+            if not open_:
+                return i
+        elif mark[0] == "/" and mark[1:2] not in ("/", "*"):
+            before = text[max(0, m.start() - 40) : m.start()]
+            if _VALUE_ENDS.search(before) and not _VALUE_FOLLOWS.search(before):
+                i = m.start() + 1  # a division
     return len(text)
 
 
@@ -237,42 +253,25 @@ def script_symbols(text: str) -> list[tuple]:
     return out
 
 
-class _Parts(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=False)
-        self.parts: list[tuple[str, int, str]] = []
-        self.kind, self.line, self.data = None, 0, ""
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            given = dict(attrs)
-            self.kind = "module" if tag == "script" and (given.get("context") == "module" or "module" in given) else tag
-            self.line, self.data = self.getpos()[0], ""
-
-    def handle_data(self, data):
-        if self.kind:
-            self.data += data
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style") and self.kind:
-            self.parts.append((self.kind, self.line, self.data))
-            self.kind = None
+_ELEMENT = re.compile(r"<(script|style)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>([\s\S]*?)(?:</\1\s*>|\Z)", re.I)
+_MODULE = re.compile(r"(?:^|\s)(?:module(?=\s|$)|context\s*=\s*[\"']?module\b)")
 
 
 def markup_parts(text: str, budget: int = 350) -> list[tuple]:
     """Scripts (by symbol), styles and the packed template of a component file."""
-    parser = _Parts()
-    parser.feed(text)
-    parser.close()
     out = []
-    for kind, first, data in parser.parts:
+    for m in _ELEMENT.finditer(text):
+        kind, data = m[1].lower(), m[3]
+        first = text.count("\n", 0, m.start(3)) + 1
+        if kind == "script" and _MODULE.search(m[2]):
+            kind = "module"
         if kind == "style":
             out.append((data, first, first + data.count("\n"), "style", None, None))
             continue
         prefix = "module_" if kind == "module" else "script_"
         for body, a, b, k, name, path in script_symbols(data):
             out.append((body, first + a - 1, first + b - 1, prefix + k, name, path))
-    rest = re.sub(r"<(script|style)\b[\s\S]*?</\1>", lambda m: "\n" * m[0].count("\n"), text).split("\n")
+    rest = _ELEMENT.sub(lambda m: "\n" * m[0].count("\n"), text).split("\n")
     for a, b in pack_lines(rest, budget):
         body = "\n".join(rest[a:b])
         if body.strip():

@@ -143,24 +143,31 @@ EXTRACTORS = {"python": python_graph, "javascript": script_graph, "typescript":
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of ``files(file_id, language, text)``; texts that do not parse have none."""
 
-    def run(which: int, names: list[str]):
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in batches:
-                out = []
-                for row in frame.itertuples(index=False):
-                    try:
-                        found = python_edges(row.text) if which and row.language == "python" else EXTRACTORS[row.language](row.text)[which]
-                    except (SyntaxError, ValueError, RecursionError):
-                        continue
-                    out += [(row.file_id, *x) for x in found]
-                yield pd.DataFrame(out, columns=names)
-
-        return each
+    schema = f"file_id long, node struct<{_fields(NODE)}>, edge struct<{_fields(EDGE)}>"
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for row in frame.itertuples(index=False):
+                try:
+                    nodes, edges = EXTRACTORS[row.language](row.text)
+                    if row.language == "python":
+                        edges = python_edges(row.text)
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+                out += [(row.file_id, dict(zip(names[0], (row.file_id, *x), strict=True)), None) for x in nodes]
+                out += [(row.file_id, None, dict(zip(names[1], (row.file_id, *x), strict=True))) for x in edges]
+            yield pd.DataFrame(out, columns=["file_id", "node", "edge"])
+
+    names = [[c.split()[0] for c in kind.split(", ")] for kind in (NODE, EDGE)]
     some = files.select("file_id", "language", "text").filter(F.col("language").isin(*EXTRACTORS) & F.col("text").isNotNull())
-    nodes = some.mapInPandas(run(0, [c.split()[0] for c in NODE.split(", ")]), NODE)
-    edges = some.mapInPandas(run(1, [c.split()[0] for c in EDGE.split(", ")]), EDGE)
-    return nodes, edges
+    # Each text is parsed once; nodes and edges are read from what was written.
+    rows = cut_lineage(some.mapInPandas(run, schema))
+    return rows.filter("node is not null").select("node.*"), rows.filter("edge is not null").select("edge.*")
+
+
+def _fields(schema: str) -> str:
+    return ", ".join(c.replace(" ", ": ", 1) for c in schema.split(", "))
 
 
 def flows(files: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Vector search: exact blocks, and probing of cluster partitions.
 
-A stated set of queries is compared with all rows. The queries are the small side: they are
-sent to the rows in blocks of a checked size, each partition keeps its k best per query, and
-only those k rows a partition and query are shuffled.
+A stated set of queries is compared with all rows: few queries are broadcast to the rows,
+many are dealt into blocks against blocks of rows. Each task keeps its k best per query, and
+only those k rows a task and query are shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Queries compared in one pass over the rows, which bounds what is broadcast.
 BLOCK = 4096
+#: Rows that are compared with a block of queries in one task, where queries are many.
+CELL = 65_536
 RANKED = "query_id long, id long, distance double"
 
 
@@ -77,55 +79,87 @@ def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
-def _best(metric: str, k: int, shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q, dim = shared.value
-        kept_d = np.full((len(ids), 0), np.inf)
-        kept_i = np.zeros((len(ids), 0), dtype=np.int64)
-        for frame in batches:
-            ok = frame["vector"].map(lambda v: v is not None and len(v) == dim)
-            frame = frame[ok.to_numpy(dtype=bool)]
-            for lo in range(0, len(frame), 4096):
-                part = frame.iloc[lo : lo + 4096]
-                x = np.stack(part["vector"].to_numpy()).astype(np.float64)
-                fine = np.isfinite(x).all(axis=1)
-                x, own = x[fine], part["id"].to_numpy()[fine]
-                d = np.concatenate([kept_d, distances(metric, q, x)], axis=1)
-                i = np.concatenate([kept_i, np.broadcast_to(own, (len(ids), len(own)))], axis=1)
-                # Ties go to the smaller id.
-                order = np.lexsort((i, np.round(d, 12)), axis=1)[:, :k]
-                kept_d, kept_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        n = kept_d.shape[1]
-        yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": kept_i.ravel(), "distance": kept_d.ravel()})
+def _closest(metric: str, k: int, ids: np.ndarray, q: np.ndarray, frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The k best of some rows for each query; ties go to the smaller id."""
+    kept_d = np.full((len(ids), 0), np.inf)
+    kept_i = np.zeros((len(ids), 0), dtype=np.int64)
+    for frame in frames:
+        ok = frame["vector"].map(lambda v: v is not None and len(v) == q.shape[1])
+        frame = frame[ok.to_numpy(dtype=bool)]
+        for lo in range(0, len(frame), 4096):
+            part = frame.iloc[lo : lo + 4096]
+            x = np.stack(part["vector"].to_numpy()).astype(np.float64)
+            fine = np.isfinite(x).all(axis=1)
+            x, own = x[fine], part["id"].to_numpy()[fine]
+            d = np.concatenate([kept_d, distances(metric, q, x)], axis=1)
+            i = np.concatenate([kept_i, np.broadcast_to(own, (len(ids), len(own)))], axis=1)
+            if d.shape[1] > 4 * k:
+                # Whatever is not farther than the k-th nearest stays, ties with it too.
+                rounded = np.round(d, 12)
+                far = rounded > np.partition(rounded, k - 1, axis=1)[:, k - 1 : k]
+                width = int((~far).sum(axis=1).max())
+                near = np.argsort(far, axis=1, kind="stable")[:, :width]
+                d, i = np.where(np.take_along_axis(far, near, 1), np.inf, np.take_along_axis(d, near, 1)), np.take_along_axis(i, near, 1)
+            order = np.lexsort((i, np.round(d, 12)), axis=1)[:, :k]
+            kept_d, kept_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+    n = kept_d.shape[1]
+    out = pd.DataFrame({"query_id": np.repeat(ids, n), "id": kept_i.ravel(), "distance": kept_d.ravel()})
+    return out[np.isfinite(out["distance"])]
+
+
+def _by_length(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries of each length."""
+    for _, same in frame.groupby(frame["vector"].map(len)):
+        yield same["query_id"].to_numpy(dtype=np.int64), np.stack(same["vector"].to_numpy()).astype(np.float64)
+
+
+def _cell(metric: str, k: int):
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [_closest(metric, k, ids, q, iter([left])) for ids, q in _by_length(right)] if len(left) and len(right) else []
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "distance": []})
 
     return run
 
 
-def exact(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
+def exact(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """Rows ``query_id, id, distance, rank``: the k nearest of ``rows(id, vector)``.
 
     Null, empty, non-finite and wrongly sized vectors take no part. Equal distances rank by
     the smaller id. Filters belong before this operator, not after it.
+
+    Up to ``block`` queries are broadcast to the rows where they lie. More stay distributed:
+    queries and rows are dealt into blocks by hash, and each pair of blocks is one task of
+    at most about ``block`` queries and ``cell`` rows.
     """
     spark = rows.sparkSession
-    asked = [(int(r["query_id"]), r["vector"]) for r in queries.select("query_id", "vector").filter("vector is not null").distinct().toLocalIterator()]
-    out = None
-    for dim in sorted({len(v) for _, v in asked if len(v)}):
-        same = [(i, v) for i, v in asked if len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
-        for lo in range(0, len(same), block):
-            part = same[lo : lo + block]
-            shared = spark.sparkContext.broadcast((np.array([i for i, _ in part], dtype=np.int64), np.array([v for _, v in part], dtype=np.float64), dim))
-            found = rows.select(F.col("id").cast("long").alias("id"), "vector").mapInPandas(_best(metric, k, shared), RANKED)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], RANKED)
+    good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").filter("query_id is not null and size(vector) > 0").filter(good).distinct()
+    items = rows.select(F.col("id").cast("long").alias("id"), "vector").filter("id is not null and size(vector) > 0")
+    count = asked.count()
+    if count <= block:
+        shared = spark.sparkContext.broadcast(list(_by_length(asked.toPandas())) if count else [])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            frames = list(batches) if len(shared.value) > 1 else batches
+            for ids, q in shared.value:
+                yield _closest(metric, k, ids, q, iter(frames))
+
+        out = items.mapInPandas(run, RANKED)
+    else:
+        q_blocks, r_blocks = -(-count // block), max(1, -(-items.count() // cell))
+        left = items.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(r_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+        right = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).cast("long"))
+        out = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(_cell(metric, k), RANKED)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), "id"))
     return out.distinct().withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def clusters(rows: DataFrame, count: int, sample_rows: int = 20_000, rounds: int = 8, seed: int = 3) -> np.ndarray:
     """Centres of ``count`` clusters, fitted on a bounded sample of the rows."""
-    sample = rows.select("id", "vector").orderBy(F.xxhash64("id")).limit(sample_rows).toPandas()
+    # Rows by the smallest hashes of their ids; a bound on the hash leaves few to sort.
+    share = min(1.0, 1.2 * sample_rows / max(1, rows.count()))
+    few = rows.select("id", "vector").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    sample = few.orderBy(F.xxhash64("id")).limit(sample_rows).toPandas()
     x = np.stack(sample["vector"].to_numpy()).astype(np.float64)
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), min(count, len(x)), replace=False)]

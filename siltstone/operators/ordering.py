@@ -28,8 +28,11 @@ def moving(rows: DataFrame, key: str, name: str, value: Column, back: int, block
     """``value`` (an aggregate) over each row and the ``back`` rows before it, as ``name``.
 
     ``rows`` are numbered. They are cut into blocks; the last rows of a block are also sent
-    to the next one, so that every window lies within one block.
+    to the next one, so that every window lies within one block. A window may not be longer
+    than a block.
     """
+    if not 0 <= back <= block:
+        raise ValueError(f"a window of {back} rows before a row does not fit into blocks of {block}")
     here = F.floor(F.col("i") / block)
     late = (F.col("i") % block >= block - back) & (back > 0)
     own, halo = F.struct(here.alias("b"), F.lit(False).alias("h")), F.struct((here + 1).alias("b"), F.lit(True).alias("h"))

@@ -39,14 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints, shared by all executors.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests,
-    a laptop) a local folder is chosen.
+    The cluster names it in ``spark.checkpoint.dir``; only in local mode (tests, a laptop),
+    where it is unset, a local folder is chosen.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = named or os.path.join(tempfile.gettempdir(), "siltstone-checkpoints")
     sc.setCheckpointDir(folder)
     return folder

@@ -1,5 +1,6 @@
 """Operators on small inputs: expected values, brute force, and odd inputs."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -417,3 +418,29 @@ def test_positions_and_moving_windows(spark):
         mine = sorted(i for n, i in enumerate(ids) if ("a" if n % 3 else "b") == k)
         for place, i in enumerate(mine):
             assert got[(k, i)] == (place, len(mine), sum(x % 11 for x in mine[max(0, place - 4) : place + 1]))
+
+
+def test_block_ends_skip_comments_patterns_and_templates():
+    for body in ["/* don't { */", "// it's {", "const r = /['\"{]/;", "const t = `a } ${f({b: '}'})} {`;", "const d = a / b; const e = '{';", "return /}/.test(x);"]:
+        text = f"function a() {{\n  {body}\n}}\nfunction b() {{\n}}\n"
+        got = {r[4]: (r[1], r[2]) for r in chunking.script_symbols(text)}
+        assert got["a"] == (1, 3) and got["b"] == (4, 5), body
+
+
+def test_many_queries_stay_distributed(spark):
+    from siltstone.operators import knn
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(300)] + [(900, None), (901, [])]
+    df = spark.createDataFrame(rows, "id long, vector array<float>")
+    asked = df.withColumnRenamed("id", "query_id")
+    few = {tuple(r) for r in knn.exact(df, asked, 4).collect()}
+    many = {tuple(r) for r in knn.exact(df, asked, 4, block=64, cell=100).collect()}
+    assert len(few) == 1200 and {(a, b, r) for a, b, _, r in few} == {(a, b, r) for a, b, _, r in many}
+
+
+def test_moving_windows_fit_into_a_block(spark):
+    from siltstone.operators import ordering
+
+    with pytest.raises(ValueError):
+        ordering.moving(spark.range(3).withColumnRenamed("id", "i"), "i", "x", F.sum("i"), 10, block=5)
