@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
@@ -78,7 +78,7 @@ class _Parser:
     """query := or; or := and (OR and)*; and := not ((AND)? not)*; not := NOT? leaf."""
 
     def __init__(self, query: str):
-        self.tokens = re.findall(r'"[^"]*"|\(|\)|[^\s()"]+', query)
+        self.tokens = re.findall(r'NEAR\([^()]*\)|"[^"]*"|\(|\)|[^\s()"]+', query)
         self.at = 0
 
     def peek(self) -> str | None:
@@ -113,14 +113,29 @@ class _Parser:
             if self.peek() == ")":
                 self.take()
             return node
+        if token.startswith("NEAR("):
+            inner, _, gap = token[5:-1].partition(",")
+            return ("near", re.findall(r"[^\W_]+", inner.lower()), int(gap) if gap.strip().isdigit() else 10)
         found = re.findall(r"[^\W_]+", token.lower())
         if token.startswith('"') and len(found) > 1:
             return ("phrase", found)
         return ("prefix" if token.endswith("*") else "term", found[0] if found else "")
 
 
+def _places(col: Column, term: str) -> Column:
+    return F.filter(F.transform(col, lambda w, i: F.when(w == term, i)), lambda i: i.isNotNull())
+
+
+def _close(a: Column, b: Column, most: int) -> Column:
+    """Whether some place of one list lies at most ``most`` from some place of the other."""
+    return F.exists(a, lambda x: F.exists(b, lambda y: F.abs(x - y) <= most))
+
+
 def matching(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Ids of the documents that match a boolean query with phrases and prefixes.
+    """Ids of the documents that match a boolean query with phrases, prefixes and NEAR(a b, n).
+
+    NEAR holds where each word has the next one within ``n`` words in between (10 if not
+    said), in either order.
 
     The query is folded into one predicate over each document's words, so no set of ids is
     shuffled however many operators it has.
@@ -140,6 +155,12 @@ def matching(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "t
             return cond(node[1]) & ~cond(node[2])
         if kind == "term":
             return F.array_contains(col, node[1])
+        if kind == "near":
+            places = [_places(col, t) for t in node[1]]
+            held = F.size(places[0]) > 0 if places else F.lit(False)
+            for a, b in zip(places, places[1:], strict=False):
+                held = held & _close(a, b, node[2] + 1)
+            return held
         if kind == "prefix":
             return F.exists(col, lambda w: w.startswith(node[1]))
         return F.contains(F.concat(F.lit(" "), F.concat_ws(" ", col), F.lit(" ")), F.lit(" " + " ".join(node[1]) + " "))

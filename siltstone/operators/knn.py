@@ -147,8 +147,8 @@ def exact(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosin
         out = items.mapInPandas(run, RANKED)
     else:
         q_blocks, r_blocks = -(-count // block), max(1, -(-items.count() // cell))
-        left = items.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(r_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        right = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).cast("long"))
+        left = items.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(r_blocks).cast("long"))).withColumn("qb", F.explode(F.expr(f"sequence(0L, {q_blocks - 1}L)")))
+        right = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks).cast("long"))).withColumn("rb", F.explode(F.expr(f"sequence(0L, {r_blocks - 1}L)")))
         out = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(_cell(metric, k), RANKED)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), "id"))
     return out.distinct().withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import changes, merge
-from ..session import table
+from ..operators import changes, indexer, merge
+from ..session import cut_lineage, table
 from . import tables as T
 
 QUERIES, ORACLES = {}, {}
@@ -182,3 +182,45 @@ def hydrate_pref_model(spark, d):
     """The preferred model of a content, else the first by name."""
     r = T.vectors(spark, d, "text_hash", "embed_model").groupBy("text_hash", "embed_model").agg(F.count("*").alias("n"))
     return merge.latest(r, ["text_hash"], F.when(F.col("embed_model") == "large", 0).otherwise(1), F.col("embed_model"))
+
+
+OLD = """f AS (SELECT DISTINCT file_id, repo, path, text FROM files WHERE file_id IS NOT NULL AND text IS NOT NULL), ch AS (SELECT DISTINCT repo, path, change_type FROM pending_changes),
+    o AS (SELECT file_id, CASE WHEN bool_or(change_type = 'modified') THEN 'modified' ELSE 'unchanged' END AS action, coalesce(bool_or(change_type = 'created'), false) AS made FROM f LEFT JOIN ch USING (repo, path) GROUP BY file_id, text)"""
+
+
+def _before(spark, d):
+    """The files as they were before the pending changes: created ones absent, modified ones older."""
+    f = table(spark, d, "files").select("file_id", "repo", "path", "text").filter("file_id is not null and text is not null").distinct()
+    ch = table(spark, d, "pending_changes").groupBy("repo", "path").agg(F.bool_or(F.col("change_type") == "created").alias("made"), F.bool_or(F.col("change_type") == "modified").alias("modified"))
+    joined = f.join(ch, ["repo", "path"], "left")
+    old = joined.filter(~F.coalesce("made", F.lit(False))).withColumn("text", F.when(F.col("modified"), F.concat("text", F.lit("\n# before"))).otherwise(F.col("text")))
+    return f, old.select("file_id", "repo", "path", "text")
+
+
+@query(f"WITH {OLD} SELECT file_id, CASE WHEN made THEN 'added' ELSE action END AS action FROM o")
+def index_plan(spark, d):
+    """What an incremental run has to do for each file."""
+    now, before = _before(spark, d)
+    held = before.select("file_id", X.text_hash(F.col("text")).alias("file_hash"))
+    return indexer.plan(now, held)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra")
+def index_incremental(spark, d):
+    """An index brought up to date by the changes differs in no row from one built anew."""
+    now, before = _before(spark, d)
+    key = ["file_id", "file_hash", "ordinal", "start_line", "end_line", "text_hash", F.col("vector").cast("string").alias("vector")]
+    updated = indexer.update(now, cut_lineage(indexer.build(before))).select(*key).withColumn("u", F.lit(1))
+    anew = indexer.build(now).select(*key).withColumn("a", F.lit(1))
+    sides = updated.unionByName(anew, allowMissingColumns=True).groupBy(*[k if isinstance(k, str) else "vector" for k in key]).agg(F.count("u").alias("u"), F.count("a").alias("a"))
+    return sides.agg(F.coalesce(F.sum(F.greatest(F.col("a") - F.col("u"), F.lit(0))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.greatest(F.col("u") - F.col("a"), F.lit(0))), F.lit(0)).alias("extra"))
+
+
+@query("""WITH c AS (SELECT text_hash, min(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY text_hash), w AS (SELECT text_hash, list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: md5(x)[1]) AS d FROM c),
+    n AS (SELECT text_hash, list_transform(['0','1','2','3','4','5','6','7','8','9','a','b','c','d','e','f'], lambda h: CAST(len(list_filter(d, lambda x: x = h)) AS DOUBLE)) AS n FROM w), s AS (SELECT *, sqrt(list_sum(list_transform(n, lambda x: x * x))) AS norm FROM n)
+    SELECT text_hash, round(CASE WHEN norm > 0 THEN n[1] / norm ELSE 0 END, 5) AS first, round(CASE WHEN norm > 0 THEN list_max(n) / norm ELSE 0 END, 5) AS largest FROM s""")
+def embed_contents(spark, d):
+    """H4: built-in vectors of all distinct contents."""
+    c = table(spark, d, "chunks").filter("text is not null").groupBy("text_hash").agg(F.min("text").alias("text"))
+    v = c.select("text_hash", indexer.hashed(F.col("text")).alias("vector"))
+    return v.select("text_hash", F.round(F.col("vector")[0], 5).alias("first"), F.round(F.array_max("vector"), 5).alias("largest"))

@@ -28,14 +28,14 @@ WELL = "(CASE embed_model WHEN 'small' THEN len(vector) = 64 ELSE len(vector) =
 COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 
-def small(spark, d):
-    """Well-formed vectors of the small model."""
-    v = T.vectors(spark, d, "embed_model", "repo", "path", "text_hash", "vector").filter("embed_model = 'small' and size(vector) = 64")
+def well_formed(spark, d):
+    """Well-formed vectors of all models; those of two models differ in length and never meet."""
+    v = T.vectors(spark, d, "embed_model", "repo", "path", "text_hash", "vector").filter("size(vector) = case embed_model when 'small' then 64 when 'large' then 96 end")
     good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)
     return v.filter(good).withColumnRenamed("vec_id", "id")
 
 
-SMALL = f"s AS (SELECT vec_id AS id, repo, path, text_hash, vector FROM v WHERE embed_model = 'small' AND vector IS NOT NULL AND {WELL})"
+ALL = f"s AS (SELECT vec_id AS id, embed_model, repo, path, text_hash, vector FROM v WHERE embed_model IN ('small', 'large') AND vector IS NOT NULL AND {WELL})"
 
 
 @query(f"""WITH e AS (SELECT vec_id AS id, embedding AS vector FROM embeddings), r AS (SELECT q.id AS query_id, e.id, 1 - {COS.format(a='q.vector', b='e.vector')} AS x FROM e, e q WHERE q.id % 20 = 0),
@@ -56,11 +56,11 @@ def knn_l2_score(spark, d):
     return found.select("query_id", "id", F.round(S.distance_score(F.col("distance")), 6).alias("score"), "rank")
 
 
-@query(f"""WITH {T.VECTORS}, {SMALL}, r AS (SELECT q.id AS query_id, s.id, 1 - {COS.format(a='q.vector', b='s.vector')} AS x FROM s, s q WHERE q.id % 20 = 0 AND s.repo <> 'atlas-mono'),
+@query(f"""WITH {T.VECTORS}, {ALL}, r AS (SELECT q.id AS query_id, s.id, 1 - {COS.format(a='q.vector', b='s.vector')} AS x FROM s JOIN s q ON s.embed_model = q.embed_model WHERE q.id % 20 = 0 AND s.repo <> 'atlas-mono'),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 12), id) AS rank FROM r) SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 8""")
 def knn_filtered(spark, d):
     """The repository filter stands before the search, so no page comes up short."""
-    s = small(spark, d)
+    s = well_formed(spark, d)
     found = knn.exact(s.filter("repo <> 'atlas-mono'"), s.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), 8)
     return found.select("query_id", "id", "rank")
 
@@ -109,6 +109,14 @@ def phrase_search(spark, d):
     return fulltext.matching(docs, 'umber OR "holds the lock"')
 
 
+@query("""WITH w AS (SELECT DISTINCT doc_id AS id, unnest(range(len(t))) AS i, unnest(t) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents WHERE text IS NOT NULL))
+    SELECT DISTINCT a.id FROM w a JOIN w b ON a.id = b.id AND a.w = 'tests' AND b.w = 'fixtures' AND abs(a.i - b.i) <= 7""")
+def near_search(spark, d):
+    """Two words with at most six between them."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").filter("text is not null")
+    return fulltext.matching(docs, "NEAR(tests fixtures, 6)")
+
+
 @query()
 def bm25_stemmed(spark, d):
     """B1 with stems: only the distinct terms pass through Python."""
@@ -227,13 +235,13 @@ def ir_metrics(spark, d):
 
 
 PART = "array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace({p}, '\\.[^/\\\\]+$', '')), '[/\\\\]'), lambda w: w <> ''), ' ')"
-HYBRID = f"""{T.VECTORS}, {T.CHUNKS}, {SMALL}, q AS (SELECT id AS query_id, {PART.format(p='path')} AS query, vector FROM s WHERE id % 20 = 0),
-    docs AS (SELECT text_hash, min(chunk_id) AS id, min(text) AS text FROM c GROUP BY text_hash), vd AS (SELECT text_hash, min(id) AS vid FROM s GROUP BY text_hash),
+HYBRID = f"""{T.VECTORS}, {T.CHUNKS}, {ALL}, q AS (SELECT id AS query_id, {PART.format(p='path')} AS query, embed_model, vector FROM s WHERE id % 20 = 0),
+    docs AS (SELECT text_hash, min(chunk_id) AS id, min(text) AS text FROM c GROUP BY text_hash), vd AS (SELECT embed_model, text_hash, min(id) AS vid FROM s GROUP BY embed_model, text_hash),
     tok AS (SELECT id, unnest({TOK.format(t='text')}) AS term FROM docs), post AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL), len AS (SELECT id, sum(tf) AS len FROM post GROUP BY id),
     st AS (SELECT count(*) AS n, avg(len) AS a FROM len), qt AS (SELECT DISTINCT query_id, unnest({TOK.format(t='query')}) AS term FROM q), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
     bm AS (SELECT qt.query_id, post.id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 9) AS score FROM qt JOIN post USING (term) JOIN df USING (term) JOIN len ON len.id = post.id CROSS JOIN st GROUP BY ALL),
     b AS (SELECT query_id, 1 AS list_no, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm),
-    vx AS (SELECT q.query_id, s.id AS vid, row_number() OVER (PARTITION BY q.query_id ORDER BY round(1 - {COS.format(a='q.vector', b='s.vector')}, 12), s.id) AS rank FROM q, s),
+    vx AS (SELECT q.query_id, s.id AS vid, row_number() OVER (PARTITION BY q.query_id ORDER BY round(1 - {COS.format(a='q.vector', b='s.vector')}, 12), s.id) AS rank FROM q JOIN s ON q.embed_model = s.embed_model),
     vr AS (SELECT query_id, 2 AS list_no, docs.id, vx.rank FROM vx JOIN vd ON vd.vid = vx.vid JOIN docs ON docs.text_hash = vd.text_hash WHERE vx.rank <= 40),
     fu AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, list_no, id, rank FROM b WHERE rank <= 40 UNION ALL SELECT query_id, list_no, id, rank FROM vr) GROUP BY ALL),
     fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM fu)"""
@@ -246,13 +254,13 @@ def hybrid_search(spark, d):
     The stated queries are the vectors whose id 20 divides; their texts are the words of
     their paths. Forty candidates of each list are fused, ten are kept above the cutoff.
     """
-    s = small(spark, d)
+    s = well_formed(spark, d)
     docs = T.chunks(spark, d, "text_hash", "text").groupBy("text_hash").agg(F.min("chunk_id").alias("id"), F.min("text").alias("text"))
     asked = s.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", X.path_parts(F.col("path"))).alias("query"), "vector")
     text = fulltext.bm25(fulltext.build(docs), asked).withColumn("score", F.round("score", 9))
     one = fusion.cut(text, 40).select("query_id", F.lit(1).alias("list_no"), "rank", "id", "score")
     near = knn.exact(s.select("id", "vector"), asked, 40)
-    to_content = s.groupBy("text_hash").agg(F.min("id").alias("vid")).join(docs.select("text_hash", "id"), "text_hash")
+    to_content = s.groupBy("embed_model", "text_hash").agg(F.min("id").alias("vid")).join(docs.select("text_hash", "id"), "text_hash")
     two = near.withColumnRenamed("id", "vid").join(to_content, "vid").select("query_id", F.lit(2).alias("list_no"), "rank", "id", F.col("distance").alias("score"))
     fused = fusion.reciprocal_rank(one.unionByName(two), 60, 10).filter("score >= 0.005")
     return fused.select("query_id", "id", F.round("score", 9).alias("score"), "rank")

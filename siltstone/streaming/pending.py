@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.merge import upsert
-from ..sources.versions import VersionedTable
+from ..operators.filters import ignored
+from ..sources.versions import BucketedTable
 
 EVENTS = "id long, repo string, path string, change_type string, detected_at timestamp"
 PENDING = "repo string, path string, change_type string, n_events long, last_detected_at timestamp"
@@ -33,6 +33,12 @@ def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     yield pd.DataFrame({"repo": [key[0]], "path": [key[1]], "change_type": [kind], "n_events": [n], "last_detected_at": [at]})
 
 
+def relevant(events: DataFrame, patterns: tuple[str, ...] = ()) -> DataFrame:
+    """Events outside version control's own directory and outside the ignored patterns."""
+    kept = events.filter("path is not null and not (path rlike '(^|/)[.]git(/|$)')")
+    return kept.filter(~ignored(F.col("path"), patterns)) if patterns else kept
+
+
 def coalesced(events: DataFrame, late: str = "7 days") -> DataFrame:
     """The pending change of each path that a batch touches, kept in state by (repo, path).
 
@@ -43,14 +49,16 @@ def coalesced(events: DataFrame, late: str = "7 days") -> DataFrame:
     return fresh.groupBy("repo", "path").applyInPandasWithState(_update, PENDING, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def merge_into(table: VersionedTable, keys: tuple[str, ...] = ("repo", "path")):
-    """A ``foreachBatch`` function that merges each batch; a batch that comes again changes nothing."""
+def merge_into(table: BucketedTable):
+    """A ``foreachBatch`` function that merges each batch; a batch that comes again changes nothing.
+
+    Only the buckets of the table that a batch touches are written.
+    """
+    keys = table.keys
 
     def run(batch: DataFrame, _epoch: int) -> None:
         batch = batch.groupBy(*keys).agg(F.max(F.struct("n_events", *[c for c in batch.columns if c not in (*keys, "n_events")])).alias("_r"))
-        batch = batch.select(*keys, "_r.*")
-        merged = batch if table.current() is None else upsert(table.read().select(*batch.columns), batch, keys)
-        table.replace(merged)
+        table.merge(batch.select(*keys, "_r.*"))
 
     return run
 

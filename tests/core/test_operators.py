@@ -444,3 +444,27 @@ def test_moving_windows_fit_into_a_block(spark):
 
     with pytest.raises(ValueError):
         ordering.moving(spark.range(3).withColumnRenamed("id", "i"), "i", "x", F.sum("i"), 10, block=5)
+
+
+@pytest.mark.parametrize("query,found", [("NEAR(alpha beta, 1)", {1, 2}), ("NEAR(alpha beta)", {1, 2, 3}), ("NEAR(alpha beta, 0) OR gamma", {2, 4}), ("NEAR(alpha missing, 5)", set())])
+def test_near(spark, query, found):
+    docs = spark.createDataFrame([(1, "alpha x beta"), (2, "Beta, alpha"), (3, "alpha a b c d beta"), (4, "gamma"), (5, None), (6, "")], "id long, text string")
+    assert {r["id"] for r in fulltext.matching(docs, query).collect()} == found
+
+
+def test_incremental_index_equals_a_full_one(spark):
+    from siltstone.operators import indexer
+
+    def provider(texts):
+        return np.array([[len(t), t.count("a")] for t in texts], dtype=np.float32)
+
+    before = spark.createDataFrame([(1, "r", "a.py", "def a():\n    return 1\n"), (2, "r", "b.md", "# B\n\ntext a\n"), (3, "r", "c.txt", "gone"), (5, "r", "e.py", None)], "file_id long, repo string, path string, text string")
+    now = spark.createDataFrame([(1, "r", "a.py", "def a():\n    return 2\n"), (2, "r", "b.md", "# B\n\ntext a\n"), (4, "r", "d.py", "def a():\n    return 1\n"), (5, "r", "e.py", None)], "file_id long, repo string, path string, text string")
+    for p in (None, provider):
+        index = indexer.build(before, provider=p)
+        assert {(r["file_id"], r["action"]) for r in indexer.plan(now, index).collect()} == {(1, "modified"), (2, "unchanged"), (3, "deleted"), (4, "added")}
+        got, want = indexer.update(now, index, p), indexer.build(now, provider=p)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 3
+    assert indexer.build(before.limit(0)).count() == 0
+    lengths = {round(sum(x * x for x in r["vector"]), 4) for r in indexer.embed(before.select("text")).filter("vector is not null").collect()}
+    assert lengths == {1.0}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import changes
 from siltstone.sources import repositories
-from siltstone.sources.versions import VersionedTable
+from siltstone.sources.versions import BucketedTable, VersionedTable
 from siltstone.streaming import pending
 
 
@@ -41,11 +41,30 @@ def test_versions_swap(spark, tmp_path):
     assert (before.count(), t.read().count()) == (3, 5)
 
 
+def test_merges_write_only_touched_buckets(spark, tmp_path):
+    t = BucketedTable(spark, str(tmp_path / "t"), ("k",), 16)
+    with pytest.raises(FileNotFoundError):
+        t.read()
+    t.merge(spark.range(100).select(F.col("id").alias("k"), F.lit(1).alias("v")))
+    before = dict(t._content()["buckets"])
+    touched = t.merge(spark.createDataFrame([(7, 2), (200, 2)], "k long, v int"))
+    after = t._content()["buckets"]
+    assert len(touched) <= 2 and {b for b in after if after[b] != before.get(b)} == set(touched)
+    rows = {r["k"]: r["v"] for r in t.read().collect()}
+    assert len(rows) == 101 and rows[7] == rows[200] == 2 and rows[8] == 1
+    assert t.merge(spark.createDataFrame([], "k long, v int")) == [] and t.read().count() == 101
+
+
+def test_events_of_version_control_are_left_out(spark):
+    df = spark.createDataFrame([("a.py",), (".git/HEAD",), ("x/.git/y",), ("dist/z.js",), (None,)], "path string")
+    assert {r["path"] for r in pending.relevant(df, ("dist",)).collect()} == {"a.py"}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, "r", f"p{i % 3}", kind, dt.datetime(2024, 1, 1, 0, i)) for i, kind in enumerate(["created", "modified", "deleted", "deleted", "modified", "modified", "modified", "created"])]
     events = spark.createDataFrame(rows, pending.EVENTS)
     events.filter("id < 4").coalesce(1).write.parquet(str(tmp_path / "in"))
-    table = VersionedTable(spark, str(tmp_path / "out"))
+    table = BucketedTable(spark, str(tmp_path / "out"), ("repo", "path"), 8)
 
     def drain():
         stream = spark.readStream.schema(pending.EVENTS).parquet(str(tmp_path / "in"))
