@@ -151,8 +151,6 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             for row in frame.itertuples(index=False):
                 try:
                     nodes, edges = EXTRACTORS[row.language](row.text)
-                    if row.language == "python":
-                        edges = python_edges(row.text)
                 except (SyntaxError, ValueError, RecursionError):
                     continue
                 out += [(row.file_id, dict(zip(names[0], (row.file_id, *x), strict=True)), None) for x in nodes]
@@ -188,10 +186,16 @@ def flows(files: DataFrame) -> DataFrame:
 
 
 def import_candidates(module: Column, importer: Column) -> Column:
-    """Paths that an import may mean, in order: a module and its package in Python, relative
-    paths with the usual suffixes in scripts. None for other script imports."""
-    python = F.array(F.concat(F.replace(module, F.lit("."), F.lit("/")), F.lit(".py")), F.concat(F.replace(module, F.lit("."), F.lit("/")), F.lit("/__init__.py")))
+    """Paths that an import may mean, in order: a module and its package in Python (leading
+    dots name the importer's package and those above it), relative paths with the usual
+    suffixes in scripts. None for other script imports."""
     folder = F.regexp_replace(importer, r"/?[^/]*$", "")
+    named = F.regexp_replace(module, r"^\.+", "")
+    up = F.length(module) - F.length(named)
+    above = F.filter(F.split(folder, "/"), lambda p: p != "")
+    package = F.when(up > 0, F.slice(above, F.lit(1), F.greatest(F.size(above) - up + 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    place = F.concat_ws("/", package, F.nullif(F.replace(named, F.lit("."), F.lit("/")), F.lit("")))
+    python = F.filter(F.array(F.when(named != "", F.concat(place, F.lit(".py"))), F.concat(place, F.when(place != "", F.lit("/")).otherwise(F.lit("")), F.lit("__init__.py"))), lambda p: p.isNotNull())
     # Steps of a relative path: a part and the ".." after it cancel out.
     joined = F.filter(F.split(F.concat_ws("/", folder, module), "/"), lambda p: (p != ".") & (p != ""))
     folded = F.aggregate(joined, F.array().cast("array<string>"), lambda s, p: F.when(p == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.array_append(s, p)))

@@ -257,6 +257,8 @@ def test_import_candidates(spark):
     assert one(spark, graph.import_candidates(F.lit("a.b"), F.lit("x.py"))) == ["a/b.py", "a/b/__init__.py"]
     assert "src/lib/u.ts" in one(spark, graph.import_candidates(F.lit("../lib/u"), F.lit("src/app/x.ts")))
     assert one(spark, graph.import_candidates(F.lit("react"), F.lit("x.ts"))) is None
+    assert one(spark, graph.import_candidates(F.lit("..io.read"), F.lit("app/core/x.py"))) == ["app/io/read.py", "app/io/read/__init__.py"]
+    assert one(spark, graph.import_candidates(F.lit("."), F.lit("app/core/x.py"))) == ["app/core/__init__.py"]
 
 
 def test_import_edges_and_base_classes(spark, tmp_path):
