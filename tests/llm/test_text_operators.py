@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.llm import authorship, leakage, pack, secrets, split, validity, words
+from siltstone.llm import authorship, leakage, pack, secrets, split, validity
+from siltstone.llm import words as hashing
 from siltstone.llm.common import TOKEN, extension, token_starts
 
 LIMITS = [(".py", "python", 20, 4), (".md", "markdown", 12, 3), (None, "text", 10, 2), (".json", "json", 50, 5), (".js", "javascript", 50, 5), (".ts", "typescript", 50, 5), (".toml", "toml", 50, 5), (".sh", "shell", 50, 5)]
@@ -375,9 +376,9 @@ def test_leaks(spark):
 def test_words_agree_with_a_pattern():
     pattern = re.compile(r"[^\W_]+(?:_+[^\W_]+)*")
     texts = ["__a__b_ _c__d_", "", "_", "a_", "x_y__z 1_2 Été foo_", "a <b>c</b> &amp; &#96;q&#96;", "\n\na\n", "Foo_bar BAZ", "foo_BAR baz"]
-    hashes, owner = words.words(texts)
+    hashes, owner = hashing.words(texts)
     for k, t in enumerate(texts):
-        assert (owner == k).sum() == len(pattern.findall(words.plain(t).lower()))
+        assert (owner == k).sum() == len(pattern.findall(hashing.plain(t).lower()))
     assert hashes[owner == 7].tolist() == hashes[owner == 8].tolist()
 
 
