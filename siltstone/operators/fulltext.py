@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import cut_lineage
+from .knn import keep_best
 
 K1, B = 1.2, 0.75
 #: Rows of query terms that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: The same for ``best``, which broadcasts numbers, not words.
+BEST_ROWS = 2_000_000
+#: Documents that ``best`` scores at a time, at first and at most; queries whose candidates it keeps at a time.
+FIRST, MOST, ASKED = 8192, 32_768, 1024
 
 
 @dataclass
@@ -62,6 +73,179 @@ def bm25(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> Data
     return scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
+def _counted(vocabulary: pa.Array):
+    """Batches of ``id, words`` as ``id, len, terms, tfs`` with the numbers of known terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            term = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(size)), size)[term >= 0]
+            key, tf = np.unique(doc * len(vocabulary) + term[term >= 0], return_counts=True)
+            doc, term = np.divmod(key, max(1, len(vocabulary)))
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(size)))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (term, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *lists], ["id", "len", "terms", "tfs"])
+
+    return run
+
+
+def _postings(terms: pa.Array, tfs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term, position of the document and frequency, by term; repeated terms add up."""
+    doc = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+    key, tf = terms.flatten().to_numpy().astype(np.int64) * max(1, len(terms)) + doc, tfs.flatten().to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, first = np.unique(key[order], return_index=True)
+    tf = np.add.reduceat(tf[order].astype(np.int64), first) if len(first) else tf
+    return *np.divmod(key, max(1, len(terms))), tf
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by term; -1 stands for those with any word, -2 for all words."""
+    for batch in batches:
+        size = batch.column(1).to_numpy()
+        term, n = np.unique(_postings(batch.column(2), batch.column(3))[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], term]), pa.int64()), pa.array(np.concatenate([[(size > 0).sum(), size.sum()], n]), pa.int64())], ["term", "n"])
+
+
+class _Best:
+    """The k best documents of each query among those added; equal scores go to the smaller id.
+
+    ``start`` and ``term`` are the terms of each query. A document is passed over only if the
+    greatest weights that its block has for the query's terms cannot reach the k-th best.
+    """
+
+    def __init__(self, k: int, start: np.ndarray, term: np.ndarray, idf: np.ndarray, average: float, k1: float, b: float):
+        self.k, self.idf, self.average, self.k1, self.b = k, idf, average, k1, b
+        # Rare terms first: they raise the score most and meet the fewest documents.
+        of = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        self.start, self.term = start, term[np.lexsort((term, -idf[term], of))]
+        self.kept, self.own = np.full((len(start) - 1, k), np.inf), np.zeros((len(start) - 1, k), dtype=np.int64)
+
+    def add(self, ids: np.ndarray, size: np.ndarray, terms: pa.Array, tfs: pa.Array) -> None:
+        term, doc, tf = _postings(terms, tfs)
+        if not len(term):
+            return
+        weight = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * size[doc] / self.average))
+        here, first = np.unique(term, return_index=True)
+        top, lo, hi = np.zeros(len(self.idf)), np.zeros(len(self.idf), dtype=np.int64), np.zeros(len(self.idf), dtype=np.int64)
+        top[here], lo[here], hi[here] = np.maximum.reduceat(weight, first), first, np.append(first[1:], len(term))
+        most = np.add.reduceat(top[self.term], self.start[:-1])
+        # Scores count as rounded to nine digits, so what is less by more than that is less.
+        least = -self.kept.max(axis=1) - 1e-8
+        score, found = np.zeros(len(ids)), []
+        dense: dict[int, np.ndarray] = {}
+
+        def whole(t: int) -> np.ndarray | None:
+            """The weights of a term for all documents of the block, if many hold it."""
+            if t not in dense and 8 * (hi[t] - lo[t]) > len(ids):
+                dense[t] = np.zeros(len(ids))
+                dense[t][doc[lo[t] : hi[t]]] = weight[lo[t] : hi[t]]
+            return dense.get(t)
+
+        asked = np.flatnonzero((most > 0) & (most >= least))
+        # Plain lists: the loop below takes single values.
+        lo, hi, top, least, start, terms = lo.tolist(), hi.tolist(), top.tolist(), least.tolist(), self.start.tolist(), self.term.tolist()
+        for n, q in enumerate(asked.tolist()):
+            need, mine = least[q], [t for t in terms[start[q] : start[q + 1]] if hi[t] > lo[t]]
+            rest = list(itertools.accumulate(top[t] for t in reversed(mine)))[::-1]
+            used = 0
+            while used < len(mine) and (not used or rest[used] >= need):
+                t = mine[used]
+                if (all_of := whole(t)) is not None:
+                    score += all_of
+                else:
+                    score[doc[lo[t] : hi[t]]] += weight[lo[t] : hi[t]]
+                used += 1
+            # Documents without any term so far cannot reach the k-th best by the other terms.
+            hit = (score > max(0.0, need - (rest[used] if used < len(mine) else 0.0))).nonzero()[0]
+            got = score[hit]
+            score.fill(0.0)
+            for t in mine[used:]:
+                if (all_of := whole(t)) is not None:
+                    got += all_of[hit]
+                else:
+                    at = lo[t] + np.searchsorted(doc[lo[t] : hi[t]], hit)
+                    at = np.where(at < hi[t], at, lo[t])
+                    got += np.where(doc[at] == hit, weight[at], 0.0)
+            if used < len(mine):
+                hit, got = hit[got >= need], got[got >= need]
+            if len(hit) > 2 * self.k:
+                value = np.round(got, 9)
+                fit = value >= np.partition(value, len(hit) - self.k)[len(hit) - self.k]
+                hit, got = hit[fit], got[fit]
+                if len(hit) > 2 * self.k:
+                    fit = np.lexsort((ids[hit], -value[fit]))[: self.k]
+                    hit, got = hit[fit], got[fit]
+            found.append((q, hit, got))
+            if len(found) == ASKED or n == len(asked) - 1:
+                rows = np.repeat([x[0] for x in found], [len(x[1]) for x in found])
+                keep_best(self.k, 9, self.kept, self.own, rows, -np.concatenate([x[2] for x in found]), ids[np.concatenate([x[1] for x in found])])
+                found = []
+
+
+def best(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """Rows ``query_id, id, score, rank``: the k best of ``docs(id, text)`` by ``bm25``.
+
+    Scores are rounded to nine digits; equal ones rank by the smaller id. The documents'
+    query terms are counted once and kept; then the query terms are broadcast as numbers,
+    and two tasks a core score blocks of documents and keep the k best, so neither pairs of
+    queries and documents nor the postings are shuffled. More than ``BEST_ROWS`` query terms
+    stay distributed.
+    """
+    spark = docs.sparkSession
+    pairs = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).filter("query_id is not null").distinct()
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    if pairs.limit(BEST_ROWS + 1).count() > BEST_ROWS:
+        out = bm25(build(docs), queries, k1, b).withColumn("score", F.round("score", 9))
+        return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked = pairs.select(F.col("query_id").cast("long"), "term").toArrow()
+    coded = asked.column("term").combine_chunks().dictionary_encode()
+    vocabulary, term = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    by_query = np.lexsort((term, asked.column("query_id").to_numpy()))
+    names, start = np.unique(asked.column("query_id").to_numpy()[by_query], return_index=True)
+    term, start = term[by_query], np.append(start, len(term))
+    counted = docs.select("id", words(F.col("text")).alias("w")).mapInArrow(_counted(vocabulary), f"id {dict(docs.dtypes)['id']}, len long, terms array<int>, tfs array<int>")
+    merged = counted.groupBy("id").agg(F.sum("len").alias("len"), F.flatten(F.collect_list("terms")).alias("terms"), F.flatten(F.collect_list("tfs")).alias("tfs"))
+    kept = cut_lineage(merged)
+    total = kept.mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    n = dict(zip(total.column("term").to_pylist(), total.column("n").to_pylist(), strict=True))
+    df = np.array([n.get(t, 0) for t in range(len(vocabulary))], dtype=np.float64)
+    count = n.get(-1, 0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        idf = np.fmax(np.log((count - df + 0.5) / (df + 0.5)), 1e-6)
+    shared = spark.sparkContext.broadcast((names, start, term, idf, n.get(-2, 0) / max(1, count)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, start, term, idf, average = shared.value
+        held = _Best(k, start, term, idf, average, k1, b)
+        waiting, most = [], FIRST
+
+        def score(some: list[pa.RecordBatch]) -> None:
+            block = pa.Table.from_batches(some).combine_chunks()
+            one = [block.column(x).combine_chunks() for x in ("id", "len", "terms", "tfs")]
+            held.add(one[0].to_numpy(), one[1].to_numpy(), *one[2:])
+
+        for batch in batches:
+            while batch.num_rows:
+                room = most - sum(x.num_rows for x in waiting)
+                waiting.append(batch.slice(0, room))
+                batch = batch.slice(room)
+                if sum(x.num_rows for x in waiting) == most:
+                    score(waiting)
+                    waiting, most = [], MOST
+        if waiting:
+            score(waiting)
+        for lo in range(0, len(names), ASKED):
+            there = np.isfinite(held.kept[lo : lo + ASKED])
+            name = np.repeat(names[lo : lo + ASKED], k)[there.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(held.own[lo : lo + ASKED][there], pa.int64()), pa.array(np.round(-held.kept[lo : lo + ASKED][there], 9))], ["query_id", "id", "score"])
+
+    scored = kept.filter("id is not null and size(terms) > 0").coalesce(2 * spark.sparkContext.defaultParallelism)
+    out = scored.select(F.col("id").cast("long").alias("id"), "len", "terms", "tfs").mapInArrow(run, "query_id long, id long, score double")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def prepare(query: str) -> str:
     """Joins the words of a plain query with OR; operators and quotes leave it as it is."""
     parts = query.split()

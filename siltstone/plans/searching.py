@@ -31,7 +31,7 @@ COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 def well_formed(spark, d):
     """Well-formed vectors of all models; those of two models differ in length and never meet."""
     v = T.vectors(spark, d, "embed_model", "repo", "path", "text_hash", "vector").filter("size(vector) = case embed_model when 'small' then 64 when 'large' then 96 end")
-    good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)
+    good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     return v.filter(good).withColumnRenamed("vec_id", "id")
 
 
@@ -255,10 +255,9 @@ def hybrid_search(spark, d):
     their paths. Forty candidates of each list are fused, ten are kept above the cutoff.
     """
     s = well_formed(spark, d)
-    docs = T.chunks(spark, d, "text_hash", "text").groupBy("text_hash").agg(F.min("chunk_id").alias("id"), F.min("text").alias("text"))
+    docs = table(spark, d, "chunks").groupBy("text_hash").agg(F.min("chunk_id").alias("id"), F.min("text").alias("text"))
     asked = s.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", X.path_parts(F.col("path"))).alias("query"), "vector")
-    text = fulltext.bm25(fulltext.build(docs), asked).withColumn("score", F.round("score", 9))
-    one = fusion.cut(text, 40).select("query_id", F.lit(1).alias("list_no"), "rank", "id", "score")
+    one = fulltext.best(docs, asked, 40).select("query_id", F.lit(1).alias("list_no"), "rank", "id", "score")
     near = knn.exact(s.select("id", "vector"), asked, 40)
     to_content = s.groupBy("embed_model", "text_hash").agg(F.min("id").alias("vid")).join(docs.select("text_hash", "id"), "text_hash")
     two = near.withColumnRenamed("id", "vid").join(to_content, "vid").select("query_id", F.lit(2).alias("list_no"), "rank", "id", F.col("distance").alias("score"))

@@ -470,3 +470,34 @@ def test_incremental_index_equals_a_full_one(spark):
     assert indexer.build(before.limit(0)).count() == 0
     lengths = {round(sum(x * x for x in r["vector"]), 4) for r in indexer.embed(before.select("text")).filter("vector is not null").collect()}
     assert lengths == {1.0}
+
+
+def test_best_documents_are_those_of_all_scores(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, size=rng.integers(1, 12), p=np.arange(40, 0, -1) / 820)) for _ in range(6000)]
+    # Ids that stand twice count as one document; copies have equal scores.
+    rows = [(i % 5900 if i % 7 else 5999 - i, t) for i, t in enumerate(texts)] + [(9000 + i, texts[i]) for i in range(300)] + [(9990, None), (9991, ""), (None, "w1 w2")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words, size=rng.integers(1, 5)))) for i in range(60)] + [(70, "w3 unknown w3"), (71, "unknown"), (72, ""), (73, None)], "query_id long, query string")
+    scored = fulltext.bm25(fulltext.build(docs), asked).withColumn("score", F.round("score", 9))
+    want = {tuple(r) for r in fusion.cut(scored, 7).select("query_id", "id", "score", "rank").collect()}
+    assert len(want) > 400
+    assert {tuple(r) for r in fulltext.best(docs, asked, 7).collect()} == want
+    assert fulltext.best(docs, asked.limit(0), 7).count() == 0 and fulltext.best(docs.limit(0), asked, 7).count() == 0
+    monkeypatch.setattr(fulltext, "BEST_ROWS", 5)
+    assert {tuple(r) for r in fulltext.best(docs, asked, 7).collect()} == want
+
+
+def test_exact_search_tells_apart_what_single_precision_does_not(spark):
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal(8)
+    # Distances that differ by about 1e-9, in no order of the ids, and copies that tie.
+    near = [(i, [float(x) for x in base + 3e-5 * rng.standard_normal(8)]) for i in range(3000)]
+    rows = near + [(5000 + i, v) for i, v in near[:50]] + [(8000 + i, [float(x) for x in rng.standard_normal(5)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(9)
+    asked = spark.createDataFrame([(1, [float(x) for x in base]), (2, rows[-1][1])], "query_id long, vector array<double>")
+    got = {q: [r["id"] for r in knn.exact(df, asked, 20).filter(F.col("query_id") == q).orderBy("rank").collect()] for q in (1, 2)}
+    for q, v in ((1, base), (2, np.array(rows[-1][1]))):
+        d = {i: 1 - v @ x / np.linalg.norm(v) / np.linalg.norm(x) for i, x in ((i, np.array(x)) for i, x in rows) if len(x) == len(v)}
+        assert got[q] == sorted(d, key=lambda i: (round(d[i], 12), i))[:20]

@@ -54,3 +54,22 @@ def test_query_without_sql_runs(spark, name):
 def test_knn_probed_recall(spark):
     r = catalog.queries()["knn_probed"](spark, SF).agg({"recall": "avg"}).collect()[0][0]
     assert r >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_hybrid_search_on_odd_rows_matches_sql(spark, tmp_path):
+    """Infinite vectors, chunk ids of two contents, contents without text or hash."""
+    con = duckdb.connect()
+    odd = "UNION ALL SELECT * REPLACE (-vec_id - 1 AS vec_id, list_transform(vector, lambda x: CAST('inf' AS FLOAT)) AS vector)"
+    con.execute(f"COPY (SELECT * FROM '{SF}/vectors.parquet' {odd} FROM '{SF}/vectors.parquet') TO '{tmp_path}/vectors.parquet'")
+    more = [
+        f"SELECT * REPLACE (text || ' gateway' AS text, text_hash || 'x' AS text_hash) FROM '{SF}/chunks.parquet' WHERE chunk_id % 3 = 0",
+        f"SELECT * REPLACE (chunk_id + 1000000 AS chunk_id, text_hash || 'y' AS text_hash, CAST(NULL AS VARCHAR) AS text) FROM '{SF}/chunks.parquet' WHERE chunk_id % 5 = 0",
+        f"SELECT * REPLACE (chunk_id + 2000000 AS chunk_id, CAST(NULL AS VARCHAR) AS text_hash) FROM '{SF}/chunks.parquet' WHERE chunk_id % 5 = 1",
+    ]
+    con.execute(f"COPY (SELECT * FROM '{SF}/chunks.parquet' UNION ALL {' UNION ALL '.join(more)}) TO '{tmp_path}/chunks.parquet'")
+    for name in ("vectors", "chunks"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    df = catalog.queries()["hybrid_search"](spark, str(tmp_path))
+    want = con.sql(catalog.oracle_sql()["hybrid_search"])
+    assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
